@@ -19,25 +19,8 @@ from causeway.plans import tables as TB
 from causeway.plans.tables import derived
 from causeway.spec import EMAIL, LIRAGLUTIDE, RETAIL_BINS, TIRZEPATIDE
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
-def _cte(name, sql):
-    return f"{name} AS ({sql})"
+from causeway.plans.registry import ORACLES, QUERIES, r6, register  # noqa: F401
+from causeway.plans.registry import cte as _cte
 
 
 # ---------------------------------------------------------------------------------- 7.1 slice
@@ -500,3 +483,7 @@ def discretize_tirzepatide_soft(spark, sf):
     """C16 soft mode with binarisation (C13) for inference."""
     a = derived(spark, sf, TB.CLINICAL_ANSWERS_SQL, TB.CLINICAL_NEEDS).drop("target_achieved_raw")
     return _clin_out(discretize.discretize_clinical(a, TIRZEPATIDE, mode="soft_inf"))
+
+
+# further plan modules register themselves on import
+from causeway.plans import q_effects  # noqa: E402,F401
