@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from causeway.functions import codes as C
 from causeway.functions.draws import uniform
@@ -26,7 +26,7 @@ YES_NO = {"No": 0, "Yes": 1}
 def parse_answers(df: DataFrame, col: str, fields, post_col: str = "post") -> DataFrame:
     """Model JSON answer -> one STRING column per field (bad JSON -> NULLs),
     original text kept under ``post``."""
-    schema = StructType.fromDDL(", ".join(f"`{f}` STRING" for f in fields))
+    schema = StructType([StructField(f, StringType(), True) for f in fields])
     parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
     out = df.withColumn("_ans", parsed)
     return out.select(*[c for c in df.columns if c != col], *[F.col("_ans")[f].alias(f) for f in fields]) \

@@ -28,6 +28,16 @@ COMMENT_TEMPLATE = ("\n\n## Subreddit \n> This comment was found on the subreddi
                     "\n\n## Comment \n> {post}"
                     "\n\n> Answer Yes if the comment is relevant and No otherwise, and nothing more."
                     "\n## Your Answer \n>")
+EXTRACT_POST_TEMPLATE = ("\n\n## Subreddit \n> This post was found on the subreddit r/{subreddit}."
+                         "\n\n## Title \n> This post was titled: {title}"
+                         "\n\n## Date Created \n> This post was created on {date_created}."
+                         "\n\n## Post \n> {post}"
+                         "\n\n## Output \n>")
+EXTRACT_COMMENT_TEMPLATE = ("\n\n## Subreddit \n> This comment was found on the subreddit r/{subreddit}."
+                            "\n\n## Title \n> This comment was in response to a post titled: {title}"
+                            "\n\n## Date Created \n> This comment was created on {date_created}."
+                            "\n\n## Comment \n> {post}"
+                            "\n\n## Output \n>")
 
 
 def stitch(submissions: DataFrame, comments: DataFrame, key: str = "thread_key", sub_id: str = "sub_id",
@@ -73,8 +83,9 @@ def stitch(submissions: DataFrame, comments: DataFrame, key: str = "thread_key",
     return sub_rows.unionByName(com_rows)
 
 
-def render_posts(df: DataFrame, out: str = "prompt") -> DataFrame:
-    """C4: verdict prompt per context post; template chosen by ``is_comment``."""
+def render_posts(df: DataFrame, out: str = "prompt", variant: str = "verdict") -> DataFrame:
+    """C4: prompt per context post; template chosen by ``is_comment``.  ``variant``:
+    'verdict' (relevance question) or 'extraction' (output slot)."""
     def fill(tpl):
         parts, cols = [], []
         rest = tpl
@@ -85,4 +96,6 @@ def render_posts(df: DataFrame, out: str = "prompt") -> DataFrame:
         parts.append(F.lit(rest))
         return F.concat(*parts)
     with_date = df.withColumn("date_created", T.utc_date("created_utc")) if "date_created" not in df.columns else df
-    return with_date.withColumn(out, F.when(F.col("is_comment"), fill(COMMENT_TEMPLATE)).otherwise(fill(POST_TEMPLATE)))
+    post_t, com_t = (POST_TEMPLATE, COMMENT_TEMPLATE) if variant == "verdict" else \
+        (EXTRACT_POST_TEMPLATE, EXTRACT_COMMENT_TEMPLATE)
+    return with_date.withColumn(out, F.when(F.col("is_comment"), fill(com_t)).otherwise(fill(post_t)))

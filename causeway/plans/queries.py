@@ -486,4 +486,4 @@ def discretize_tirzepatide_soft(spark, sf):
 
 
 # further plan modules register themselves on import
-from causeway.plans import q_dialog, q_effects, q_models  # noqa: E402,F401
+from causeway.plans import q_baseline, q_dialog, q_effects, q_misc, q_models  # noqa: E402,F401
