@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.text import strip as text_strip
+
 # Instruction-format tags, the system wrapper, the control tags that
 # make a dialog unsafe and the error text that replaces its output; header-format
 # special tokens.
@@ -25,11 +27,9 @@ START_HEADER, END_HEADER, END_OF_TURN = "<|start_header_id|>", "<|end_header_id|
 PIECE_PATTERN = (r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*"
                  r"|\s*[\r\n]+|\s+(?!\S)|\s+")
 
-WS = "[ \\t\\n\\r\\f\\x0B]"
-
-
 def strip(c):
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()`` (whitespace character-set trim)."""
+    return text_strip(c)
 
 
 def screen_tags(turns: DataFrame, conv: str = "conv_id", text: str = "text") -> DataFrame:

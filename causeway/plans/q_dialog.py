@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays as A
+from causeway.functions.text import PY_WHITESPACE
 from causeway.operators import dialog as D
 from causeway.plans import tables as TB
 from causeway.plans.registry import r6, register
 
-_WS = "[ \\t\\n\\r\\f\\x0B]"
+_TRIM_SET = " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
 
 
 def _strip_sql(e):
-    return f"regexp_replace({e}, '^{_WS}+|{_WS}+$', '', 'g')"
+    return f"trim({e}, {_TRIM_SET})"
 
 
 _TAGS_SQL = " OR ".join(f"contains(text, '{t}')" for t in D.SPECIAL_TAGS)

@@ -423,12 +423,12 @@ def results_wide_orders(spark, sf):
 
 def word_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
     """Stand-in user scorer: whitespace word count per text (vectorised pandas)."""
-    n = pdf["text"].fillna("").str.count(r"[^ \t\n\r\f\v]+")
+    n = pdf["text"].fillna("").str.count(r"\S+")
     return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n.astype("int64")})
 
 
-SCORE_SQL = """
-SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')) AS BIGINT) AS n_words
+SCORE_SQL = f"""
+SELECT doc_id, CAST({T.sql_word_count("coalesce(text, '')")} AS BIGINT) AS n_words
 FROM documents
 """
 

@@ -53,23 +53,23 @@ def ate_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- curation
 
-_WS = "[ \\t\\n\\r\\f\\x0B]"
-_NORM_SQL = ("regexp_replace(replace(replace(replace(replace(replace(text, '&gt;', '>'), '&lt;', '<'), '&amp;', '&'),"
-             f" chr(10), ' '), chr(9), ' '), '^{_WS}+|{_WS}+$', '', 'g')")
-_WORDS_SQL = "len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'))"
+_TRIM_SET = " || ".join(f"chr({ord(c)})" for c in T.PY_WHITESPACE)
+_NORM_SQL = ("trim(replace(replace(replace(replace(replace(text, '&gt;', '>'), '&lt;', '<'), '&amp;', '&'),"
+             f" chr(10), ' '), chr(9), ' '), {_TRIM_SET})")
+_WORDS_SQL = T.sql_word_count("text")
 
 RULE_FILTER_SQL = f"""
 WITH {_cte('d', TB.DOC_POSTS_SQL)},
 n AS (SELECT *, {_NORM_SQL} AS norm FROM d)
 SELECT doc_id, CAST({_WORDS_SQL} AS BIGINT) AS n_words,
-       CAST(length(regexp_replace(norm, '[^\\p{{L}}]', '', 'g')) AS BIGINT) AS n_letters,
+       CAST(length(regexp_replace(norm, '[^\\p{{L}}]+', '', 'g')) AS BIGINT) AS n_letters,
        CAST(length(norm) AS BIGINT) AS n_norm
 FROM n
 WHERE text IS NOT NULL AND permalink IS NOT NULL AND score IS NOT NULL
   AND text NOT IN ('[deleted]', '[removed]')
   AND coalesce(NOT contains(lower(author), 'bot'), false)
   AND instr(substr(norm, 1, 2048), ' ') > 0
-  AND length(norm) > 0 AND length(regexp_replace(norm, '[^\\p{{L}}]', '', 'g')) >= 0.5 * length(norm)
+  AND length(norm) > 0 AND length(regexp_replace(norm, '[^\\p{{L}}]+', '', 'g')) >= 0.5 * length(norm)
   AND {_WORDS_SQL} >= 10
 """
 
