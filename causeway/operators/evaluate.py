@@ -29,7 +29,8 @@ def error_decomposition(ates: DataFrame, truth, obs_col: str, pred_col: str, est
     trial-vs-pred MSE (the first three sum to the last).  ``truth`` is a number
     or a Column (e.g. a scalar subquery)."""
     g = truth if not isinstance(truth, (int, float)) else F.lit(float(truth))
-    o, p = F.col(obs_col), F.col(pred_col)
+    ates = ates.withColumn("_g", g)          # a projected column, so the aggregate sees a plain input
+    g, o, p = F.col("_g"), F.col(obs_col), F.col(pred_col)
     r = ates.agg(F.avg((g - o) * (g - o)).alias("CRE-Obs MSE"), F.avg((o - p) * (o - p)).alias("Obs-Pred MSE"),
                  (2 * F.avg((g - o) * (o - p))).alias("Error Corr"), F.avg((g - p) * (g - p)).alias("CRE-Pred MSE"))
     return r.select(F.lit(estimator).alias("estimator"),
@@ -38,6 +39,20 @@ def error_decomposition(ates: DataFrame, truth, obs_col: str, pred_col: str, est
                             F.lit("CRE-Pred MSE"), F.col("`CRE-Pred MSE`")).alias("metric", "value"))
 
 
+def trial_metrics(ates: DataFrame, truth, obs_col: str, pred_col: str, estimator: str) -> DataFrame:
+    """E8 + K3 in one aggregate over the trial table: mean and population std of the
+    predictions, and the error decomposition against ``truth``."""
+    g = truth if not isinstance(truth, (int, float)) else F.lit(float(truth))
+    a = ates.withColumn("_g", g)
+    g, o, p = F.col("_g"), F.col(obs_col), F.col(pred_col)
+    r = a.agg(F.avg(p).alias("m"), F.stddev_pop(p).alias("s"), F.avg((g - o) * (g - o)).alias("co"),
+              F.avg((o - p) * (o - p)).alias("op"), (2 * F.avg((g - o) * (o - p))).alias("ec"),
+              F.avg((g - p) * (g - p)).alias("cp"))
+    names = ["ATE_mean", "ATE_std_dev", "CRE-Obs MSE", "Obs-Pred MSE", "Error Corr", "CRE-Pred MSE"]
+    args = [x for n, c in zip(names, ["m", "s", "co", "op", "ec", "cp"]) for x in (F.lit(n), F.col(c))]
+    return r.select(F.lit(estimator).alias("estimator"), F.stack(F.lit(len(names)), *args).alias("metric", "value"))
+
+
 def distribution_distance(obs: DataFrame, pred: DataFrame, key: str, obs_col: str, pred_col: str,
                           by=("trial",), eps: float = 1e-6) -> DataFrame:
     """K1/K2 per trial between an observed and a predicted distribution given as

@@ -346,9 +346,7 @@ def evaluate_orders(spark, sf):
     from causeway.plans.queries import units
     ates = _trial_ates(spark, sf)
     truth = estimators.ipw_strata(units(spark, sf), ["segment", "region"], "t", "y").select("ate_ipw").scalar()
-    summ = evaluate.trial_summary(ates, ["ate_ipw"])
-    dec = evaluate.error_decomposition(ates, truth, "ate_naive", "ate_ipw", "ate_ipw")
-    out = summ.unionByName(dec)
+    out = evaluate.trial_metrics(ates, truth, "ate_naive", "ate_ipw", "ate_ipw")
     return out.select(F.lit("ipw").alias("estimator"), "metric", r6("value").alias("value"))
 
 

@@ -397,8 +397,7 @@ def _eval_long(spark, sf, size):
     tr = sampling.trials(units(spark, sf), 3, size, 123)
     ates = estimators.ipw_strata(tr, ["segment", "region"], "t", "y", by=["trial"])
     truth = estimators.ipw_strata(units(spark, sf), ["segment", "region"], "t", "y").select("ate_ipw").scalar()
-    long = evaluate.trial_summary(ates, ["ate_ipw"]).unionByName(
-        evaluate.error_decomposition(ates, truth, "ate_naive", "ate_ipw", "ate_ipw"))
+    long = evaluate.trial_metrics(ates, truth, "ate_naive", "ate_ipw", "ate_ipw")
     return long.withColumn("eval_size", F.lit(size)).withColumn("value", r6("value"))
 
 
