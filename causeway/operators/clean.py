@@ -66,3 +66,20 @@ def keep_first(df: DataFrame, keys, order: str) -> DataFrame:
     others = [c for c in df.columns if c not in keys]
     agg = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order)).alias("_first"))
     return agg.select(*keys, *[F.col("_first." + c).alias(c) for c in others]).select(*df.columns)
+
+
+def complete_cases(df: DataFrame, cols) -> DataFrame:
+    """Drop rows with a NULL in any of ``cols``."""
+    return df.na.drop(subset=list(cols))
+
+
+def subset(df: DataFrame, ids: DataFrame, key: str = "unit_id") -> DataFrame:
+    """Rows whose key is in an id table (e.g. one evaluation trial) -- a semi-join,
+    never a positional index."""
+    return df.join(ids.select(key), key, "left_semi")
+
+
+def first_n(df: DataFrame, n: int, order: str = "unit_id") -> DataFrame:
+    """G1: the first ``n`` rows in source order, with the order made explicit.  Used
+    where the size cap is the feature (a configured dataset size)."""
+    return df.orderBy(order).limit(n)

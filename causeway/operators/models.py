@@ -44,7 +44,7 @@ def propensity(df: DataFrame, x_cols, t: str, reg: float | None = None, out: str
     """Logistic propensity P(t=1 | X).  ``reg=None`` gives the default C=1 penalty
     (regParam = 1/n); pass 0.0 for an unpenalised fit."""
     n = df.count() if reg is None else None
-    lr = LogisticRegression(featuresCol="_fx", labelCol="_t", regParam=(1.0 / n) if reg is None else reg,
+    lr = LogisticRegression(featuresCol="_fx", labelCol="_t", regParam=(1.0 / max(n, 1)) if reg is None else reg,
                             elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10)
     d = _features(df.withColumn("_t", F.col(t).cast("double")), x_cols, "_fx")
     m = lr.fit(d)
@@ -136,6 +136,10 @@ REGISTRY = {
 def compare(df: DataFrame, x_cols, t: str, y: str, names=None, reg: float | None = None) -> DataFrame:
     """One ``(estimator, ate)`` row per registry estimator over the same unit table."""
     names = list(names or REGISTRY)
+    # every estimator re-reads the unit table (fits, counts, predictions): keep it
+    # materialised once (memory and disk; lost blocks are recomputed from lineage)
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for name in names:
         fn = REGISTRY[name]

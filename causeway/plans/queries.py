@@ -211,7 +211,10 @@ def thread_stitch_conversations(spark, sf):
                     F.size("author_replies").cast("bigint").alias("n_replies"))
 
 
-def _prompt_sql():
+def _prompt_sql_variant(variant="verdict"):
+    post_t, com_t = ((thread.POST_TEMPLATE, thread.COMMENT_TEMPLATE) if variant == "verdict"
+                     else (thread.EXTRACT_POST_TEMPLATE, thread.EXTRACT_COMMENT_TEMPLATE))
+
     def fill(tpl):
         out = []
         rest = tpl
@@ -222,7 +225,11 @@ def _prompt_sql():
             out.append(f"coalesce(CAST({expr} AS VARCHAR), '')")
         out.append(_sql_str(rest))
         return " || ".join(out)
-    return fill(thread.POST_TEMPLATE), fill(thread.COMMENT_TEMPLATE)
+    return fill(post_t), fill(com_t)
+
+
+def _prompt_sql():
+    return _prompt_sql_variant("verdict")
 
 
 def _sql_str(s):
@@ -486,4 +493,4 @@ def discretize_tirzepatide_soft(spark, sf):
 
 
 # further plan modules register themselves on import
-from causeway.plans import q_baseline, q_dialog, q_effects, q_misc, q_models  # noqa: E402,F401
+from causeway.plans import q_baseline, q_clinical, q_dialog, q_effects, q_misc, q_models  # noqa: E402,F401

@@ -46,6 +46,14 @@ class StudySpec:
     confounder_propensity: Optional[float] = None
     subreddits: tuple = ()
 
+    def roles(self, enum: bool = False, strata: bool = False) -> list:
+        """Role projection -- X (or the enumerated / stratification fields), Z, Y."""
+        xs = list(self.enum if enum else self.strata if strata else self.x)
+        return xs + [self.z, self.y]
+
+    def select_roles(self, df, enum: bool = False, strata: bool = False, extra=()):
+        return df.select(*extra, *[c for c in self.roles(enum, strata) if c in df.columns])
+
     def domain(self, f: str) -> list:
         return list(self.options[f])
 
