@@ -126,3 +126,63 @@ def matched_terms(text_cols, terms) -> Column:
     hay = F.lower(F.concat_ws("\u0001", *[F.coalesce(_col(c), F.lit("")) for c in text_cols]))
     arr = F.array(*[F.lit(t) for t in terms])
     return F.filter(arr, lambda t: F.instr(hay, t) > 0)
+
+
+AUTOMATON_MIN_TERMS = 64
+
+
+def automaton_available() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+        return True
+    except ImportError:
+        return False
+
+
+def matched_terms_automaton(text_cols, terms) -> Column:
+    """B10/B11 for large lexicons: one Aho-Corasick pass per text (Arrow-batched pandas
+    UDF) instead of one substring scan per term.  Same result as ``matched_terms``:
+    case folding stays on the JVM side, every term is reported once, sorted."""
+    from causeway.session import ship_package
+    ship_package()
+    terms = tuple(sorted({t.lower() for t in terms}))
+    hay = F.lower(F.concat_ws("\u0001", *[F.coalesce(_col(c), F.lit("")) for c in text_cols]))
+
+    @F.pandas_udf("array<string>")
+    def _match(texts):
+        import pandas as pd
+        auto = _automaton(terms)
+        out = []
+        for h in texts:
+            found = set()
+            if h:
+                for _, t in auto.iter(h):
+                    found.add(t)
+            out.append(sorted(found))
+        return pd.Series(out)
+    return _match(hay)
+
+
+_AUTOMATA: dict = {}
+
+
+def _automaton(terms):
+    """One automaton per worker process and lexicon."""
+    a = _AUTOMATA.get(terms)
+    if a is None:
+        import ahocorasick
+        a = ahocorasick.Automaton()
+        for t in terms:
+            a.add_word(t, t)
+        a.make_automaton()
+        _AUTOMATA[terms] = a
+    return a
+
+
+def mention_terms(text_cols, terms, method: str = "auto") -> Column:
+    """Choose the term matcher: per-term JVM scans for small lexicons, the automaton
+    for large ones (when the module is installed)."""
+    if method == "automaton" or (method == "auto" and len(set(terms)) >= AUTOMATON_MIN_TERMS
+                                 and automaton_available()):
+        return matched_terms_automaton(text_cols, terms)
+    return matched_terms(text_cols, terms)

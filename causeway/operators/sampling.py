@@ -181,9 +181,13 @@ def confounded_resample(df: DataFrame, x: str, t: str, propensity: float, seed:
               .join(F.broadcast(cb.select("_t", "_x", "_bucket", "_off")), ["_t", "_x", "_bucket"])
               .withColumn("_rank", (F.col("_off") + F.col("_r")).cast("bigint"))
               .select(id_col, "_t", "_x", "_rank"))
-    # draws: cell by h1, rank by the 64-bit (h2, h3)
-    n = n_draws if n_draws is not None else df.count()
-    d = spark.range(0, n).withColumnRenamed("id", "draw_id")
+    # draws: cell by h1, rank by the 64-bit (h2, h3).  With n draws for n units the
+    # draw ids are the unit ids themselves (no count job, distributed like the units);
+    # an explicit n_draws uses a parallel range.
+    if n_draws is None:
+        d = df.select(F.col(id_col).alias("draw_id"))
+    else:
+        d = spark.range(0, n_draws).withColumnRenamed("id", "draw_id")
     d = d.withColumn("_h1", _h(seed, "draw", "draw_id")) \
         .withColumn("_h64", (_h(seed, "pick_hi", "draw_id") * F.lit(TWO_32).cast(dec)
                              + _h(seed, "pick_lo", "draw_id")).cast(dec))

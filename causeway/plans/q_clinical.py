@@ -217,3 +217,29 @@ def benchmark_orders(spark, sf):
     parts.append(models.compare(obs, xs, "t", "y", BENCH_ESTIMATORS).withColumn("table", F.lit("observational")))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("table", "estimator", F.round("ate", 4).alias("ate"))
+
+
+# ------------------------------------------------------------------ B10 / B11 with the study lexicons
+
+def _lexicon_sql(terms, hay):
+    lst = ", ".join("'" + t.replace("'", "''") + "'" for t in sorted({t.lower() for t in terms}))
+    return f"array_to_string(list_sort(list_filter([{lst}], lambda t: instr({hay}, t) > 0)), ',')"
+
+
+_DOC_HAY = "lower(concat_ws(chr(1), coalesce(source, ''), coalesce(text, '')))"
+LEXICON_SQL = f"""
+SELECT doc_id, {_lexicon_sql(BOTOX.lexicon, _DOC_HAY)} AS treatments,
+       {_lexicon_sql(BOTOX.outcome_words, _DOC_HAY)} AS outcome_words
+FROM documents
+"""
+
+
+@register("lexicon_terms_documents", LEXICON_SQL)
+def lexicon_terms_documents(spark, sf):
+    """B10 + B11 with the published migraine lexicons (130+ treatment terms -> the
+    one-pass automaton matcher) annotating every document."""
+    from causeway.functions import text as T
+    d = TB.table(spark, sf, "documents").select("doc_id", "source", "text")
+    return d.select("doc_id",
+                    F.array_join(T.mention_terms(["source", "text"], BOTOX.lexicon), ",").alias("treatments"),
+                    F.array_join(T.mention_terms(["source", "text"], BOTOX.outcome_words), ",").alias("outcome_words"))

@@ -402,7 +402,7 @@ c3 AS (SELECT *, CAST(CASE WHEN t = 1 THEN ex * n0 ELSE (10000 - ex) * n1 END AS
 c4 AS (SELECT *, CAST(sum(W) OVER (ORDER BY t, x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS HUGEINT) AS hi,
               CAST(sum(W) OVER () AS HUGEINT) AS tot FROM c3),
 c5 AS (SELECT *, hi - W AS lo FROM c4 WHERE W > 0),
-d AS (SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS draw_id FROM u),
+d AS (SELECT unit_id AS draw_id FROM u),
 dh AS (SELECT draw_id, {_h_sql(RESAMPLE_SEED, 'draw', 'draw_id')} AS h1,
               {_h_sql(RESAMPLE_SEED, 'pick_hi', 'draw_id')} * CAST(4294967296 AS HUGEINT)
               + {_h_sql(RESAMPLE_SEED, 'pick_lo', 'draw_id')} AS h64 FROM d),

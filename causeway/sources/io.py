@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from causeway.functions.arrays import parse_array_text
+from causeway.session import ship_package
 
 CORRUPT = "_corrupt_record"
 
@@ -125,7 +126,7 @@ def score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_schema,
     frame of input rows to a frame with ``out_schema`` columns (row-aligned)."""
     if batch_size:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
-    _ship_by_value()
+    ship_package()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,14 +134,6 @@ def score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_schema,
     return df.mapInPandas(run, schema=out_schema)
 
 
-def _ship_by_value() -> None:
-    """Pickle this package's functions by value, so Python workers need no install."""
-    import sys
-
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules["causeway"])
-
-
 def resume_and_score(src: DataFrame, done_path: str, fn, out_schema, key: str = "unit_id") -> DataFrame:
     """A8 + A9: score only what is missing from the committed output at ``done_path``."""
     spark = src.sparkSession

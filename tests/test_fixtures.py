@@ -172,3 +172,16 @@ def test_completion_trim(spark):
     r = df.select("t", A.trim_completion("t", 2, 3, [0]).alias("r")).select(
         F.slice("t", F.col("r.start") + 1, F.col("r.length")).alias("k")).collect()[0]
     assert r.k == [5, 6]
+
+
+def test_automaton_matches_per_term_scan(spark, sf_dir):
+    from causeway.plans.tables import table
+    from causeway.spec import BOTOX
+    terms = list(BOTOX.lexicon) + ["th", "the", "ein", "tion", "ation", "que"]
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = d.select("doc_id", T.matched_terms(["text"], terms).alias("m")).collect()
+    b = d.select("doc_id", T.matched_terms_automaton(["text"], terms).alias("m")).collect()
+    assert sorted(a) == sorted(b)
+    assert sum(1 for r in a if r.m) > 0
+    r = one(spark, T.matched_terms_automaton([F.lit("Topamax")], ["topama", "topamax", "botox"]).alias("m"))
+    assert r.m == ["topama", "topamax"]
