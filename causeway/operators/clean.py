@@ -66,6 +66,9 @@ def keep_first(df: DataFrame, keys, order: str) -> DataFrame:
     table is reduced before the shuffle instead of landing in one task."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     others = [c for c in df.columns if c not in keys]
+    if others == [order]:
+        # only the order column rides along: a plain min is a hash aggregate
+        return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
     agg = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order)).alias("_first"))
     return agg.select(*keys, *[F.col("_first." + c).alias(c) for c in others]).select(*df.columns)
 

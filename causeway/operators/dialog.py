@@ -41,12 +41,26 @@ def screen_tags(turns: DataFrame, conv: str = "conv_id", text: str = "text") ->
     return turns.groupBy(conv).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("unsafe"))
 
 
+ROLE_CODES = {"system": 0, "user": 1, "assistant": 2}
+_ROLE_NAMES = {v: k for k, v in ROLE_CODES.items()}
+
+
+def _role_code(role):
+    return F.coalesce(F.try_element_at(F.create_map(*[x for k, v in ROLE_CODES.items() for x in (F.lit(k), F.lit(v))]),
+                                       F.col(role)), F.lit(9))
+
+
 def _with_flags(turns: DataFrame, conv, turn, role):
+    # roles as small integer codes: every aggregate here has a primitive buffer, so the
+    # per-conversation flags are a (partial) hash aggregate, never a sort
     flags = turns.groupBy(conv).agg(
         F.min(turn).alias("_t0"), F.max(turn).alias("_t1"), F.count("*").alias("_n"),
-        F.max_by(F.col(role), F.col(turn)).alias("_last_role"),
-        F.min_by(F.col(role), F.col(turn)).alias("_first_role"))
-    return turns.join(flags, conv)
+        F.max_by(_role_code(role), F.col(turn)).alias("_last_code"),
+        F.min_by(_role_code(role), F.col(turn)).alias("_first_code"))
+    names = F.create_map(*[x for k, v in _ROLE_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    flags = flags.withColumns({"_last_role": F.try_element_at(names, F.col("_last_code")),
+                               "_first_role": F.try_element_at(names, F.col("_first_code"))})
+    return turns.join(flags.drop("_last_code", "_first_code"), conv)
 
 
 def validate_roles(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:

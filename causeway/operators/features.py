@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 
 def last_non_null(value: str, order):
-    """pandas ``last`` in a group: the value of the last row (by ``order``, one column
-    or a list compared lexicographically) where it is not NULL.  Input order must be
-    made explicit: a row position is not stable in a distributed scan."""
-    key = F.col(order) if isinstance(order, str) else F.struct(*[F.col(c) for c in order])
+    """pandas ``last`` in a group: the value of the last row (by ``order``) where it is
+    not NULL.  Input order must be made explicit: a row position is not stable in a
+    distributed scan.  Keep ``order`` a primitive column (e.g. an encoded BIGINT):
+    a struct ordering key forces a sort-based aggregate over the whole input."""
+    key = F.col(order) if isinstance(order, str) else order
     return F.max_by(F.col(value), F.when(F.col(value).isNotNull(), key))
 
 
@@ -27,11 +28,15 @@ def _mean(c):
 
 def client_features(lines: DataFrame, transactions: DataFrame, clients: DataFrame, order_col,
                     txn: str = "transaction_id", client: str = "client_id") -> DataFrame:
-    """lines: txn, order_col, purchase_sum, regular_points_received, product_quantity
-    transactions: txn, client; clients: client + client attributes (inner join, D5)."""
+    """lines: txn, order column(s), purchase_sum, regular_points_received, product_quantity
+    transactions: txn, client; clients: client + client attributes (inner join, D5).
+    ``order_col`` is one ordering column or a dict value -> ordering column."""
+    def order_of(v):
+        return order_col[v] if isinstance(order_col, dict) else order_col
     level1 = (lines.groupBy(txn)
-              .agg(last_non_null("purchase_sum", order_col).alias("purchase_sum"),                 # E3
-                   last_non_null("regular_points_received", order_col).alias("regular_points_received"),
+              .agg(last_non_null("purchase_sum", order_of("purchase_sum")).alias("purchase_sum"),       # E3
+                   last_non_null("regular_points_received", order_of("regular_points_received"))
+                   .alias("regular_points_received"),
                    F.sum("product_quantity").alias("product_quantity")))
     per_client = (level1.join(transactions, txn)
                   .groupBy(client)

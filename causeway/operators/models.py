@@ -140,6 +140,9 @@ def compare(df: DataFrame, x_cols, t: str, y: str, names=None, reg: float | None
     # materialised once (memory and disk; lost blocks are recomputed from lineage)
     from pyspark import StorageLevel
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.isEmpty():   # nothing to fit (e.g. an empty split): NULL effects, not an error
+        spark = df.sparkSession
+        return spark.createDataFrame([(n, None) for n in names], "estimator string, ate double")
     rows = []
     for name in names:
         fn = REGISTRY[name]

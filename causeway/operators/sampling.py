@@ -53,10 +53,10 @@ def rank_select(df: DataFrame, by, ks: dict, u: str, tie: str, bins: int = BINS)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(w))
     th = None
     for name, kc in kcols.items():
+        # primitive aggregates only, so the threshold stays a hash aggregate
         t = (hist.where(F.col("_cum") >= F.col(kc)).groupBy(*by)
-             .agg(F.min_by(F.struct(F.col("_bin").alias("b"), (F.col(kc) - (F.col("_cum") - F.col("_cnt"))).alias("n")),
-                           F.col("_bin")).alias("_t"))
-             .select(*by, F.col("_t.b").alias(f"_b_{name}"), F.col("_t.n").alias(f"_need_{name}")))
+             .agg(F.min("_bin").alias(f"_b_{name}"),
+                  F.min_by(F.col(kc) - (F.col("_cum") - F.col("_cnt")), F.col("_bin")).alias(f"_need_{name}")))
         th = t if th is None else th.join(t, by, "full_outer")
     j = x.drop(*kcols.values()).join(th, by, "left")
     bcols = [F.col(f"_b_{n}") for n in ks]

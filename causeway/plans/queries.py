@@ -268,9 +268,9 @@ RETAIL_SQL = f"""
 WITH li AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
                    CAST(round(l_tax * 100) AS BIGINT) AS pts, CAST(l_quantity AS BIGINT) AS qty FROM lineitem),
 l AS (SELECT l_orderkey,
-             arg_max(cents, struct_pack(ln := l_linenumber, p := cents, t := pts)) FILTER (WHERE cents IS NOT NULL)
+             arg_max(cents, CAST(l_linenumber AS BIGINT) * 1099511627776 + cents) FILTER (WHERE cents IS NOT NULL)
                  AS purchase_sum,
-             arg_max(pts, struct_pack(ln := l_linenumber, p := cents, t := pts)) FILTER (WHERE pts IS NOT NULL)
+             arg_max(pts, CAST(l_linenumber AS BIGINT) * 1099511627776 + pts) FILTER (WHERE pts IS NOT NULL)
                  AS points,
              sum(qty) AS quantity
       FROM li GROUP BY l_orderkey),
@@ -317,8 +317,11 @@ def retail_features_q(spark, sf):
         F.col("c_custkey").alias("client_id"), (18 + F.col("c_custkey") % 70).alias("age"),
         F.col("c_mktsegment").isin("BUILDING", "MACHINERY").cast("int").alias("treatment_flg"),
         (F.col("c_acctbal") > 0).cast("int").alias("target"))
-    # line numbers repeat inside an order: the order key is (line, price, points)
-    f = client_features(li, orders, cust, order_col=["l_linenumber", "purchase_sum", "regular_points_received"])
+    # line numbers repeat inside an order: ties are broken by the value itself, packed
+    # into one BIGINT (line * 2^40 + value) so the aggregate stays hash-based
+    li = li.withColumns({"_k_price": F.col("l_linenumber").cast("bigint") * (1 << 40) + F.col("purchase_sum"),
+                         "_k_pts": F.col("l_linenumber").cast("bigint") * (1 << 40) + F.col("regular_points_received")})
+    f = client_features(li, orders, cust, order_col={"purchase_sum": "_k_price", "regular_points_received": "_k_pts"})
     from causeway.functions import codes as C
     f = f.withColumn("avg_purchase", F.col("avg_purchase") / 100)
     return f.select("client_id", "num_transactions", "avg_purchase", "avg_product_quantity",
