@@ -22,10 +22,12 @@ TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    # measured: spreading the narrow tables too costs more (an extra shuffle and the
+    # sort before a round-robin exchange) than it saves, so only text tables get it
     return spread(df) if name in TEXT_TABLES else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, barrier: bool = True) -> DataFrame:
     """Parallelism floor for scans: a file with a single row group is read by one
     task, which would run every per-row text operator on one core.  Only when a
     scan yields fewer partitions than the cluster's default parallelism is it
@@ -33,10 +35,14 @@ def spread(df: DataFrame) -> DataFrame:
     untouched, so at scale this adds no shuffle and every filter still reaches the
     scan.  On the redistributed path, an always-true nondeterministic predicate
     keeps Catalyst from pushing the (expensive, per-row) filters back below the
-    exchange into the single scan task; column pruning still reaches the scan."""
+    exchange into the single scan task; column pruning still reaches the scan.  The
+    barrier is used for text tables only (their filters are the expensive part); on
+    the others computed columns already run after the exchange and plans stay
+    deterministic, so Spark can reuse their exchanges."""
     par = df.sparkSession.sparkContext.defaultParallelism
     if par > 1 and df.rdd.getNumPartitions() < par:
-        return df.repartition(par).where(F.spark_partition_id() >= 0)
+        out = df.repartition(par)
+        return out.where(F.spark_partition_id() >= 0) if barrier else out
     return df
 
 
