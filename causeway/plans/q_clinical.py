@@ -243,3 +243,76 @@ def lexicon_terms_documents(spark, sf):
     return d.select("doc_id",
                     F.array_join(T.mention_terms(["source", "text"], BOTOX.lexicon), ",").alias("treatments"),
                     F.array_join(T.mention_terms(["source", "text"], BOTOX.outcome_words), ",").alias("outcome_words"))
+
+
+# ------------------------------------------------------------------ C17 retail discretiser (I6 from distinct ages)
+
+RETAIL_ANSWERS_SQL = """
+SELECT c_custkey AS unit_id,
+       CASE WHEN c_custkey % 7 = 0 THEN 'Unknown' ELSE CAST(18 + c_custkey % 70 AS STRING) END AS age,
+       CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS STRING) AS avg_purchase,
+       CAST(c_custkey % 15 AS STRING) AS avg_product_quantity,
+       CASE WHEN c_nationkey % 5 = 0 THEN 'Unknown' ELSE CAST(c_custkey % 40 AS STRING) END AS num_transactions,
+       CAST(c_nationkey AS STRING) AS avg_regular_points_received,
+       CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'No' END AS purchase,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'Yes' WHEN 'MACHINERY' THEN 'Unknown' ELSE 'No' END AS sms_communication
+FROM customer
+"""
+RETAIL_SEED = 10
+RETAIL_OUT = ("unit_id", "age", "age_binary", "avg_purchase", "avg_product_quantity", "num_transactions",
+              "avg_regular_points_received", "purchase", "sms_communication")
+
+
+def _retail_sql():
+    from causeway.functions.draws import sql_uniform
+    from causeway.spec import RETAIL_BINS
+    u = lambda tag: sql_uniform(RETAIL_SEED, tag, "unit_id")
+
+    def bin_sql(f, edges):
+        x = f"TRY_CAST(trim({f}) AS DOUBLE)"
+        cases = " ".join(f"WHEN {x} > {edges[i]} AND {x} <= {edges[i + 1]} THEN {i}" for i in range(len(edges) - 1))
+        return f"CAST(coalesce(CASE {cases} END, CAST(floor({u(f)} * {len(edges) - 1}) AS INTEGER)) AS INTEGER) AS {f}"
+
+    def yn(f):
+        return (f"CAST(coalesce(CASE {f} WHEN 'No' THEN 0 WHEN 'Yes' THEN 1 END, CAST(TRY_CAST(trim({f}) AS DOUBLE) AS INTEGER),"
+                f" CAST(floor({u(f)} * 2) AS INTEGER)) AS INTEGER) AS {f}")
+    cols = ("age", "avg_purchase", "avg_product_quantity", "num_transactions", "avg_regular_points_received",
+            "purchase", "sms_communication")
+    return f"""
+WITH {cte('raw', RETAIL_ANSWERS_SQL)},
+a AS (SELECT unit_id, {', '.join(f"{_unk(c)} AS {c}" for c in cols)} FROM raw),
+a1 AS (SELECT * REPLACE (TRY_CAST(trim(age) AS DOUBLE) AS age) FROM a),
+d AS (SELECT DISTINCT age FROM a1 WHERE age IS NOT NULL),
+r AS (SELECT age AS age_draw, row_number() OVER (ORDER BY age) - 1 AS k FROM d),
+a2 AS (SELECT a1.*, CAST(coalesce(CASE WHEN age <= 45 THEN 0 WHEN age > 45 THEN 1 END,
+                                  CAST(floor({u('age_binary')} * 2) AS INTEGER)) AS INTEGER) AS age_binary,
+              CASE WHEN age IS NULL THEN CAST(floor({u('age')} * (SELECT count(*) FROM d)) AS INTEGER) END AS k FROM a1),
+a3 AS (SELECT a2.* REPLACE (coalesce(a2.age, r.age_draw) AS age) FROM a2 LEFT JOIN r ON a2.k = r.k)
+SELECT unit_id, round(age, 6) AS age, age_binary,
+       {', '.join(bin_sql(f, e) for f, e in RETAIL_BINS.items())}, {yn('purchase')}, {yn('sms_communication')}
+FROM a3
+"""
+
+
+@register("discretize_retail_customers", _retail_sql())
+def discretize_retail_customers(spark, sf):
+    """C17 for the retail study: age -> age_binary, right-closed bins (C14), Yes/No codes,
+    every missing value imputed by a keyed draw (I6) -- ages from the observed distinct ages."""
+    a = TB.derived(spark, sf, RETAIL_ANSWERS_SQL, ("customer",))
+    d = discretize.discretize_retail(a, seed=RETAIL_SEED, id_col="unit_id")
+    return d.select("unit_id", r6(F.col("age")).alias("age"), *[F.col(c).cast("int").alias(c) for c in RETAIL_OUT[2:]])
+
+
+# ------------------------------------------------------------------ J20: estimators on coded samples
+
+@register("sample_estimators_orders")
+def sample_estimators_orders(spark, sf):
+    """J20 + J21: registry estimators on the coded email-marketing samples (strata codes
+    as covariates, email_type -> visit).  No SQL oracle: multi-covariate model fits."""
+    from causeway.plans.q_misc import _email_codes
+    s = _email_codes(spark, sf).withColumns({c: F.col(c).cast("int") for c in
+                                             ("recency", "history", "mens", "womens", "zip_code", "newbie",
+                                              "channel", "email_type", "visit")})
+    xs = ["recency", "history", "mens", "womens", "zip_code", "newbie", "channel"]
+    r = models.compare(s, xs, "email_type", "visit", ("naive", "standardization", "strat_std"))
+    return r.select("estimator", F.round("ate", 6).alias("ate"))
