@@ -139,8 +139,11 @@ def _h(seed, tag, col) -> Column:
                               1, 8), 16, 10).cast("decimal(38,0)")
 
 
+BUCKET_ROWS = 2_000_000     # target rows per (cell, bucket) window at scale
+
+
 def confounded_resample(df: DataFrame, x: str, t: str, propensity: float, seed: int, n_draws=None,
-                        id_col: str = "unit_id", scale: int = 10_000, buckets: int = 1024) -> DataFrame:
+                        id_col: str = "unit_id", scale: int = 10_000, buckets: int | None = None) -> DataFrame:
     """Draw n units with replacement, weight ``t ex / n1 + (1 - t)(1 - ex) / n0``,
     ``ex = p (1 - x) + (1 - p) x`` (x, t binary).
 
@@ -153,6 +156,10 @@ def confounded_resample(df: DataFrame, x: str, t: str, propensity: float, seed:
     All position arithmetic is exact (DECIMAL(38,0) and integral division), so the
     draws are reproducible in SQL."""
     spark = df.sparkSession
+    if buckets is None:
+        # at least 1024 keyed buckets, more as the table grows, so the in-bucket
+        # row-number window never holds more than ~BUCKET_ROWS rows
+        buckets = max(1024, -(-df.count() // BUCKET_ROWS))
     p = int(round(propensity * scale))
     u = (df.select(id_col, F.col(t).cast("int").alias("_t"), F.col(x).cast("int").alias("_x"))
          .withColumn("_bucket", F.floor(uniform(seed, "bucket", id_col) * buckets).cast("int")))

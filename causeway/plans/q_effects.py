@@ -377,7 +377,7 @@ def stratified_split_orders(spark, sf):
     return s.select("unit_id", "split")
 
 
-RESAMPLE_P, RESAMPLE_SEED, RESAMPLE_BUCKETS = 0.3, 10, 1024
+RESAMPLE_P, RESAMPLE_SEED = 0.3, 10
 
 
 def _h_sql(seed, tag, e):
@@ -387,7 +387,8 @@ def _h_sql(seed, tag, e):
 RESAMPLE_SQL = f"""
 WITH {cte('u0', TB.UNITS_SQL)},
 u AS (SELECT unit_id, t, CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END AS x,
-             CAST(floor({sql_uniform(RESAMPLE_SEED, 'bucket', 'unit_id')} * {RESAMPLE_BUCKETS}) AS INTEGER) AS bucket
+             CAST(floor({sql_uniform(RESAMPLE_SEED, 'bucket', 'unit_id')}
+                        * (SELECT greatest(1024, CAST(ceil(count(*) / 2000000.0) AS BIGINT)) FROM u0)) AS INTEGER) AS bucket
       FROM u0),
 cb AS (SELECT t, x, bucket, count(*) AS cnt FROM u GROUP BY t, x, bucket),
 cbo AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY t, x ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -418,5 +419,5 @@ def resample_orders(spark, sf):
     """Confounded resample with replacement (confounder: building segment, p = 0.3)."""
     from causeway.plans.queries import units
     u = units(spark, sf).withColumn("x", (F.col("segment") == "BUILDING").cast("int"))
-    r = sampling.confounded_resample(u, "x", "t", RESAMPLE_P, RESAMPLE_SEED, buckets=RESAMPLE_BUCKETS)
+    r = sampling.confounded_resample(u, "x", "t", RESAMPLE_P, RESAMPLE_SEED)   # buckets grow with the table
     return r.select("draw_id", "unit_id")
