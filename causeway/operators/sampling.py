@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +44,14 @@ def rank_select(df: DataFrame, by, ks: dict, u: str, tie: str, bins: int = BINS)
     threshold table (one row per group), and a window over the rows of the
     boundary bins only -- about n / bins rows per group, however hot the group."""
     by = list(by)
+    # the input is read twice (histogram, then selection): materialise it once
+    # (memory and disk; lost blocks are recomputed from lineage)
     x = df.withColumn("_bin", F.least(F.floor(F.col(u) * bins).cast("int"), F.lit(bins - 1)))
     kcols = {}
     for name, k in ks.items():
         kcols[name] = f"_k_{name}"
         x = x.withColumn(kcols[name], F.lit(k).cast("bigint") if not isinstance(k, str) else F.col(k).cast("bigint"))
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)
     hist = x.groupBy(*by, "_bin").agg(F.count("*").alias("_cnt"), *[F.first(c).alias(c) for c in kcols.values()])
     w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(w))
@@ -121,6 +125,7 @@ def stratified_split(df: DataFrame, strata, train_size: int, test_size: int, see
     alloc = allocate(alloc.withColumn("n_rest", F.col("n") - F.col("k_train")), strata, test_size,
                      n_col="n_rest", out="k_val")
     alloc = alloc.select(*strata, "k_train", (F.col("k_train") + F.col("k_val")).alias("k_all"))
+    alloc = alloc.persist()          # one row per stratum, referenced by every selection pass
     x = df.join(F.broadcast(alloc), strata).withColumn("_u", uniform(seed, "split", id_col))
     chosen = rank_select(x, strata, {"train": "k_train", "all": "k_all"}, "_u", id_col)
     return chosen.withColumn("split", F.when(F.col("in_train"), "train").otherwise("val")) \
@@ -156,6 +161,7 @@ def confounded_resample(df: DataFrame, x: str, t: str, propensity: float, seed:
     All position arithmetic is exact (DECIMAL(38,0) and integral division), so the
     draws are reproducible in SQL."""
     spark = df.sparkSession
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)   # read by the counts, the ranks and the final join
     if buckets is None:
         # at least 1024 keyed buckets, more as the table grows, so the in-bucket
         # row-number window never holds more than ~BUCKET_ROWS rows
