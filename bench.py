@@ -13,7 +13,7 @@ HEADLINE = [
     "ate_orders", "retail_features", "rule_filter_documents", "mention_filter_documents", "keep_first_documents",
     "thread_stitch_conversations", "discretize_email_orders", "discretize_liraglutide_hard",
     "ipw_full_embeddings", "ipw_hybrid_embeddings", "trials_orders", "resample_orders", "stratified_split_orders",
-    "dialog_render_conversations",
+    "dialog_render_conversations", "curate_documents", "discretize_retail_customers",
 ]
 
 

@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.functions import arrays as A
+
 from causeway.functions import text as T
-from causeway.functions.draws import sql_uniform, uniform
+from causeway.functions.draws import sql_uniform
 from causeway.operators import clean, discretize, estimators, thread
 from causeway.plans import tables as TB
 from causeway.plans.tables import derived
-from causeway.spec import EMAIL, LIRAGLUTIDE, RETAIL_BINS, TIRZEPATIDE
+from causeway.spec import LIRAGLUTIDE, RETAIL_BINS, TIRZEPATIDE
 
 from causeway.plans.registry import ORACLES, QUERIES, r6, register  # noqa: F401
 from causeway.plans.registry import cte as _cte
