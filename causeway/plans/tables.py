@@ -39,8 +39,12 @@ def spread(df: DataFrame, barrier: bool = True) -> DataFrame:
     barrier is used for text tables only (their filters are the expensive part); on
     the others computed columns already run after the exchange and plans stay
     deterministic, so Spark can reuse their exchanges."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if par > 1 and df.rdd.getNumPartitions() < par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:   # e.g. a Spark Connect session: no RDD view, leave the scan alone
+        return df
+    if par > 1 and parts < par:
         out = df.repartition(par)
         return out.where(F.spark_partition_id() >= 0) if barrier else out
     return df
