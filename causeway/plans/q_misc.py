@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causeway.functions import arrays as A
 from causeway.functions import codes as C
 from causeway.functions import text as T
-from causeway.functions.draws import sql_uniform
+from causeway.functions.draws import sql_uniform, uniform
 from causeway.operators import clean, discretize, estimators, evaluate, grid, sampling
 from causeway.plans import tables as TB
 from causeway.plans.registry import cte, r6, register
@@ -290,13 +290,19 @@ sc AS (SELECT doc_id, cell, email_type, visit, -CAST(length(prompt) % 7 AS DOUBL
 mx AS (SELECT doc_id, max(loglik) AS m FROM sc GROUP BY doc_id),
 p AS (SELECT sc.*, exp(loglik - m) / sum(exp(loglik - m)) OVER (PARTITION BY sc.doc_id) AS p
       FROM sc JOIN mx USING (doc_id)),
-best AS (SELECT doc_id, max(p) AS posterior FROM p GROUP BY doc_id)
-SELECT p.doc_id, min(p.cell) AS max_cell,
-       arg_min(CASE p.email_type WHEN 0 THEN 'No' ELSE 'Yes' END, p.cell) AS max_sample_email_type,
-       arg_min(CASE p.visit WHEN 0 THEN 'No' ELSE 'Yes' END, p.cell) AS max_sample_visit,
-       round(any_value(best.posterior), 6) AS posterior
-FROM p JOIN best USING (doc_id) WHERE p.p = best.posterior GROUP BY p.doc_id
-"""
+best AS (SELECT doc_id, max(p) AS posterior FROM p GROUP BY doc_id),
+mxc AS (SELECT p.doc_id, min(p.cell) AS max_cell,
+               arg_min(CASE p.email_type WHEN 0 THEN 'No' ELSE 'Yes' END, p.cell) AS max_sample_email_type,
+               arg_min(CASE p.visit WHEN 0 THEN 'No' ELSE 'Yes' END, p.cell) AS max_sample_visit,
+               round(any_value(best.posterior), 6) AS posterior
+        FROM p JOIN best USING (doc_id) WHERE p.p = best.posterior GROUP BY p.doc_id),
+cum AS (SELECT doc_id, cell, sum(p) OVER (PARTITION BY doc_id ORDER BY cell ROWS UNBOUNDED PRECEDING) AS c FROM p),
+smp AS (SELECT doc_id, coalesce(min(cell) FILTER (WHERE c > {{SAMPLE_U}}), 3) AS sample_cell FROM cum GROUP BY doc_id)
+SELECT mxc.*, CAST(sample_cell AS INTEGER) AS sample_cell,
+       CASE sample_cell // 2 WHEN 0 THEN 'No' ELSE 'Yes' END AS sample_email_type,
+       CASE sample_cell % 2 WHEN 0 THEN 'No' ELSE 'Yes' END AS sample_visit
+FROM mxc JOIN smp USING (doc_id)
+""".replace("{SAMPLE_U}", sql_uniform(8, "sample", "doc_id"))
 
 
 @register("option_scoring_documents", OPTIONS_SQL)
@@ -315,12 +321,15 @@ def option_scoring_documents(spark, sf):
     scored = x.select("doc_id", "cell", (-(F.length("prompt") % 7)).cast("double").alias("loglik"))
     arr = grid.collect_scores(scored, "doc_id", "cell", "loglik")
     p = arr.withColumn("p", A.softmax("loglik"))
-    best = p.withColumn("max_cell", A.argmax("p")).withColumn("posterior", F.array_max("p"))
+    best = (p.withColumn("max_cell", A.argmax("p")).withColumn("posterior", F.array_max("p"))
+            .withColumn("sample_cell", A.draw_index("p", uniform(8, "sample", "doc_id"))))          # I4
     labels = {f: EMAIL.options[f] for f in OPT_FIELDS}
-    return best.select("doc_id", F.col("max_cell").cast("int").alias("max_cell"),
+    return best.select("doc_id", F.col("max_cell").cast("int").alias("max_cell"),                  # C30
                        C.decode_options(labels["email_type"], F.floor(F.col("max_cell") / 2)).alias("max_sample_email_type"),
                        C.decode_options(labels["visit"], F.col("max_cell") % 2).alias("max_sample_visit"),
-                       r6("posterior").alias("posterior"))
+                       r6("posterior").alias("posterior"), F.col("sample_cell").cast("int").alias("sample_cell"),
+                       C.decode_options(labels["email_type"], F.floor(F.col("sample_cell") / 2)).alias("sample_email_type"),
+                       C.decode_options(labels["visit"], F.col("sample_cell") % 2).alias("sample_visit"))
 
 
 # ------------------------------------------------------------------ K1 / K2 / K4 / K6 on the embedding arrays
