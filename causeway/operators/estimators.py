@@ -47,16 +47,18 @@ def ipw_full(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=()) -> Da
     by = list(by)
     c = _cells(df, probs, n_z, n_y, by)
     e = full_joint_propensity(df, probs, n_z, n_y, by)
-    n = df.groupBy(*by).agg(F.count("*").alias("n"))
+    # every unit contributes once to every cell, so n is the per-cell count, taken from the
+    # same cell totals in the same aggregate (no second scan of the arrays, no join)
     ok = F.coalesce((F.col("e0") != 0) & (F.col("e1") != 0), F.lit(False))
     term = F.when(F.col("z") == 1, F.col("y") * F.col("s") / F.col("e1")) \
         .otherwise(-F.col("y") * F.col("s") / F.col("e0"))
     raw = F.when(F.col("z") == 1, F.col("y") * F.col("s")).otherwise(-F.col("y") * F.col("s"))
     agg = (c.join(e, [*by, "x"])
            .groupBy(*by)
-           .agg(F.sum(F.when(ok, term).otherwise(0.0)).alias("_ipw"), F.sum(raw).alias("_raw")))
-    return (agg.join(n, by) if by else agg.withColumn("n", df.select(F.count("*")).scalar())) \
-        .select(*by, "n", (F.col("_ipw") / F.col("n")).alias("ate"), (F.col("_raw") / F.col("n")).alias("uncorrected"))
+           .agg(F.sum(F.when(ok, term).otherwise(0.0)).alias("_ipw"), F.sum(raw).alias("_raw"),
+                F.max("n").alias("n")))
+    return agg.select(*by, "n", (F.col("_ipw") / F.col("n")).alias("ate"),
+                      (F.col("_raw") / F.col("n")).alias("uncorrected"))
 
 
 def joint_reweighted(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=()) -> DataFrame:
