@@ -38,14 +38,14 @@ def _unk(c):
     return f"CASE WHEN {c} IN ('Unknown', 'unknown') THEN NULL ELSE {c} END"
 
 
-def _botox_sql(mode):
+def _botox_sql(mode, raw_sql=None):
     folds = {n: code for code, names in BOTOX.treatment_folds.items() for n in names}
     fold = "CASE " + " ".join(f"WHEN drug_type = '{k}' THEN {v}" for k, v in folds.items()) + " END"
     allowed = ", ".join(f"'{a}'" for a in BOTOX.allowed_treatments)
     cmap = "CASE country " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in BOTOX.aliases["country"].items()) + " END"
     num = ", ".join(f"TRY_CAST(trim({c}) AS DOUBLE) AS {c}" for c in _NUM)
     sql = f"""
-WITH {cte('raw', MIGRAINE_ANSWERS_SQL)},
+WITH {cte('raw', raw_sql or MIGRAINE_ANSWERS_SQL)},
 a AS (SELECT unit_id, {', '.join(f'{_unk(c)} AS {c}' for c in _RAW)} FROM raw),
 h AS (SELECT * FROM a {f"WHERE drug_type IN ({allowed}) AND discontinued IS NOT NULL" if mode == "hard" else ""}),
 n AS (SELECT unit_id, drug_type,
@@ -316,3 +316,70 @@ def sample_estimators_orders(spark, sf):
     xs = ["recency", "history", "mens", "womens", "zip_code", "newbie", "channel"]
     r = models.compare(s, xs, "email_type", "visit", ("naive", "standardization", "strat_std"))
     return r.select("estimator", F.round("ate", 6).alias("ate"))
+
+
+
+# ------------------------------------------------------------------ 3.2: extraction, composed
+
+DRUGS = ("Botox", "Topamax", "Topiramate", "Unknown", "Qudexy", "Trokendi")
+SEXES = ("Male", "Female", "unknown")
+COUNTRY_BY_LANG = {"en": "US", "fr": "Europe", "de": "Germany", "es": "Argentina"}
+VERDICTS = ("Yes", "No", "Unknown")
+
+
+def answer_scorer(pdf):
+    """Stand-in for a user's extraction model: one JSON answer per post (pandas batch)."""
+    import json
+
+    import pandas as pd
+    rows = []
+    for doc_id, n_chars, lang in zip(pdf["doc_id"], pdf["n_chars"], pdf["lang"]):
+        rows.append(json.dumps({
+            "drug_type": DRUGS[doc_id % 6], "age": "Unknown" if doc_id % 5 == 0 else str(18 + n_chars % 60),
+            "sex": SEXES[doc_id % 3], "country": COUNTRY_BY_LANG.get(lang, "Unknown"),
+            "baseline_MMD": str(4 + n_chars % 25), "final_MMD": "Unknown", "duration_days": str(7 + doc_id % 60),
+            "dosage": "Unknown", "adverse_effect": "Unknown", "discontinued": VERDICTS[n_chars % 3]}))
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "answer": rows})
+
+
+_SCORED_SQL = f"""
+SELECT doc_id AS unit_id,
+       CASE doc_id % 6 {' '.join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DRUGS))} END AS drug_type,
+       CASE WHEN doc_id % 5 = 0 THEN 'Unknown' ELSE CAST(18 + n_chars % 60 AS VARCHAR) END AS age,
+       CASE doc_id % 3 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SEXES))} END AS sex,
+       CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRY_BY_LANG.items())} ELSE 'Unknown' END AS country,
+       CAST(4 + n_chars % 25 AS VARCHAR) AS baseline_MMD, 'Unknown' AS final_MMD,
+       CAST(7 + doc_id % 60 AS VARCHAR) AS duration_days, 'Unknown' AS dosage, 'Unknown' AS adverse_effect,
+       CASE n_chars % 3 {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VERDICTS))} END AS discontinued
+FROM documents
+"""
+
+EXTRACTION_SQL = _botox_sql("soft_inf", _SCORED_SQL) + f""",
+cc AS (SELECT * FROM out WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _STRATA)} AND discontinued IS NOT NULL),
+s AS (SELECT {', '.join(_STRATA)}, count(*) FILTER (WHERE drug_type = 0) AS n0, count(*) FILTER (WHERE drug_type = 1) AS n1,
+             sum(CASE WHEN drug_type = 1 THEN discontinued ELSE 0 END) AS y1,
+             sum(CASE WHEN drug_type = 0 THEN discontinued ELSE 0 END) AS y0
+      FROM cc GROUP BY ALL)
+SELECT CAST(sum(n0 + n1) AS BIGINT) AS n,
+       round(sum(CASE WHEN n0 > 0 AND n1 > 0 THEN y1 / (n1 / (n0 + n1)) - y0 / (n0 / (n0 + n1)) ELSE 0 END)
+             / sum(n0 + n1), 6) AS ate_ipw,
+       round(sum(y1) / sum(n1) - sum(y0) / sum(n0), 6) AS ate_naive
+FROM s
+"""
+
+
+@register("extraction_documents", EXTRACTION_SQL)
+def extraction_documents(spark, sf):
+    """Extraction as one plan: user batch scorer over Arrow batches (N1/A9) -> JSON answers
+    parsed (C18) -> migraine discretiser, soft mode with binarisation (C16, C13) ->
+    complete cases on the strata (B17) -> stratum-propensity IPW and naive effect (E6, J10)."""
+    from causeway.sources import io
+    fields = list(_RAW)
+    posts = TB.table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    scored = io.score(posts, answer_scorer, "doc_id long, answer string")
+    parsed = discretize.parse_answers(scored, "answer", fields).withColumnRenamed("doc_id", "unit_id")
+    d = discretize.discretize_clinical(parsed, BOTOX, mode="soft_inf")
+    d = clean.complete_cases(d, _STRATA + ["discontinued"])
+    r = estimators.ipw_strata(d, _STRATA, "drug_type", "discontinued")
+    return r.select(F.col("n").cast("bigint").alias("n"), r6("ate_ipw").alias("ate_ipw"),
+                    r6("ate_naive").alias("ate_naive"))
