@@ -336,9 +336,9 @@ def answer_scorer(pdf):
     for doc_id, n_chars, lang in zip(pdf["doc_id"], pdf["n_chars"], pdf["lang"]):
         rows.append(json.dumps({
             "drug_type": DRUGS[doc_id % 6], "age": "Unknown" if doc_id % 5 == 0 else str(18 + n_chars % 60),
-            "sex": SEXES[doc_id % 3], "country": COUNTRY_BY_LANG.get(lang, "Unknown"),
+            "sex": SEXES[n_chars % 3], "country": COUNTRY_BY_LANG.get(lang, "Unknown"),
             "baseline_MMD": str(4 + n_chars % 25), "final_MMD": "Unknown", "duration_days": str(7 + doc_id % 60),
-            "dosage": "Unknown", "adverse_effect": "Unknown", "discontinued": VERDICTS[n_chars % 3]}))
+            "dosage": "Unknown", "adverse_effect": "Unknown", "discontinued": VERDICTS[(n_chars // 3) % 3]}))
     return pd.DataFrame({"doc_id": pdf["doc_id"], "answer": rows})
 
 
@@ -346,11 +346,11 @@ _SCORED_SQL = f"""
 SELECT doc_id AS unit_id,
        CASE doc_id % 6 {' '.join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DRUGS))} END AS drug_type,
        CASE WHEN doc_id % 5 = 0 THEN 'Unknown' ELSE CAST(18 + n_chars % 60 AS VARCHAR) END AS age,
-       CASE doc_id % 3 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SEXES))} END AS sex,
+       CASE n_chars % 3 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SEXES))} END AS sex,
        CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRY_BY_LANG.items())} ELSE 'Unknown' END AS country,
        CAST(4 + n_chars % 25 AS VARCHAR) AS baseline_MMD, 'Unknown' AS final_MMD,
        CAST(7 + doc_id % 60 AS VARCHAR) AS duration_days, 'Unknown' AS dosage, 'Unknown' AS adverse_effect,
-       CASE n_chars % 3 {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VERDICTS))} END AS discontinued
+       CASE (n_chars // 3) % 3 {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VERDICTS))} END AS discontinued
 FROM documents
 """
 
