@@ -266,7 +266,7 @@ def render_prompts_conversations(spark, sf):
 
 RETAIL_SQL = f"""
 WITH li AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
-                   CAST(round(l_tax * 100) AS BIGINT) AS pts, CAST(l_quantity AS BIGINT) AS qty FROM lineitem),
+                   CAST(round(l_tax * 100) AS BIGINT) AS pts, CAST(ceil(l_quantity / 10) AS BIGINT) AS qty FROM lineitem),
 l AS (SELECT l_orderkey,
              arg_max(cents, CAST(l_linenumber AS BIGINT) * 1099511627776 + cents) FILTER (WHERE cents IS NOT NULL)
                  AS purchase_sum,
@@ -275,7 +275,7 @@ l AS (SELECT l_orderkey,
              sum(qty) AS quantity
       FROM li GROUP BY l_orderkey),
 t AS (SELECT o.o_custkey AS client_id, l.* FROM l JOIN orders o ON l.l_orderkey = o.o_orderkey),
-f AS (SELECT client_id, CAST(sum(purchase_sum) AS DOUBLE) / count(purchase_sum) / 100 AS avg_purchase,
+f AS (SELECT client_id, CAST(sum(purchase_sum) AS DOUBLE) / count(purchase_sum) / 10000 AS avg_purchase,
              CAST(sum(points) AS DOUBLE) / count(points) AS avg_regular_points_received,
              CAST(sum(quantity) AS DOUBLE) / count(quantity) AS avg_product_quantity,
              CAST(count(*) AS BIGINT) AS num_transactions
@@ -310,7 +310,7 @@ def retail_features_q(spark, sf):
         F.col("l_orderkey").alias("transaction_id"), "l_linenumber",
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("purchase_sum"),
         F.round(F.col("l_tax") * 100).cast("bigint").alias("regular_points_received"),
-        F.col("l_quantity").cast("bigint").alias("product_quantity"))
+        F.ceil(F.col("l_quantity") / 10).cast("bigint").alias("product_quantity"))
     orders = TB.table(spark, sf, "orders").select(F.col("o_orderkey").alias("transaction_id"),
                                                   F.col("o_custkey").alias("client_id"))
     cust = TB.table(spark, sf, "customer").select(
@@ -323,7 +323,7 @@ def retail_features_q(spark, sf):
                          "_k_pts": F.col("l_linenumber").cast("bigint") * (1 << 40) + F.col("regular_points_received")})
     f = client_features(li, orders, cust, order_col={"purchase_sum": "_k_price", "regular_points_received": "_k_pts"})
     from causeway.functions import codes as C
-    f = f.withColumn("avg_purchase", F.col("avg_purchase") / 100)
+    f = f.withColumn("avg_purchase", F.col("avg_purchase") / 10000)      # cents -> hundreds of dollars
     return f.select("client_id", "num_transactions", "avg_purchase", "avg_product_quantity",
                     "avg_regular_points_received",
                     *[C.right_closed_bin(c, e).alias(c + "_bin") for c, e in RETAIL_BINS.items()],
