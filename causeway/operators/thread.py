@@ -75,7 +75,12 @@ def stitch(submissions: DataFrame, comments: DataFrame, key: str = "thread_key",
                             "subreddit", "title", F.lit("").alias("initial_post"), "post", "score", "created_utc",
                             "permalink", "author_replies")
     others = linked.where(~is_author).drop("_sub_author")                        # D2
-    com_rows = (others.join(posts.select(sub_id, "subreddit", "title", F.col("post").alias("initial_post")), sub_id)
+    # join the bulk comment rows back on the thread key they are already partitioned by
+    # (then match the submission): the comments are shuffled once, by the first join only
+    p = posts.select(F.col(sub_id).alias("_p_sub"), key, "subreddit", "title", F.col("post").alias("initial_post"))
+    # (the submission match is written as a difference so Catalyst keeps the thread key
+    # as the only equi-join key and does not re-partition the comments by (key, sub_id))
+    com_rows = (others.join(p, (others[key] == p[key]) & ((others[sub_id] - p["_p_sub"]) == 0)).drop(p[key])
                 .select(sub_id, F.col(seq).cast("bigint").alias(seq), F.lit(True).alias("is_comment"), "subreddit",
                         "title", "initial_post", F.col("_body").alias("post"), F.col("_c_score").alias("score"),
                         F.col("_c_created").alias("created_utc"), F.col("_c_permalink").alias("permalink"),
