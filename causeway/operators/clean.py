@@ -58,19 +58,22 @@ def unknown_to_null(df: DataFrame, cols=None) -> DataFrame:
     return df.withColumns({c: C.unknown_to_null(c) for c in cols})
 
 
-def keep_first(df: DataFrame, keys, order: str) -> DataFrame:
+def keep_first(df: DataFrame, keys, order: str, extra: dict | None = None) -> DataFrame:
     """one row per key, the one with the smallest ``order``.
 
     Written as a grouped ``min_by`` rather than a ``row_number`` window: the
     aggregate is combined map-side, so a key repeated across a third of the
-    table is reduced before the shuffle instead of landing in one task."""
+    table is reduced before the shuffle instead of landing in one task.  ``extra``
+    adds aggregates over each key group (e.g. the number of copies) to the same pass."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     others = [c for c in df.columns if c not in keys]
+    extra = extra or {}
+    more = [v.alias(k) for k, v in extra.items()]
     if others == [order]:
         # only the order column rides along: a plain min is a hash aggregate
-        return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order)).alias("_first"))
-    return agg.select(*keys, *[F.col("_first." + c).alias(c) for c in others]).select(*df.columns)
+        return df.groupBy(*keys).agg(F.min(order).alias(order), *more).select(*df.columns, *extra)
+    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order)).alias("_first"), *more)
+    return agg.select(*keys, *[F.col("_first." + c).alias(c) for c in others], *extra).select(*df.columns, *extra)
 
 
 def complete_cases(df: DataFrame, cols) -> DataFrame:
