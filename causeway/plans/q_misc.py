@@ -369,33 +369,46 @@ def joint_distance_embeddings(spark, sf):
     return r.select(r6("kl").alias("kl"), r6("mse").alias("mse"))
 
 
-ACC_SQL = """
+ACC_TRIALS, ACC_SIZE, ACC_SEED = 3, 200, 321
+
+
+def _acc_sql():
+    from causeway.functions.draws import sql_uniform_seed
+    u = sql_uniform_seed(f"{ACC_SEED} + tr.trial", "trial", "e.vec_id")
+    return f"""
 WITH ex AS (SELECT vec_id AS unit_id, r.pos - 1 AS pos, CAST(embedding[r.pos] AS DOUBLE) AS l
             FROM embeddings CROSS JOIN range(1, 9) AS r(pos)),
 am AS (SELECT unit_id, min(pos) AS cell FROM (SELECT unit_id, pos, l, max(l) OVER (PARTITION BY unit_id) AS ml FROM ex)
        WHERE l = ml GROUP BY unit_id),
 t AS (SELECT vec_id AS unit_id, CAST(embedding[9] > 0 AS INTEGER) AS z, CAST(embedding[10] > 0 AS INTEGER) AS x,
              CAST(embedding[11] > 0 AS INTEGER) AS y FROM embeddings),
-j AS (SELECT t.*, am.cell // 4 AS mx, (am.cell // 2) % 2 AS mz, am.cell % 2 AS my FROM t JOIN am USING (unit_id))
-SELECT metric, round(mean, 6) AS mean, round(std, 6) AS std FROM (
-  SELECT 'x_acc_max' AS metric, avg(CAST(x = mx AS DOUBLE)) AS mean, CAST(0 AS DOUBLE) AS std FROM j
-  UNION ALL SELECT 'z_acc_max', avg(CAST(z = mz AS DOUBLE)), CAST(0 AS DOUBLE) FROM j
-  UNION ALL SELECT 'y_acc_max', avg(CAST(y = my AS DOUBLE)), CAST(0 AS DOUBLE) FROM j)
+tr AS (SELECT unit_id, trial FROM (
+         SELECT e.vec_id AS unit_id, CAST(tr.trial AS INTEGER) AS trial,
+                row_number() OVER (PARTITION BY tr.trial ORDER BY {u}, e.vec_id) AS rn
+         FROM embeddings e CROSS JOIN range({ACC_TRIALS}) AS tr(trial)) WHERE rn <= {ACC_SIZE}),
+j AS (SELECT tr.trial, t.*, am.cell // 4 AS mx, (am.cell // 2) % 2 AS mz, am.cell % 2 AS my
+      FROM tr JOIN t USING (unit_id) JOIN am USING (unit_id)),
+per AS (SELECT trial, 'x_acc_max' AS metric, avg(CAST(x = mx AS DOUBLE)) AS acc FROM j GROUP BY trial
+        UNION ALL SELECT trial, 'z_acc_max', avg(CAST(z = mz AS DOUBLE)) FROM j GROUP BY trial
+        UNION ALL SELECT trial, 'y_acc_max', avg(CAST(y = my AS DOUBLE)) FROM j GROUP BY trial)
+SELECT metric, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS std FROM per GROUP BY metric
 """
 
 
-@register("accuracy_embeddings", ACC_SQL)
+@register("accuracy_embeddings", _acc_sql())
 def accuracy_embeddings(spark, sf):
-    """K6: per-field agreement between 'true' codes (signs of later embedding values)
-    and the arg-max decoded option, mean and population std over trials (one trial)."""
+    """K6 (+ I3): per-field agreement between 'true' codes (signs of later embedding values)
+    and the arg-max decoded option, per keyed trial subsample, then mean and population std
+    over the trials."""
     e = TB.table(spark, sf, "embeddings")
     v = F.col("embedding").cast("array<double>")
     truth = e.select(F.col("vec_id").alias("unit_id"), (F.element_at(v, 10) > 0).cast("int").alias("x"),
                      (F.element_at(v, 9) > 0).cast("int").alias("z"), (F.element_at(v, 11) > 0).cast("int").alias("y"))
+    truth = sampling.trials(truth, ACC_TRIALS, ACC_SIZE, ACC_SEED)
     cell = A.argmax(F.slice(v, 1, 8))
     pred = e.select(F.col("vec_id").alias("unit_id"), (F.floor(cell / 4)).cast("int").alias("max_sample_x"),
                     (F.floor(cell / 2) % 2).cast("int").alias("max_sample_z"), (cell % 2).cast("int").alias("max_sample_y"))
-    r = evaluate.accuracy(truth, pred, "unit_id", ["x", "z", "y"], prefixes=("max_sample_",))
+    r = evaluate.accuracy(truth, pred, "unit_id", ["x", "z", "y"], prefixes=("max_sample_",), by=["trial"])
     return r.select("metric", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
