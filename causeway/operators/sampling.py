@@ -44,14 +44,13 @@ def rank_select(df: DataFrame, by, ks: dict, u: str, tie: str, bins: int = BINS)
     threshold table (one row per group), and a window over the rows of the
     boundary bins only -- about n / bins rows per group, however hot the group."""
     by = list(by)
-    # the input is read twice (histogram, then selection): materialise it once
-    # (memory and disk; lost blocks are recomputed from lineage)
+    # the input is read twice (histogram, then selection); materialising it was measured
+    # slower than re-reading it here, so the plan re-reads (callers may persist)
     x = df.withColumn("_bin", F.least(F.floor(F.col(u) * bins).cast("int"), F.lit(bins - 1)))
     kcols = {}
     for name, k in ks.items():
         kcols[name] = f"_k_{name}"
         x = x.withColumn(kcols[name], F.lit(k).cast("bigint") if not isinstance(k, str) else F.col(k).cast("bigint"))
-    x = x.persist(StorageLevel.MEMORY_AND_DISK)
     hist = x.groupBy(*by, "_bin").agg(F.count("*").alias("_cnt"), *[F.first(c).alias(c) for c in kcols.values()])
     w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(w))
