@@ -22,8 +22,8 @@ TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    # measured: spreading the narrow tables too costs more (an extra shuffle and the
-    # sort before a round-robin exchange) than it saves, so only text tables get it
+    # measured: spreading the narrow tables too costs more (an extra shuffle) than it
+    # saves at these sizes, so only text tables get it
     return spread(df) if name in TEXT_TABLES else df
 
 
@@ -45,7 +45,9 @@ def spread(df: DataFrame, barrier: bool = True) -> DataFrame:
     except Exception:   # e.g. a Spark Connect session: no RDD view, leave the scan alone
         return df
     if par > 1 and parts < par:
-        out = df.repartition(par)
+        # hash on the leading id column: unlike round-robin, no per-partition sort is
+        # needed to make the exchange deterministic on task retry
+        out = df.repartition(par, df.columns[0])
         return out.where(F.spark_partition_id() >= 0) if barrier else out
     return df
 
