@@ -98,3 +98,20 @@ def test_streaming_curation(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 3
     assert os.path.isdir(ck)
+
+
+def test_streaming_resume_is_idempotent(spark, tmp_path):
+    from causeway.streaming.curate import curated_stream, start_curation
+    src = tmp_path / "in"
+    src.mkdir()
+    row = {"subreddit": "m", "body": "this is a perfectly fine comment with enough words in it", "score": 1,
+           "created_utc": 10, "author": "ann"}
+    (src / "a.json").write_text(json.dumps({**row, "permalink": "/p/1/"}) + "\n")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    start_curation(curated_stream(spark, str(src), io.COMMENT_SCHEMA, "body", True), out, ck).awaitTermination(120)
+    # a new file repeats an already committed key and adds one new key
+    (src / "b.json").write_text(json.dumps({**row, "permalink": "/p/1/"}) + "\n" +
+                                json.dumps({**row, "permalink": "/p/2/"}) + "\n")
+    start_curation(curated_stream(spark, str(src), io.COMMENT_SCHEMA, "body", True), out, ck).awaitTermination(120)
+    got = sorted(r.permalink for r in spark.read.parquet(out).collect())
+    assert got == ["/p/1/", "/p/2/"]

@@ -85,3 +85,15 @@ def test_error_decomposition_sums(spark):
     ates = spark.createDataFrame([(0.1, 0.3), (0.2, 0.1), (0.05, 0.2)], "o double, p double")
     m = {r.metric: r.value for r in evaluate.trial_metrics(ates, 0.15, "o", "p", "x").collect()}
     assert m["CRE-Obs MSE"] + m["Obs-Pred MSE"] + m["Error Corr"] == pytest.approx(m["CRE-Pred MSE"])
+
+
+def test_row_local_draws_invariant_to_partitioning(spark, sf_dir):
+    from causeway.operators import discretize
+    from causeway.plans import tables as TB
+    a = TB.derived(spark, sf_dir, TB.EMAIL_ANSWERS_SQL, TB.EMAIL_NEEDS)
+    one = discretize.discretize_email(a, seed=10).collect()
+    two = discretize.discretize_email(a.repartition(7), seed=10).collect()
+    assert sorted(one) == sorted(two)
+    t1 = sampling.assign_traits(a.select("unit_id"), 0.5, 4, "unit_id").collect()
+    t2 = sampling.assign_traits(a.select("unit_id").repartition(5), 0.5, 4, "unit_id").collect()
+    assert sorted(t1) == sorted(t2)
