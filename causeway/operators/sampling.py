@@ -262,7 +262,8 @@ def round_and_label(df: DataFrame, round_cols, label_maps: dict) -> DataFrame:
     """Numbers rounded to integers and coded fields rendered as labels before the
     attribute text is written (label_maps: field -> {code: label})."""
     from causeway.functions.codes import lookup
-    upd = {c: F.round(F.col(c)).cast("bigint").cast("string") for c in round_cols if c in df.columns}
+    # Python's round(): half to even
+    upd = {c: F.bround(F.col(c)).cast("bigint").cast("string") for c in round_cols if c in df.columns}
     upd.update({c: lookup(m, F.col(c).cast("int")) for c, m in label_maps.items() if c in df.columns})
     return df.withColumns(upd)
 

@@ -459,3 +459,52 @@ def score_documents(spark, sf):
     """N1 + A9: a user batch scorer applied over Arrow batches to every document."""
     d = TB.table(spark, sf, "documents").select("doc_id", "text")
     return io.score(d, word_scorer, "doc_id long, n_words long")
+
+
+# ------------------------------------------------------------------ C28 + I7 + I8 + C5 with the retail spec
+
+RETAIL_X = ("avg_purchase", "avg_product_quantity", "num_transactions", "age", "avg_regular_points_received")
+RETAIL_ATTR_SEED, RETAIL_DROP_Q = 6, 0.3
+
+
+def _retail_attr_sql():
+    from causeway.plans.queries import RETAIL_CLIENTS_CTE
+    from causeway.spec import RETAIL
+
+    def ukey(tag):
+        return (f"(CAST(('0x' || substr(md5('{RETAIL_ATTR_SEED}:{tag}:' || k || ':' || CAST(client_id AS VARCHAR)), 1, 8))"
+                " AS BIGINT) / 4294967296.0)")
+    desc = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in RETAIL.descriptions.items())
+    rounded = ", ".join(f"CAST(CAST(round_even({c}, 0) AS BIGINT) AS VARCHAR) AS {c}" for c in RETAIL_X)
+    return RETAIL_CLIENTS_CTE.rstrip() + f""",
+a AS (SELECT client_id, {rounded},
+             CASE treatment_flg WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS sms_communication,
+             CASE target WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS purchase FROM j),
+kv AS (UNPIVOT a ON {', '.join(RETAIL_X + ('sms_communication', 'purchase'))} INTO NAME k VALUE v),
+keep AS (SELECT * FROM kv
+         WHERE (k IN ({', '.join(repr(f) for f in RETAIL_X)}) AND {ukey('drop')} >= {RETAIL_DROP_Q})
+            OR (k = 'sms_communication' AND v = 'Yes') OR k = 'purchase')
+SELECT client_id, string_agg(CASE k {desc} ELSE '' END || v || '. ' || chr(10) || ' ', ''
+                             ORDER BY {ukey('order')}, k, v) AS features_text
+FROM keep GROUP BY client_id
+"""
+
+
+@register("attribute_text_retail_clients", _retail_attr_sql())
+def attribute_text_retail_clients(spark, sf):
+    """C28 + I7 + I8 + C5 with the retail spec: client features rounded (half to even) and
+    labelled, each covariate kept with probability 0.7, the SMS treatment shown only if
+    received, the purchase outcome always, shuffled by keyed draws and rendered."""
+    from causeway.plans.queries import retail_clients
+    from causeway.spec import RETAIL
+    f = retail_clients(spark, sf).withColumnsRenamed({"treatment_flg": "sms_communication", "target": "purchase"})
+    yes_no = {0: "No", 1: "Yes"}
+    r = sampling.round_and_label(f, RETAIL_X, {"sms_communication": yes_no, "purchase": yes_no})
+    xs = F.create_map(*[x for c in RETAIL_X for x in (F.lit(c), F.col(c))])
+    kept = sampling.drop_attributes(xs, RETAIL_DROP_Q, RETAIL_X, RETAIL_ATTR_SEED, "client_id")
+    z = F.when(F.col("sms_communication") == "Yes", F.create_map(F.lit("sms_communication"), F.col("sms_communication"))) \
+        .otherwise(F.create_map().cast("map<string,string>"))
+    m = F.map_concat(kept, z, F.create_map(F.lit("purchase"), F.col("purchase")))
+    entries = sampling.shuffle_attributes(m, RETAIL_ATTR_SEED, "client_id")
+    return r.select("client_id", sampling.attribute_text(entries, RETAIL.descriptions, RETAIL.description_sep)
+                    .alias("features_text"))

@@ -302,6 +302,20 @@ RETAIL_SQL = RETAIL_SQL.replace("{bins}", ", ".join(_bin_sql(c, e, c + "_bin") f
 @register("retail_features", RETAIL_SQL)
 def retail_features_q(spark, sf):
     """E1 + E3 + E4 + D5 + C14 + C15: client features from line items."""
+    from causeway.functions import codes as C
+    f = retail_clients(spark, sf)
+    return f.select("client_id", "num_transactions", "avg_purchase", "avg_product_quantity",
+                    "avg_regular_points_received",
+                    *[C.right_closed_bin(c, e).alias(c + "_bin") for c, e in RETAIL_BINS.items()],
+                    C.binarise("age", 45).alias("age_binary"), "treatment_flg", "target")
+
+
+# the client-feature CTE chain of the oracle (everything before the final projection)
+RETAIL_CLIENTS_CTE = RETAIL_SQL.split("SELECT client_id, num_transactions, avg_purchase")[0]
+
+
+def retail_clients(spark, sf):
+    """Client features (money in hundreds of dollars) joined to the client attributes."""
     from causeway.operators.features import client_features
     # money in integer cents and points/quantities as integers: sums are exact, so the
     # means do not depend on summation order
@@ -321,12 +335,7 @@ def retail_features_q(spark, sf):
     li = li.withColumns({"_k_price": F.col("l_linenumber").cast("bigint") * (1 << 40) + F.col("purchase_sum"),
                          "_k_pts": F.col("l_linenumber").cast("bigint") * (1 << 40) + F.col("regular_points_received")})
     f = client_features(li, orders, cust, order_col={"purchase_sum": "_k_price", "regular_points_received": "_k_pts"})
-    from causeway.functions import codes as C
-    f = f.withColumn("avg_purchase", F.col("avg_purchase") / 10000)      # cents -> hundreds of dollars
-    return f.select("client_id", "num_transactions", "avg_purchase", "avg_product_quantity",
-                    "avg_regular_points_received",
-                    *[C.right_closed_bin(c, e).alias(c + "_bin") for c, e in RETAIL_BINS.items()],
-                    C.binarise("age", 45).alias("age_binary"), "treatment_flg", "target")
+    return f.withColumn("avg_purchase", F.col("avg_purchase") / 10000)      # cents -> hundreds of dollars
 
 
 # ---------------------------------------------------------------------------------- discretisation
