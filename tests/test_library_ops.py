@@ -62,3 +62,29 @@ def test_lineage_cut_uses_session_folder(spark):
     assert d and spark.conf.get("spark.checkpoint.dir") == d
     df = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert df.agg(F.sum("x")).collect()[0][0] == 20
+
+
+def test_encode_decode_frames_with_prefix(spark):
+    from causeway.operators import discretize
+    df = spark.createDataFrame([("Rural area", "Web", "Yes")], "sample_zip_code string, sample_channel string, sample_visit string")
+    enc = discretize.encode(df, EMAIL, prefix="sample_").collect()[0]
+    assert (enc.sample_zip_code, enc.sample_channel, enc.sample_visit) == (1, 1, 1)
+    dec = discretize.decode(discretize.encode(df, EMAIL, prefix="sample_"), EMAIL, prefix="sample_").collect()[0]
+    assert (dec.sample_zip_code, dec.sample_channel, dec.sample_visit) == ("Rural area", "Web", "Yes")
+
+
+def test_marginal_array_and_table_forms_agree(spark):
+    import numpy as np
+    from causeway.functions import arrays as A
+    from causeway.operators import grid
+    rng = np.random.default_rng(3)
+    arrs = rng.dirichlet(np.ones(12), size=5)
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(arrs)], "u bigint, p array<double>")
+    shape, keep = [2, 3, 2], [0, 2]
+    arr = {r.u: r.m for r in df.select("u", A.marginal("p", shape, keep).alias("m")).collect()}
+    tab = {}
+    for r in grid.marginalise(df, "p", shape, keep, "u").collect():
+        tab.setdefault(r.u, {})[r.cell] = r.p
+    for u, a in enumerate(arrs):
+        want = a.reshape(shape).sum(axis=1).reshape(-1)
+        assert np.allclose(arr[u], want) and np.allclose([tab[u][c] for c in range(4)], want)
