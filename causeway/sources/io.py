@@ -144,3 +144,40 @@ def resume_and_score(src: DataFrame, done_path: str, fn, out_schema, key: str =
 
 def local_path(p: str) -> str:
     return p if "://" in p else os.path.abspath(p)
+
+
+# ----------------------------------------------------------------------------- A6 trial tables
+
+EMAIL_TRIAL_SCHEMA = _schema([("recency", "int"), ("history_segment", "string"), ("history", "string"),
+                              ("mens", "int"), ("womens", "int"), ("zip_code", "string"), ("newbie", "int"),
+                              ("channel", "string"), ("segment", "string"), ("visit", "int"),
+                              ("conversion", "int"), ("spend", "string")])
+RETAIL_PURCHASES_SCHEMA = _schema([("client_id", "string"), ("transaction_id", "string"),
+                                   ("transaction_datetime", "string"), ("regular_points_received", "string"),
+                                   ("express_points_received", "string"), ("regular_points_spent", "string"),
+                                   ("express_points_spent", "string"), ("purchase_sum", "string"),
+                                   ("store_id", "string"), ("product_id", "string"), ("product_quantity", "string"),
+                                   ("trn_sum_from_iss", "string"), ("trn_sum_from_red", "string")])
+RETAIL_CLIENTS_SCHEMA = _schema([("client_id", "string"), ("first_issue_date", "string"),
+                                 ("first_redeem_date", "string"), ("age", "int"), ("gender", "string")])
+RETAIL_TRAIN_SCHEMA = _schema([("client_id", "string"), ("treatment_flg", "int"), ("target", "int")])
+
+
+def read_email_trial(spark: SparkSession, path: str) -> DataFrame:
+    """The email-marketing trial table (treatment = segment, target = visit).  Rows get a
+    ``unit_id`` at ingestion; commit the result (``read_or_compute``) so later stages align on
+    a stored key rather than on a file position."""
+    df = read_table_csv(spark, path, EMAIL_TRIAL_SCHEMA)
+    return (df.withColumn("unit_id", F.monotonically_increasing_id())
+            .withColumn("history", F.col("history").try_cast("double"))
+            .withColumnsRenamed({"segment": "treatment", "visit": "target"}))
+
+
+def read_retail_trial(spark: SparkSession, purchases: str, clients: str, train: str):
+    """The retail trial's purchases, clients and train tables with typed columns."""
+    p = read_table_csv(spark, purchases, RETAIL_PURCHASES_SCHEMA)
+    num = ("regular_points_received", "express_points_received", "regular_points_spent", "express_points_spent",
+           "purchase_sum", "product_quantity", "trn_sum_from_iss", "trn_sum_from_red")
+    p = p.withColumns({c: F.col(c).try_cast("double") for c in num})
+    p = p.withColumn("transaction_datetime", F.to_timestamp("transaction_datetime"))
+    return p, read_table_csv(spark, clients, RETAIL_CLIENTS_SCHEMA), read_table_csv(spark, train, RETAIL_TRAIN_SCHEMA)

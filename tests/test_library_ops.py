@@ -4,7 +4,7 @@ first-n (G1), system/user pairs (M6), lineage cuts."""
 
 from pyspark.sql import functions as F
 
-from causeway.operators import baseline, clean, dialog, sampling
+from causeway.operators import baseline, clean, dialog, discretize, sampling
 from causeway.session import checkpoint_dir, cut_lineage
 from causeway.sources import io
 from causeway.spec import EMAIL, RETAIL
@@ -88,3 +88,28 @@ def test_marginal_array_and_table_forms_agree(spark):
     for u, a in enumerate(arrs):
         want = a.reshape(shape).sum(axis=1).reshape(-1)
         assert np.allclose(arr[u], want) and np.allclose([tab[u][c] for c in range(4)], want)
+
+
+def test_trial_table_readers(spark, tmp_path):
+    email = tmp_path / "email.csv"
+    email.write_text("recency,history_segment,history,mens,womens,zip_code,newbie,channel,segment,visit,conversion,spend\n"
+                     "10,2) $100 - $200,142.44,1,0,Surburban,0,Phone,Womens E-Mail,0,0,0\n"
+                     "6,3) $200 - $350,329.08,1,1,Rural,1,Web,No E-Mail,1,0,0\n")
+    df = io.read_email_trial(spark, str(email))
+    rows = sorted(df.collect(), key=lambda r: r.recency)
+    assert [r.treatment for r in rows] == ["No E-Mail", "Womens E-Mail"] and rows[0].history == 329.08
+    assert df.select("unit_id").distinct().count() == 2
+    rec = discretize.recode_email_trial(df).orderBy("recency").collect()
+    assert [(r.history_segment, r.zip_code, r.channel, r.treatment_binary) for r in rec] == [(2, 1, 1, 0), (1, 2, 0, 1)]
+    pur = tmp_path / "p.csv"
+    pur.write_text("client_id,transaction_id,transaction_datetime,regular_points_received,express_points_received,"
+                   "regular_points_spent,express_points_spent,purchase_sum,store_id,product_id,product_quantity,"
+                   "trn_sum_from_iss,trn_sum_from_red\nc1,t1,2019-01-01 10:00:00,1.5,0,0,0,100.0,s,p,2,90,\n")
+    cli = tmp_path / "c.csv"
+    cli.write_text("client_id,first_issue_date,first_redeem_date,age,gender\nc1,2017-01-01,,45,F\n")
+    trn = tmp_path / "t.csv"
+    trn.write_text("client_id,treatment_flg,target\nc1,1,0\n")
+    p, c, t = io.read_retail_trial(spark, str(pur), str(cli), str(trn))
+    r = p.collect()[0]
+    assert (r.purchase_sum, r.product_quantity, r.trn_sum_from_red) == (100.0, 2.0, None)
+    assert c.collect()[0].age == 45 and t.collect()[0].treatment_flg == 1
