@@ -45,3 +45,20 @@ def client_features(lines: DataFrame, transactions: DataFrame, clients: DataFram
                        _mean("product_quantity").alias("avg_product_quantity"),
                        F.count("*").cast("bigint").alias("num_transactions")))                     # E1
     return per_client.join(clients, client)                                                        # D5
+
+
+def retail_trial_features(purchases: DataFrame, clients: DataFrame, train: DataFrame,
+                          age_threshold: int = 45) -> DataFrame:
+    """The retail trial's client table: per-transaction last purchase sum / points and
+    summed quantity (ordered by transaction time, a primitive key), per-client means and
+    distinct-transaction count, joined to client ages and restricted to the trial's clients
+    (D5); ``age_binary`` = age > threshold.  Rows of one transaction share its time, and the
+    per-transaction values repeat on them, so ties in the order key are harmless."""
+    order = F.unix_timestamp("transaction_datetime")
+    lines = purchases.select(F.col("transaction_id"), order.alias("_ts"), "purchase_sum", "regular_points_received",
+                             "product_quantity")
+    txns = purchases.select("transaction_id", "client_id").distinct()
+    attrs = clients.select("client_id", "age").join(train.select("client_id", "treatment_flg", "target"), "client_id")
+    out = client_features(lines, txns, attrs, order_col="_ts")
+    return out.withColumn("age_binary", F.when(F.col("age") <= age_threshold, 0)
+                          .when(F.col("age") > age_threshold, 1).cast("int"))

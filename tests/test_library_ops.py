@@ -113,3 +113,20 @@ def test_trial_table_readers(spark, tmp_path):
     r = p.collect()[0]
     assert (r.purchase_sum, r.product_quantity, r.trn_sum_from_red) == (100.0, 2.0, None)
     assert c.collect()[0].age == 45 and t.collect()[0].treatment_flg == 1
+
+
+def test_retail_trial_features(spark, tmp_path):
+    from causeway.operators.features import retail_trial_features
+    hdr = ("client_id,transaction_id,transaction_datetime,regular_points_received,express_points_received,"
+           "regular_points_spent,express_points_spent,purchase_sum,store_id,product_id,product_quantity,"
+           "trn_sum_from_iss,trn_sum_from_red\n")
+    rows = ["c1,t1,2019-01-01 10:00:00,1,0,0,0,100,s,p1,2,,", "c1,t1,2019-01-01 10:00:00,1,0,0,0,100,s,p2,3,,",
+            "c1,t2,2019-01-02 10:00:00,3,0,0,0,300,s,p1,1,,", "c2,t3,2019-01-03 10:00:00,0,0,0,0,50,s,p1,4,,"]
+    (tmp_path / "p.csv").write_text(hdr + "\n".join(rows) + "\n")
+    (tmp_path / "c.csv").write_text("client_id,first_issue_date,first_redeem_date,age,gender\nc1,,,50,F\nc2,,,30,M\n")
+    (tmp_path / "t.csv").write_text("client_id,treatment_flg,target\nc1,1,1\n")     # c2 is not in the trial
+    p, c, t = io.read_retail_trial(spark, str(tmp_path / "p.csv"), str(tmp_path / "c.csv"), str(tmp_path / "t.csv"))
+    got = retail_trial_features(p, c, t).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.client_id, r.num_transactions, r.avg_purchase, r.avg_product_quantity, r.age_binary) == ("c1", 2, 200.0, 3.0, 1)
