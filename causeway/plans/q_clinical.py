@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from causeway.operators import clean, discretize, estimators, evaluate, grid, models, sampling, thread
 from causeway.plans import tables as TB
 from causeway.plans.registry import cte, r6, register

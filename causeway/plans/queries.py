@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from causeway.functions import text as T
 from causeway.functions.draws import sql_uniform
 from causeway.operators import clean, discretize, estimators, thread
