@@ -115,3 +115,18 @@ def test_streaming_resume_is_idempotent(spark, tmp_path):
     start_curation(curated_stream(spark, str(src), io.COMMENT_SCHEMA, "body", True), out, ck).awaitTermination(120)
     got = sorted(r.permalink for r in spark.read.parquet(out).collect())
     assert got == ["/p/1/", "/p/2/"]
+
+
+def test_archive_conversion_and_result_csv(spark, tmp_path):
+    p = tmp_path / "arch.jsonl"
+    good = {"subreddit": "m", "body": "x y", "score": 1, "created_utc": 5, "permalink": "/r/m/c/a/s/d/", "author": "a"}
+    p.write_text("\n".join(json.dumps({**good, "score": i}) for i in range(4)) + "\n{broken\n")
+    df = io.good_lines(io.read_archive(spark, str(p), io.COMMENT_SCHEMA))
+    out = str(tmp_path / "arch_parquet")
+    io.convert_archive(df, out)                                                  # A3
+    assert sorted(r.score for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+    res = spark.createDataFrame([("ATE_mean", 0.1), ("ATE_std_dev", 0.02)], "metric string, ipw_eval500 double")
+    csv = str(tmp_path / "results")
+    io.write_stage(res, csv, partition_by=(), fmt="csv", mode="overwrite")      # A13
+    back = spark.read.option("header", True).csv(csv).collect()
+    assert sorted((r.metric, float(r.ipw_eval500)) for r in back) == [("ATE_mean", 0.1), ("ATE_std_dev", 0.02)]
