@@ -42,9 +42,12 @@ def text_baseline_embeddings(spark, sf):
     train, val = d.where("_train"), d.where("NOT _train")
     fields = ["label", "label_high"]
     n_in = 64
-    models = {f: BL.fit_field_classifier(train, f, n_in, folds=3, parallelism=8, steps=(0.03,), blocks=(32,),
-                                         solvers=("l-bfgs",))
-              for f in fields}
+    # the fields are independent searches: run them concurrently (each fit is many small jobs)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(fields)) as pool:
+        fitted = pool.map(lambda f: BL.fit_field_classifier(train, f, n_in, folds=3, parallelism=8, steps=(0.03,),
+                                                            blocks=(32,), solvers=("l-bfgs",)), fields)
+        models = dict(zip(fields, fitted))
     acc_t = BL.field_accuracy(BL.predict_fields(models, train, "vec_id"), fields, "train")
     acc_v = BL.field_accuracy(BL.predict_fields(models, val, "vec_id"), fields, "val")
     return acc_t.unionByName(acc_v).select("field", "split", F.round("acc", 6).alias("acc"))
