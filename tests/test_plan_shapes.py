@@ -37,3 +37,19 @@ def test_text_filters_run_after_the_spread(spark, sf_dir):
     if "RoundRobinPartitioning" in p:
         # the expensive predicate sits above the exchange, not inside the single scan task
         assert p.find("regexp_replace") < p.find("RoundRobinPartitioning")
+
+
+def test_stitch_shuffles_comments_once_when_tables_are_large(spark, sf_dir):
+    import re
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as if every table were large
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(QUERIES["thread_stitch_conversations"](spark, sf_dir))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # the comment rows are hash-partitioned by thread key once; the join back to the stitched
+    # posts must not re-partition them by (submission, thread key)
+    assert not re.search(r"Exchange hashpartitioning\((sub_id#\d+L, thread_key|thread_key#\d+L, sub_id)", p)
+    assert "SortMergeJoin" in p and "CartesianProduct" not in p
