@@ -19,18 +19,18 @@ from causeway.operators.grid import array_totals
 
 # ------------------------------------------------------------------ full joint
 
-def _cells(df: DataFrame, probs: str, n_z: int, n_y: int, by) -> DataFrame:
-    t = array_totals(df, probs, by)
+def _cells(df: DataFrame, probs: str, n_z: int, n_y: int, by, size=None) -> DataFrame:
+    t = array_totals(df, probs, by, size)
     return t.withColumns({"x": (F.floor(F.col("pos") / (n_z * n_y))).cast("int"),
                           "z": (F.floor(F.col("pos") / n_y) % n_z).cast("int"),
                           "y": (F.col("pos") % n_y).cast("int")})
 
 
-def full_joint_propensity(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=()) -> DataFrame:
+def full_joint_propensity(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=(), size=None) -> DataFrame:
     """e_z(x) = mean_j sum_y p_j[x,z,y] / mean_j sum_{z,y} p_j[x,z,y].
     0/0 (cell never predicted) gives NULL, which the ATE treats as skipped."""
     by = list(by)
-    c = _cells(df, probs, n_z, n_y, by)
+    c = _cells(df, probs, n_z, n_y, by, size)
     xz = c.groupBy(*by, "x", "z").agg(F.sum("s").alias("s_xz"))
     x = c.groupBy(*by, "x").agg(F.sum("s").alias("s_x"))
     e = xz.join(x, [*by, "x"]).withColumn("e", F.try_divide(F.col("s_xz"), F.col("s_x")))
@@ -39,14 +39,14 @@ def full_joint_propensity(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2,
                  F.max(F.when(F.col("z") == 1, F.col("e"))).alias("e1")))
 
 
-def ipw_full(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=()) -> DataFrame:
+def ipw_full(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=(), size=None) -> DataFrame:
     """J2 + J3: full-joint IPW ATE and the uncorrected joint difference.
 
     ATE = (1/n) sum_x sum_y y [S(x,1,y)/e1(x) - S(x,0,y)/e0(x)] over cells whose
     propensity pair has no zero, S = sum over units of the arrays (linearity)."""
     by = list(by)
-    c = _cells(df, probs, n_z, n_y, by)
-    e = full_joint_propensity(df, probs, n_z, n_y, by)
+    c = _cells(df, probs, n_z, n_y, by, size)
+    e = full_joint_propensity(df, probs, n_z, n_y, by, size)
     # every unit contributes once to every cell, so n is the per-cell count, taken from the
     # same cell totals in the same aggregate (no second scan of the arrays, no join)
     ok = F.coalesce((F.col("e0") != 0) & (F.col("e1") != 0), F.lit(False))
@@ -61,20 +61,20 @@ def ipw_full(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=()) -> Da
                       (F.col("_raw") / F.col("n")).alias("uncorrected"))
 
 
-def joint_reweighted(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=()) -> DataFrame:
+def joint_reweighted(df: DataFrame, probs: str, n_z: int = 2, n_y: int = 2, by=(), size=None) -> DataFrame:
     """J22 ("cre" view): sum_j p_j[x,z,y]/e_z(x) / sum_j 1/e_z(x) = mean p per cell when
     both propensities are non-zero, else NULL (0/0)."""
     by = list(by)
-    c = _cells(df, probs, n_z, n_y, by)
-    e = full_joint_propensity(df, probs, n_z, n_y, by)
+    c = _cells(df, probs, n_z, n_y, by, size)
+    e = full_joint_propensity(df, probs, n_z, n_y, by, size)
     ok = F.coalesce((F.col("e0") != 0) & (F.col("e1") != 0), F.lit(False))
     return (c.join(e, [*by, "x"])
             .select(*by, "pos", F.when(ok, F.col("s") / F.col("n")).alias("joint")))
 
 
-def joint_observed(df: DataFrame, probs: str, by=()) -> DataFrame:
+def joint_observed(df: DataFrame, probs: str, by=(), size=None) -> DataFrame:
     """Mean predicted joint."""
-    return array_totals(df, probs, by).select(*by, "pos", (F.col("s") / F.col("n")).alias("joint"))
+    return array_totals(df, probs, by, size).select(*by, "pos", (F.col("s") / F.col("n")).alias("joint"))
 
 
 # ------------------------------------------------------------------ hybrid

@@ -131,10 +131,20 @@ def stratum_propensity(df: DataFrame, spec: StudySpec, strata, z: str, by=(), gr
                             "e1": F.when(tot > 0, F.col("n1") / tot).otherwise(0.0)})
 
 
-def array_totals(df: DataFrame, probs: str, by=()) -> DataFrame:
-    """E7 building block: element-wise sum and count of probability arrays per group.
-    ``posexplode`` + grouped sum is combined map-side; output is one row per cell."""
+COLUMNWISE_MAX = 64
+
+
+def array_totals(df: DataFrame, probs: str, by=(), size: int | None = None) -> DataFrame:
+    """E7 building block: element-wise sum and count of probability arrays per group,
+    one output row per cell.  With a known small array size (a spec grid) the positions
+    are summed column-wise in one hash aggregate (no row per cell is materialised);
+    otherwise ``posexplode`` + grouped sum, combined map-side."""
     by = list(by)
+    if size is not None and size <= COLUMNWISE_MAX:
+        sums = [F.sum(F.try_element_at(F.col(probs), F.lit(i + 1))).alias(f"_s{i}") for i in range(size)]
+        agg = df.groupBy(*by).agg(*sums, F.count("*").alias("n"))
+        cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"_s{i}").alias("s")) for i in range(size)])
+        return agg.select(*by, "n", F.explode(cells).alias("_c")).select(*by, "_c.pos", "_c.s", "n")
     return (df.select(*by, F.posexplode(probs).alias("pos", "p"))
             .groupBy(*by, "pos").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
 

@@ -67,7 +67,7 @@ FROM cells JOIN e USING (x) CROSS JOIN n GROUP BY n.n
 @register("ipw_full_embeddings", IPW_FULL_SQL)
 def ipw_full_embeddings(spark, sf):
     """C23 + E7 + J1 + J2 + J3: full-joint IPW ATE over softmaxed (2,2,2) arrays."""
-    r = estimators.ipw_full(emb_units(spark, sf), "p_full", 2, 2)
+    r = estimators.ipw_full(emb_units(spark, sf), "p_full", 2, 2, size=8)
     return r.select(F.col("n").cast("bigint").alias("n"), r6("ate").alias("ate"), r6("uncorrected").alias("uncorrected"))
 
 
@@ -89,8 +89,8 @@ FROM cells JOIN e USING (x)
 def joint_embeddings(spark, sf):
     """J22 + J23: predicted joint, plain mean and propensity-reweighted view."""
     u = emb_units(spark, sf)
-    o = estimators.joint_observed(u, "p_full").withColumnRenamed("joint", "joint_obs")
-    c = estimators.joint_reweighted(u, "p_full", 2, 2).withColumnRenamed("joint", "joint_cre")
+    o = estimators.joint_observed(u, "p_full", size=8).withColumnRenamed("joint", "joint_obs")
+    c = estimators.joint_reweighted(u, "p_full", 2, 2, size=8).withColumnRenamed("joint", "joint_cre")
     return o.join(c, "pos").select(F.col("pos").cast("int").alias("pos"), r6("joint_obs").alias("joint_obs"),
                                    r6("joint_cre").alias("joint_cre"))
 

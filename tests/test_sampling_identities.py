@@ -97,3 +97,15 @@ def test_row_local_draws_invariant_to_partitioning(spark, sf_dir):
     t1 = sampling.assign_traits(a.select("unit_id"), 0.5, 4, "unit_id").collect()
     t2 = sampling.assign_traits(a.select("unit_id").repartition(5), 0.5, 4, "unit_id").collect()
     assert sorted(t1) == sorted(t2)
+
+
+def test_columnwise_and_exploded_array_totals_agree(spark):
+    rng = np.random.default_rng(1)
+    arrs = rng.dirichlet(np.ones(8), size=40)
+    df = spark.createDataFrame([(i, i % 3, a.tolist()) for i, a in enumerate(arrs)], "u bigint, g int, p array<double>")
+    a = sorted((r.g, r.pos, round(r.s, 9), r.n) for r in grid.array_totals(df, "p", ["g"]).collect())
+    b = sorted((r.g, r.pos, round(r.s, 9), r.n) for r in grid.array_totals(df, "p", ["g"], size=8).collect())
+    assert a == b
+    x = estimators.ipw_full(df, "p", 2, 2).collect()[0]
+    y = estimators.ipw_full(df, "p", 2, 2, size=8).collect()[0]
+    assert x.ate == pytest.approx(y.ate) and x.n == y.n
