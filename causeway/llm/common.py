@@ -80,22 +80,29 @@ def process_store(name: str) -> dict:
     return store.__dict__.setdefault(name, {})
 
 
-class BoundedCache(dict):
-    """A memo of ``make(key)`` in two generations of at most ``limit`` keys each.
-
-    When the young generation is full it becomes the old one, so keys in frequent use
-    survive and memory stays bounded whatever the number of distinct keys."""
-
-    def __init__(self, make: Callable, limit: int = 250_000):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+class ChunkMemo:
+    """What ``make`` gives for chunks of texts (words, mostly), kept in bounded space.
+
+    ``make`` gets the unknown chunks of a slice of texts at once.  Two generations of about
+    ``limit`` chunks each are kept: when the young one is full it becomes the old one, so
+    frequent chunks survive and memory is bounded whatever the number of distinct ones.
+    A text that is one chunk is made anew each time, since it may be as long as any text."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 250_000):
+        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """The made bytes of each text's chunks, joined."""
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        unknown = []
+        for c in set().union(*(t for t in texts if len(t) > 1)).difference(self.young):
+            known = self.old.get(c)
+            if known is None:
+                unknown.append(c)
+            else:
+                self.young[c] = known
+        self.young.update(zip(unknown, self.make(unknown)))
+        find = self.young.__getitem__
+        whole = iter(self.make([t[0] for t in texts if len(t) == 1]))
+        return [next(whole) if len(t) == 1 else b"".join(map(find, t)) for t in texts]
