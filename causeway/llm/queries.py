@@ -5,6 +5,7 @@ from __future__ import annotations
 from causeway.llm.bpe import op9_byte_bpe
 from causeway.llm.chat import op10_chat_formatting
 from causeway.llm.fingerprints import op2_fingerprints
+from causeway.llm.jaccard_join import op8_ngram_jaccard
 from causeway.llm.licenses import op1_license_scan
 from causeway.llm.packing import op6_packing
 from causeway.llm.quality_rules import op7_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {f.__name__: f for f in (
     op5_sharding,
     op6_packing,
     op7_quality_rules,
+    op8_ngram_jaccard,
     op9_byte_bpe,
     op10_chat_formatting,
 )}
