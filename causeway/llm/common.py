@@ -34,7 +34,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema) -> DataFrame:
     """``mapInArrow`` with this package shipped by value (workers need no install)."""
     ship_package()
     return df.mapInArrow(fn, schema)

@@ -1,10 +1,63 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: four stages over ``documents``, each written as Parquet and read again.
+
+The quality classifier and the quality rules drop the documents they reject, the Jaccard
+join keeps one document of each group of linked ones (that of the least doc_id), and what
+is left is packed into sequences.  Every stage but the last returns the columns it got.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from causeway.llm.common import read
+from causeway.llm.jaccard_join import link_components
+from causeway.llm.packing import pack
+from causeway.llm.quality_model import keep_accepted
+from causeway.llm.quality_rules import score_rules
+from causeway.session import checkpoint_dir
+
+
+def keep_scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return keep_accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def keep_ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return score_rules(docs).where("rules.kept").select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of linked documents.
+
+    Of rows that repeat that doc_id, the one with the first text stays.  Rows without a
+    doc_id cannot stand for a group: they take no part, and one of each text stays."""
+    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    least = link_components(named).where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = named.join(least, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return kept.select(*docs.columns).unionByName(unnamed.dropDuplicates(["text"]).select(*docs.columns))
+
+
+def pack_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents in sequences of at most 1024 ids."""
+    import public_tokenizers
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality classifier", keep_scored), ("quality rules", keep_ruled), ("n-gram Jaccard join", keep_one_of_each_group),
+          ("packing", pack_kept)]
+
+#: A trained classifier, a similarity join with components and a tokenizer: not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each stage's rows go through the shared folder."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/corpus_pipeline-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
