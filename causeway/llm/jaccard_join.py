@@ -36,6 +36,8 @@ SHINGLE = 3
 THRESHOLD = 90
 #: Fragments of the global order in which partial overlaps are counted.
 PARTS = 8
+#: Bits kept of each fine key in a node's planes, by which two nodes' fragments are compared.
+PLANES = 6
 #: Bits of the filter that keeps most other texts out of the second shuffle (a fixed 1 MB).
 FILTER_BITS = 1 << 23
 
@@ -118,6 +120,15 @@ def fragment_keys(h: np.ndarray, fragments: int, salt: int) -> tuple[np.ndarray,
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + mix(place * _GOLD)), bounds[1:] == bounds[:-1]
 
 
+def planes(keys: np.ndarray) -> np.ndarray:
+    """PLANES bits of each key, as bit planes: for 64 keys, PLANES longs one after another."""
+    padded = np.zeros(-(-len(keys) // 64) * 64, np.uint64)
+    padded[:len(keys)] = keys >> np.uint64(64 - PLANES)
+    bits = (padded[:, None] >> np.arange(PLANES, dtype=np.uint64)) & np.uint64(1)
+    packed = np.packbits(bits.astype(np.uint8).reshape(-1, 64, PLANES).transpose(0, 2, 1), axis=2, bitorder="little")
+    return packed.reshape(-1).view(np.int64)
+
+
 def _signature(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -149,7 +160,7 @@ def coarse_keys(docs: DataFrame, threshold: int, width: int) -> DataFrame:
 
 
 def fine_sets(docs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """(sig, n, members, and for up to two classes: class, D, own D, fine keys)."""
+    """(sig, n, members, and for up to two classes: class, own D, fine keys, their planes)."""
     def start():
         hashes, classes = _hashes(), Classes(threshold)
 
@@ -160,12 +171,15 @@ def fine_sets(docs: DataFrame, threshold: int, width: int) -> DataFrame:
                 at = [(*classes.of(len(h)), (-1, 0, 0), (-1, 0, 0))[k] for h in sets]
                 out[f"c{k}"] = [c for c, _, _ in at]
                 out[f"d{k}"] = [d for _, _, d in at]
-                out[f"k{k}"] = [fragment_keys(h, 4 * d, c + (1 << 16))[0].view(np.int64) if d else [] for h, (c, d, _) in zip(sets, at)]
+                keys = [fragment_keys(h, 4 * d, c + (1 << 16))[0] for h, (c, d, _) in zip(sets, at)]
+                out[f"k{k}"] = [x.view(np.int64) for x in keys]
+                out[f"p{k}"] = [planes(x) for x in keys]
             return out
         return work
 
     slim = docs.select(text_of().cast("binary").alias("text"))
-    return map_rows(slim, start, "sig long, n long, members array<long>, c0 int, d0 int, k0 array<long>, c1 int, d1 int, k1 array<long>")
+    return map_rows(slim, start, "sig long, n long, members array<long>, c0 int, d0 int, k0 array<long>, p0 array<long>, "
+                                 "c1 int, d1 int, k1 array<long>, p1 array<long>")
 
 
 def _keep_maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -207,34 +221,39 @@ def count_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(key, node, n, own, mask): the rarest D + 1 fine keys of each node that others share.
+    """(node, n, own, planes, prefix): the rarest D + 1 fine keys of each node that others share.
 
-    ``own`` counts the fragments no other node has, ``mask`` marks them (bits in longs)."""
-    sides = [sets.select("sig", "n", F.col(f"c{k}").alias("class"), F.col(f"d{k}").alias("d"), F.col(f"k{k}").alias("keys")) for k in (0, 1)]
+    ``own`` counts the fragments that no other node has; they are rarer than any other."""
+    sides = [sets.select("sig", "n", F.col(f"c{k}").alias("class"), F.col(f"d{k}").alias("d"), F.col(f"k{k}").alias("keys"),
+                         F.col(f"p{k}").alias("planes")) for k in (0, 1)]
     sides = sides[0].unionByName(sides[1]).where("class >= 0")
-    keys = sides.select("sig", "class", F.posexplode("keys").alias("at", "key"))
+    keys = sides.select("sig", "class", F.explode("keys").alias("key"))
     df = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = (keys.join(df, "key").groupBy("sig", "class")
-            .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"), F.collect_list("at").alias("ats")))
-    # the lists hold one node's fragments: their number follows its own size
-    node = held.join(sides, ["sig", "class"]).withColumn("own", F.size("keys") - F.size("held"))
-    words = F.transform(F.sequence(F.lit(0), F.floor((F.size("keys") - 1) / 62).cast("int")), lambda w: F.aggregate(
-        F.filter(F.col("ats"), lambda x: F.floor(x / 62) == w), F.expr("shiftleft(1L, 62) - 1"),
-        lambda acc, x: acc.bitwiseAND(F.bitwise_not(F.expr("1L") * F.pow(F.lit(2.0), x % 62).cast("long")))))
-    last = F.size("keys") - 62 * F.floor((F.size("keys") - 1) / 62).cast("int")
-    node = node.withColumn("mask", words).withColumn("mask", F.transform("mask", lambda m, i: F.when(
-        i == F.size("mask") - 1, m.bitwiseAND(F.pow(F.lit(2.0), last).cast("long") - 1)).otherwise(m)))
+    # the list holds one node's fragments: their number follows its own size
+    held = keys.join(df, "key").groupBy("sig", "class").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
+    sides = sides.withColumn("size", F.size("keys")).drop("keys")
+    node = held.join(sides, ["sig", "class"]).withColumn("own", F.col("size") - F.size("held"))
     room = F.greatest(F.col("d") + 1 - F.col("own"), F.lit(0))
-    return (node.withColumn("prefix", F.slice("held", F.lit(1), room))
-            .select(F.explode("prefix").alias("p"), "sig", "n", "own", "mask")
-            .select(F.col("p.key").alias("key"), F.col("sig").alias("node"), "n", "own", "mask"))
+    return node.select(F.col("sig").alias("node"), "n", "own", "planes",
+                       F.transform(F.slice("held", F.lit(1), room), lambda x: x["key"]).alias("prefix"))
 
 
 def _possible(threshold: int):
-    """Whether a pair (x, y) can link, by sizes and by fragments that only one of them has."""
-    apart = F.aggregate(F.zip_with("x.mask", "y.mask", lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0), lambda s, v: s + v)
+    """Whether a pair (x, y) can link, by its sizes and by the fragments seen to differ.
+
+    Each differing fragment holds a differing shingle; planes show all but 1 in 2^PLANES."""
     bound = F.floor((F.col("x.n") + F.col("y.n")) * (100 - threshold) / (100 + threshold))
-    return ((100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & (apart <= bound))
+    unlike = F.zip_with("x.planes", "y.planes", lambda p, q: p.bitwiseXOR(q))
+
+    def any_of(d, at):
+        out = F.element_at(d, at * PLANES + 1)
+        for k in range(1, PLANES):
+            out = out.bitwiseOR(F.element_at(d, at * PLANES + k + 1))
+        return F.bit_count(out)
+
+    apart = F.element_at(F.transform(F.array(unlike), lambda d: F.aggregate(
+        F.sequence(F.lit(0), F.floor(F.size(d) / PLANES).cast("int") - 1), F.lit(0), lambda s, at: s + any_of(d, at))), 1)
+    return (100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & (apart <= bound)
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
@@ -253,23 +272,27 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     # one document of each suspect node stands for it
     speakers = rows.join(suspects, "sig").groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"))
     sets = cut(fine_sets(_keep_maybe(docs, speakers), threshold, width).join(suspects, "sig", "left_semi").dropDuplicates(["sig"]))
-    prefixes = cut(_prefixes(sets))
-    pivots = prefixes.groupBy("key").agg(F.min(F.struct("own", "node", "n", "mask")).alias("x"), F.count("*").alias("many")).where("many > 1").select("key", "x.*")
-    star = (pivots.alias("x").join(prefixes.alias("y"), F.col("x.key") == F.col("y.key"))
-            .where((F.col("x.node") != F.col("y.node")) & _possible(threshold))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    prefixes = cut(_prefixes(sets)).select(F.explode("prefix").alias("key"), "node", "n", "own", "planes")
+    many = prefixes.groupBy("key").agg(F.min(F.struct("own", "node")).alias("p"), F.count("*").alias("many")).where("many > 1")
+    many = cut(many.select("key", F.col("p.node").alias("pivot"), "many"))
+    grouped = prefixes.join(many, "key")
+    star = (grouped.where("node = pivot").alias("x").join(grouped.where("node <> pivot").alias("y"), F.col("x.key") == F.col("y.key"))
+            .where(_possible(threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     links = cut(count_links(star, sets, threshold))
     found = cut(connected_components(links))
 
-    # nodes that share a prefix key but not the component of its pivot, against all of the key
-    def placed(frame, name):
-        return frame.join(found.withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
-    members = cut(placed(prefixes, "node"))
-    centre = placed(pivots.select("key", F.col("node").alias("pivot")), "pivot").withColumnRenamed("component", "centre")
-    grouped = members.join(centre, "key")
-    out = grouped.where("component <> centre")
-    rest = (out.alias("x").join(grouped.alias("y"), F.col("x.key") == F.col("y.key"))
-            .where((F.col("x.component") != F.col("y.component")) & (F.col("y.node") != F.col("y.pivot")) & _possible(threshold))
+    # members outside the component of their group's pivot, against the group's other members;
+    # in a group of two that pair has been counted
+    def placed(frame, name, to):
+        named = found.select(F.col("node").alias(name), F.col("component").alias(to))
+        return frame.join(named, name, "left").withColumn(to, F.coalesce(to, name))
+    larger = placed(many.where("many > 2").drop("many"), "pivot", "centre")
+    members = placed(prefixes.select("key", "node").join(larger, "key"), "node", "component").where("node <> pivot")
+    mixed = members.where("component <> centre").select("key").distinct()
+    members = cut(members.join(mixed, "key").select("key", "node", "component", (F.col("component") != F.col("centre")).alias("out")))
+    wide = members.join(prefixes, ["key", "node"])
+    rest = (wide.where("out").alias("x").join(wide.alias("y"), F.col("x.key") == F.col("y.key"))
+            .where((F.col("x.component") != F.col("y.component")) & _possible(threshold))
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     more = cut(count_links(rest, sets, threshold))
     nodes = connected_components(links.unionByName(more)).select(F.col("node").alias("sig"), F.col("component"))

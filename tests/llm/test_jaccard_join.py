@@ -121,6 +121,17 @@ def test_linked_sets_share_keys():
         assert keys[0] & keys[1]
 
 
+def test_planes_show_differing_keys():
+    rnd = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 200):
+        a = rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        b = a.copy()
+        b[::3] = rnd.integers(0, 1 << 63, len(b[::3]), dtype=np.uint64) * np.uint64(2)
+        top = np.uint64(64 - jj.PLANES)
+        d = (jj.planes(a) ^ jj.planes(b)).view(np.uint64).reshape(-1, jj.PLANES)
+        assert sum(int(np.bitwise_or.reduce(row)).bit_count() for row in d) == int(((a >> top) != (b >> top)).sum())
+
+
 def test_connected_components(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(rnd.randint(200, 400), rnd.randint(200, 400)) for _ in range(120)]
