@@ -131,17 +131,19 @@ def stratum_propensity(df: DataFrame, spec: StudySpec, strata, z: str, by=(), gr
                             "e1": F.when(tot > 0, F.col("n1") / tot).otherwise(0.0)})
 
 
-COLUMNWISE_MAX = 64
-
-
 def array_totals(df: DataFrame, probs: str, by=(), size: int | None = None) -> DataFrame:
     """E7 building block: element-wise sum and count of probability arrays per group,
-    one output row per cell.  With a known small array size (a spec grid) the positions
-    are summed column-wise in one hash aggregate (no row per cell is materialised);
-    otherwise ``posexplode`` + grouped sum, combined map-side."""
+    one output row per cell.  A unit whose array is NULL is in no sum and no count.  With
+    the array size given (a spec grid) the positions are summed column-wise in one hash
+    aggregate and an array of any other length is an error; without it the positions are
+    exploded and summed per group.  Both give the same totals."""
     by = list(by)
-    if size is not None and size <= COLUMNWISE_MAX:
-        sums = [F.sum(F.try_element_at(F.col(probs), F.lit(i + 1))).alias(f"_s{i}") for i in range(size)]
+    df = df.where(F.col(probs).isNotNull())
+    if size is not None:
+        whole = F.when(F.size(probs) == size, F.col(probs)).otherwise(
+            F.raise_error(F.concat(F.lit(f"array of length {size} expected, got "), F.size(probs).cast("string"))))
+        df = df.withColumn(probs, whole)
+        sums = [F.sum(F.element_at(F.col(probs), F.lit(i + 1))).alias(f"_s{i}") for i in range(size)]
         agg = df.groupBy(*by).agg(*sums, F.count("*").alias("n"))
         cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"_s{i}").alias("s")) for i in range(size)])
         return agg.select(*by, "n", F.explode(cells).alias("_c")).select(*by, "_c.pos", "_c.s", "n")

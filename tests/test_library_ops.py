@@ -2,6 +2,7 @@
 model save/load (A12), id subsets (B21), rendering prep (C28), role projection (C29),
 first-n (G1), system/user pairs (M6), lineage cuts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from causeway.operators import baseline, clean, dialog, discretize, sampling
@@ -130,3 +131,18 @@ def test_retail_trial_features(spark, tmp_path):
     assert len(got) == 1
     r = got[0]
     assert (r.client_id, r.num_transactions, r.avg_purchase, r.avg_product_quantity, r.age_binary) == ("c1", 2, 200.0, 3.0, 1)
+
+
+def test_array_totals_one_rule(spark):
+    """A NULL array counts nowhere and a ragged one is an error, with the size given or not."""
+    from causeway.operators.estimators import ipw_full
+    from causeway.operators.grid import array_totals
+    rows = [(1, [0.1, 0.4, 0.2, 0.3]), (2, None), (3, [0.4, 0.1, 0.3, 0.2])]
+    df = spark.createDataFrame(rows, "unit_id long, p array<double>")
+    a = sorted(tuple(r) for r in array_totals(df, "p").select("pos", F.round("s", 9), "n").collect())
+    b = sorted(tuple(r) for r in array_totals(df, "p", size=4).select("pos", F.round("s", 9), "n").collect())
+    assert a == b and {x[2] for x in a} == {2}
+    (x,), (y,) = (ipw_full(df, "p", size=s).select("n", F.round("ate", 9), F.round("uncorrected", 9)).collect() for s in (None, 4))
+    assert x == y
+    with pytest.raises(Exception, match="array of length 4 expected"):
+        array_totals(spark.createDataFrame([(1, [0.5] * 8)], "unit_id long, p array<double>"), "p", size=4).collect()
