@@ -159,8 +159,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     A NULL or empty text is the separator alone; a NULL doc_id stays; repeated rows are
     packed each; an empty table gives no piece.  The texts are read and encoded once (into
     the shared checkpoint folder, a few numbers a document); only those numbers are
-    shuffled.  What is broadcast is bounded: the plan by the capacity, the numbering by
-    capacity x buckets."""
+    shuffled, once: the numbers before each (length, bucket) are joined on the key by which
+    the rows already lie.  The plan, bounded by the capacity, goes out with the tasks."""
     rows = cut(token_pieces(docs, path, capacity, separator))
     rows = rows.select("*", (F.col("doc_tokens") % capacity).alias("rest"),
                        F.floor(F.col("doc_tokens") / capacity).cast("long").alias("whole"),
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     order = Window.partitionBy("rest", "bucket").orderBy("doc_id", "doc_tokens", "crcs")
     numbered = (rows.withColumn("rank", F.row_number().over(order) - 1)
                 .withColumn("earlier", F.coalesce(F.sum("whole").over(order.rowsBetween(Window.unboundedPreceding, -1)), zero))
-                .join(F.broadcast(starts), ["rest", "bucket"])
+                .join(starts, ["rest", "bucket"])
                 .select("doc_id", "doc_tokens", "crcs", "rest", (F.col("rank") + F.col("rank0")).cast("long").alias("rank"),
                         (F.col("earlier") + F.col("whole0")).cast("long").alias("first_whole")))
 
