@@ -245,7 +245,7 @@ def _mapped(docs, path, pattern, kind, outputs):
         return work
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return map_rows(slim, start, "doc_id long, " + kind)
+    return map_rows(slim, start, "doc_id long, " + kind, caches="bpe")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def format_conversations(rows: DataFrame, path: str, loss_role: str = LOSS_ROLE)
             finish(held, turns)
         yield flush()
 
-    return map_arrow(ordered, run, KIND)
+    return map_arrow(ordered, run, KIND, caches="chat tokenizers")
 
 
 def read_back(formatted: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:

@@ -34,14 +34,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema) -> DataFrame:
-    """``mapInArrow`` with this package shipped by value (workers need no install)."""
+              schema, caches: str | None = None) -> DataFrame:
+    """``mapInArrow`` with this package shipped by value (workers need no install).
+
+    ``caches`` names the operator's ``process_store``; a task drops those of other
+    operators first, so a worker that serves many operators holds one's caches at a time."""
     ship_package()
-    return df.mapInArrow(fn, schema)
+
+    def task(batches):
+        drop_stores(caches)
+        yield from fn(batches)
+
+    return df.mapInArrow(task, schema)
 
 
 def map_rows(df: DataFrame, start: Callable[[], Callable[[list], dict]], schema: str,
-             size: int = 512) -> DataFrame:
+             size: int = 512, caches: str | None = None) -> DataFrame:
     """Map slices of at most ``size`` rows, so memory follows a slice and not a partition.
 
     ``start()`` runs once per task and returns a function from the slice's columns (a dict
@@ -57,7 +65,7 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[list], dict]], schema:
                 out = work(cols)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, caches)
 
 
 _ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
@@ -80,6 +88,14 @@ def process_store(name: str) -> dict:
     return store.__dict__.setdefault(name, {})
 
 
+def drop_stores(keep: str | None) -> None:
+    """Forget the stores of this worker process other than ``keep``."""
+    store = sys.modules.get("_causeway_llm_store")
+    for name in [n for n in vars(store) if not n.startswith("__") and n != keep] if store else []:
+        vars(store)[name].clear()
+        delattr(store, name)
+
+
 class ChunkMemo:
     """What ``make`` gives for chunks of texts (words, mostly), kept in bounded space.
 

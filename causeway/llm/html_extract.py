@@ -426,7 +426,7 @@ def extract_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
                                                   pa.array(list(map(len, texts)), pa.int64())], schema=schema)
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
-    return map_arrow(slim, run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(slim, run, "page_id long, url string, text string, n_chars long", caches="html bins")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

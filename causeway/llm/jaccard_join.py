@@ -156,7 +156,7 @@ def coarse_keys(docs: DataFrame, threshold: int, width: int) -> DataFrame:
         return work
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return map_rows(slim, start, "doc_id long, n long, sig long, keys array<long>")
+    return map_rows(slim, start, "doc_id long, n long, sig long, keys array<long>", caches="word hashes")
 
 
 def fine_sets(docs: DataFrame, threshold: int, width: int) -> DataFrame:
@@ -179,7 +179,7 @@ def fine_sets(docs: DataFrame, threshold: int, width: int) -> DataFrame:
 
     slim = docs.select(text_of().cast("binary").alias("text"))
     return map_rows(slim, start, "sig long, n long, members array<long>, c0 int, d0 int, k0 array<long>, p0 array<long>, "
-                                 "c1 int, d1 int, k1 array<long>, p1 array<long>")
+                                 "c1 int, d1 int, k1 array<long>, p1 array<long>", caches="word hashes")
 
 
 def _keep_maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator
         return work
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return map_rows(slim, start, "doc_id long, doc_tokens long, crcs array<long>")
+    return map_rows(slim, start, "doc_id long, doc_tokens long, crcs array<long>", caches="tokenizers")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR,
