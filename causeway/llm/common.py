@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -44,6 +45,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def task(batches):
         drop_stores(caches)
         yield from fn(batches)
+        give_back()
 
     return df.mapInArrow(task, schema)
 
@@ -94,6 +96,16 @@ def drop_stores(keep: str | None) -> None:
     for name in [n for n in vars(store) if not n.startswith("__") and n != keep] if store else []:
         vars(store)[name].clear()
         delattr(store, name)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: allocators keep it for a worker's next task, and
+    beside the JVM every idle worker's share counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
 
 
 class ChunkMemo:

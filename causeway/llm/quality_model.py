@@ -128,8 +128,8 @@ def fit(train: DataFrame, fourier: int = FOURIER, ridge: float = RIDGE, width: f
     def equations(batches):
         total = np.zeros((size, size + 2))
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 z, y = model.features(_matrix(part, "stats")), part.column("label").to_numpy().astype(np.float64)
                 total[:, :size] += z.T @ z
                 total[:, size] += z.T @ y
