@@ -28,9 +28,9 @@ def lookup(d: dict, c) -> Column:
     return F.try_element_at(literal_map(d), _col(c))
 
 
-def encode_options(options: list, c) -> Column:
-    """Label -> position in the option list."""
-    return lookup({lab: i for i, lab in enumerate(options)}, c)
+def encode_options(options: list, c, aliases: dict | None = None) -> Column:
+    """Label -> position in the option list; ``aliases`` are further labels of a code."""
+    return lookup({**{lab: i for i, lab in enumerate(options)}, **(aliases or {})}, c)
 
 
 def decode_options(options: list, c) -> Column:

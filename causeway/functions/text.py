@@ -128,17 +128,6 @@ def matched_terms(text_cols, terms) -> Column:
     return F.filter(arr, lambda t: F.instr(hay, t) > 0)
 
 
-AUTOMATON_MIN_TERMS = 64
-
-
-def automaton_available() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-        return True
-    except ImportError:
-        return False
-
-
 def matched_terms_automaton(text_cols, terms) -> Column:
     """B10/B11 for large lexicons: one Aho-Corasick pass per text (Arrow-batched pandas
     UDF) instead of one substring scan per term.  Same result as ``matched_terms``:
@@ -179,10 +168,9 @@ def _automaton(terms):
     return a
 
 
-def mention_terms(text_cols, terms, method: str = "auto") -> Column:
-    """Choose the term matcher: per-term JVM scans for small lexicons, the automaton
-    for large ones (when the module is installed)."""
-    if method == "automaton" or (method == "auto" and len(set(terms)) >= AUTOMATON_MIN_TERMS
-                                 and automaton_available()):
+def mention_terms(text_cols, terms, method: str = "jvm") -> Column:
+    """The term matcher: per-term JVM scans whatever the size of the lexicon, or the automaton
+    where the caller asks for it (its module must be on the executors)."""
+    if method == "automaton":
         return matched_terms_automaton(text_cols, terms)
     return matched_terms(text_cols, terms)

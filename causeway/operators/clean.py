@@ -39,10 +39,9 @@ def date_cutoff(df: DataFrame, epoch_col: str, cutoff: int) -> DataFrame:
     return df.where(F.col(epoch_col) <= F.lit(cutoff))
 
 
-def mention_filter(df: DataFrame, text_cols, terms, out: str, method: str = "auto") -> DataFrame:
+def mention_filter(df: DataFrame, text_cols, terms, out: str, method: str = "jvm") -> DataFrame:
     """Attach the sorted distinct matched terms, keep rows with at least one.
-    ``method``: 'jvm' (one substring scan per term), 'automaton' (one pass for all
-    terms), or 'auto' (automaton from 64 terms on, when available)."""
+    ``method``: 'jvm' (one substring scan per term) or 'automaton' (one pass for all terms)."""
     return df.withColumn(out, T.mention_terms(text_cols, terms, method)).where(F.size(out) > 0)
 
 

@@ -42,15 +42,15 @@ def coalesce_known(known: DataFrame, inferred: DataFrame, key: str, fields) -> D
 
 
 def encode(df: DataFrame, spec: StudySpec, fields=None, prefix: str = "") -> DataFrame:
-    """Labels -> option positions for ``prefix + field`` columns."""
+    """Labels and their aliases -> option positions for ``prefix + field`` columns."""
     fields = fields or [f for f in spec.options if prefix + f in df.columns]
-    return df.withColumns({prefix + f: C.encode_options(spec.options[f], prefix + f) for f in fields})
+    return df.withColumns({prefix + f: C.encode_options(spec.options[f], prefix + f, spec.aliases.get(f)) for f in fields})
 
 
 def decode(df: DataFrame, spec: StudySpec, fields=None, prefix: str = "") -> DataFrame:
-    """Option positions -> labels."""
+    """Option positions -> labels (``spec.decode_labels`` where they differ from the options)."""
     fields = fields or [f for f in spec.options if prefix + f in df.columns]
-    return df.withColumns({prefix + f: C.decode_options(spec.options[f], prefix + f) for f in fields})
+    return df.withColumns({prefix + f: C.decode_options(spec.decode_labels.get(f, spec.options[f]), prefix + f) for f in fields})
 
 
 # ----------------------------------------------------------------------------- clinical
@@ -127,7 +127,8 @@ def impute(col: str, n_options: int, seed: int, id_col: str):
 
 
 def discretize_email(df: DataFrame, seed: int = 10, id_col: str = "unit_id") -> DataFrame:
-    """C17 for the email-marketing study."""
+    """C17 for the email-marketing study.  Only a NULL or Unknown answer is imputed; a
+    label outside the study's stays without a code (NULL)."""
     out = unknown_to_null(df)
     cols = set(out.columns)
     upd = {}
@@ -137,13 +138,13 @@ def discretize_email(df: DataFrame, seed: int = 10, id_col: str = "unit_id") ->
         upd["recency"] = impute_expr(C.ladder(C.to_number("recency"), EMAIL_RECENCY_EDGES), 3, seed, "recency", id_col)
     for f in ("mens", "womens", "newbie", "email_type", "visit"):
         if f in cols:
-            upd[f] = impute_expr(C.fold_or_number(YES_NO, f).cast("int"), 2, seed, f, id_col)
+            upd[f] = impute_answer(C.fold_or_number(YES_NO, f), f, 2, seed, id_col)
     if "zip_code" in cols:
-        upd["zip_code"] = impute_expr(C.lookup({"Suburban": 0, "Rural": 1, "Urban": 2}, "zip_code"), 3, seed,
-                                      "zip_code", id_col)
+        upd["zip_code"] = impute_answer(C.lookup({"Suburban": 0, "Rural": 1, "Urban": 2}, "zip_code"), "zip_code", 3,
+                                        seed, id_col)
     if "channel" in cols:
-        upd["channel"] = impute_expr(C.lookup({"Phone": 0, "Web": 1, "Multichannel": 2}, "channel"), 3, seed,
-                                     "channel", id_col)
+        upd["channel"] = impute_answer(C.lookup({"Phone": 0, "Web": 1, "Multichannel": 2}, "channel"), "channel", 3,
+                                       seed, id_col)
     return out.withColumns(upd)
 
 
@@ -151,6 +152,12 @@ def impute_expr(code, n_options: int, seed: int, tag: str, id_col: str):
     return F.coalesce(code.cast("int"), F.floor(uniform(seed, tag, id_col) * n_options).cast("int"))
 
 
+def impute_answer(code, answer: str, n_options: int, seed: int, id_col: str):
+    """I6 for labels: a draw where the answer itself is NULL, else its code (NULL if it has none)."""
+    return F.when(F.col(answer).isNull(), F.floor(uniform(seed, answer, id_col) * n_options).cast("int")) \
+        .otherwise(code.cast("int"))
+
+
 def discretize_retail(df: DataFrame, seed: int = 10, id_col: str = "unit_id") -> DataFrame:
     """C17 for the retail-SMS study.  Missing ages are drawn uniformly from the
     observed distinct ages (a distinct-value table indexed by rank)."""
@@ -177,7 +184,7 @@ def discretize_retail(df: DataFrame, seed: int = 10, id_col: str = "unit_id") ->
             upd[f] = impute_expr(C.right_closed_bin(C.to_number(f), edges), len(edges) - 1, seed, f, id_col)
     for f in ("purchase", "sms_communication"):
         if f in cols:
-            upd[f] = impute_expr(C.fold_or_number(YES_NO, f), 2, seed, f, id_col)
+            upd[f] = impute_answer(C.fold_or_number(YES_NO, f), f, 2, seed, id_col)
     return out.withColumns(upd)
 
 

@@ -1,9 +1,10 @@
 """Retail client features.
 
 Line items are pre-aggregated per transaction *before* any join (map-side partial
-aggregation shrinks the largest table first); a transaction belongs to exactly one
-client, so grouping by transaction equals grouping by (client, transaction) and
-the distinct-transaction count (E1) is the row count of that level.
+aggregation shrinks the largest table first).  Lines that carry the client are grouped by
+(client, transaction), so a transaction id that two clients share counts for each apart;
+other lines get the client from a transaction table, where an id has one client.  The
+distinct-transaction count (E1) is the row count of that level.
 """
 
 from __future__ import annotations
@@ -26,19 +27,19 @@ def _mean(c):
     return F.sum(c).cast("double") / F.count(c)
 
 
-def client_features(lines: DataFrame, transactions: DataFrame, clients: DataFrame, order_col,
+def client_features(lines: DataFrame, transactions: DataFrame | None, clients: DataFrame, order_col,
                     txn: str = "transaction_id", client: str = "client_id") -> DataFrame:
     """lines: txn, order column(s), purchase_sum, regular_points_received, product_quantity
-    transactions: txn, client; clients: client + client attributes (inner join, D5).
+    transactions: txn, client (None where the lines hold the client); clients: client + client attributes (inner join, D5).
     ``order_col`` is one ordering column or a dict value -> ordering column."""
     def order_of(v):
         return order_col[v] if isinstance(order_col, dict) else order_col
-    level1 = (lines.groupBy(txn)
+    level1 = (lines.groupBy(*([client] if transactions is None else []), txn)
               .agg(last_non_null("purchase_sum", order_of("purchase_sum")).alias("purchase_sum"),       # E3
                    last_non_null("regular_points_received", order_of("regular_points_received"))
                    .alias("regular_points_received"),
                    F.sum("product_quantity").alias("product_quantity")))
-    per_client = (level1.join(transactions, txn)
+    per_client = ((level1 if transactions is None else level1.join(transactions, txn))
                   .groupBy(client)
                   .agg(_mean("purchase_sum").alias("avg_purchase"),                                # E4
                        _mean("regular_points_received").alias("avg_regular_points_received"),
@@ -55,10 +56,9 @@ def retail_trial_features(purchases: DataFrame, clients: DataFrame, train: DataF
     (D5); ``age_binary`` = age > threshold.  Rows of one transaction share its time, and the
     per-transaction values repeat on them, so ties in the order key are harmless."""
     order = F.unix_timestamp("transaction_datetime")
-    lines = purchases.select(F.col("transaction_id"), order.alias("_ts"), "purchase_sum", "regular_points_received",
+    lines = purchases.select("client_id", "transaction_id", order.alias("_ts"), "purchase_sum", "regular_points_received",
                              "product_quantity")
-    txns = purchases.select("transaction_id", "client_id").distinct()
     attrs = clients.select("client_id", "age").join(train.select("client_id", "treatment_flg", "target"), "client_id")
-    out = client_features(lines, txns, attrs, order_col="_ts")
+    out = client_features(lines, None, attrs, order_col="_ts")
     return out.withColumn("age_binary", F.when(F.col("age") <= age_threshold, 0)
                           .when(F.col("age") > age_threshold, 1).cast("int"))

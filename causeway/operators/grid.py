@@ -51,13 +51,19 @@ def option_labels(spark: SparkSession, spec: StudySpec, fields) -> DataFrame:
     return g
 
 
+def question(spec: StudySpec, f: str) -> str:
+    if f not in spec.questions:
+        raise KeyError(f"study {spec.name!r} has no question for {f!r}")
+    return spec.questions[f]
+
+
 def option_prompts(spark: SparkSession, spec: StudySpec, fields) -> DataFrame:
     """C20: multiple-choice text per grid option (question, lettered options, answer)."""
     g = option_labels(spark, spec, fields)
     parts = [F.lit(" \n\n## Questions")]
     for f in fields:
         opts = "".join(ANSWER_LETTERS[i] + o + " " for i, o in enumerate(spec.options[f]))
-        parts += [F.lit(" \n\nQ: " + spec.questions.get(f, f) + " \nOptions: " + opts + " \nA: "),
+        parts += [F.lit(" \n\nQ: " + question(spec, f) + " \nOptions: " + opts + " \nA: "),
                   F.col(f + "_label")]
     return g.withColumn("option_text", F.concat(*parts))
 
@@ -67,7 +73,7 @@ def known_answers_text(df: DataFrame, spec: StudySpec, fields, prefix: str = "sa
     parts = [F.lit(" \n\n## Questions and their correct answers")]
     for f in fields:
         arr = F.array(*[F.lit(x) for x in spec.options[f]])
-        parts += [F.lit("\nQ: " + spec.questions.get(f, f) + " A: "),
+        parts += [F.lit("\nQ: " + question(spec, f) + " A: "),
                   F.coalesce(F.element_at(arr, F.col(prefix + f).cast("int") + 1), F.lit("")), F.lit(".")]
     return df.withColumn("known_answers", F.concat(*parts))
 

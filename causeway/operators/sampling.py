@@ -12,7 +12,8 @@ third of the table) in one task, so instead:
 2. find per group the bucket holding the k-th draw (window over the small
    histogram only),
 3. take every row below that bucket, and rank only the rows *inside* the
-   boundary bucket (about n / bins rows per group, bins = 2^20).
+   boundary bucket (about n / bins rows per group, bins = 2^14: a map task sends at
+   most that many counts a group, and a group of 10^10 rows ranks about 610,000).
 
 Weighted resampling with replacement (I1) picks a (treatment, confounder) cell
 from a four-row table and then a unit by its rank inside the cell (equi-join on
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.draws import uniform, uniform_seed_col
 
-BINS = 1 << 20
+BINS = 1 << 14
 
 
 # ------------------------------------------------------------------ exact k smallest per group
@@ -54,14 +55,16 @@ def rank_select(df: DataFrame, by, ks: dict, u: str, tie: str, bins: int = BINS)
     hist = x.groupBy(*by, "_bin").agg(F.count("*").alias("_cnt"), *[F.first(c).alias(c) for c in kcols.values()])
     w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(w))
-    th = None
+    aggs = []
     for name, kc in kcols.items():
         # primitive aggregates only, so the threshold stays a hash aggregate
-        t = (hist.where(F.col("_cum") >= F.col(kc)).groupBy(*by)
-             .agg(F.min("_bin").alias(f"_b_{name}"),
-                  F.min_by(F.col(kc) - (F.col("_cum") - F.col("_cnt")), F.col("_bin")).alias(f"_need_{name}")))
-        th = t if th is None else th.join(t, by, "full_outer")
-    j = x.drop(*kcols.values()).join(th, by, "left")
+        reached = F.when(F.col("_cum") >= F.col(kc), F.col("_bin"))
+        aggs += [F.min(reached).alias(f"_b_{name}"),
+                 F.min_by(F.col(kc) - (F.col("_cum") - F.col("_cnt")), reached).alias(f"_need_{name}")]
+    th = hist.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(*aggs)
+    # null-safe: rows whose group is NULL are a group like any other
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])
+    j = x.drop(*kcols.values()).join(th, same, "left").drop(*[f"_g_{c}" for c in by])
     bcols = [F.col(f"_b_{n}") for n in ks]
     any_open = reduce(lambda a, b: a | b, [c.isNull() for c in bcols])
     top = F.greatest(*bcols) if len(bcols) > 1 else bcols[0]

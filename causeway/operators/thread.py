@@ -41,21 +41,26 @@ EXTRACT_COMMENT_TEMPLATE = ("\n\n## Subreddit \n> This comment was found on the
 
 
 def stitch(submissions: DataFrame, comments: DataFrame, key: str = "thread_key", sub_id: str = "sub_id",
-           seq: str = "seq", author: str = "author", sub_text: str = "selftext", com_text: str = "body") -> DataFrame:
+           seq: str = "seq", author: str = "author", sub_text: str = "selftext", com_text: str = "body",
+           forum: str = "subreddit") -> DataFrame:
     """Build context posts.
 
     submissions: sub_id, thread_key, subreddit, title, selftext, score, created_utc, permalink, author
-    comments:    seq, thread_key, body, score, created_utc, permalink, author
+    comments:    seq, thread_key, subreddit, body, score, created_utc, permalink, author
+
+    A thread is a (forum, thread key) pair: the same title slug in another forum is another
+    thread.  ``sub_id`` may be of any type.
 
     Output: sub_id, seq (NULL for the submission row), is_comment, subreddit, title,
     initial_post, post, score, created_utc, permalink, author_replies.
     Null authors never match (plain ``=``, not ``<=>``)."""
-    subs = submissions.select(sub_id, key, "subreddit", "title", F.col(sub_text).alias("_selftext"), "score",
+    keys = [key, forum]
+    subs = submissions.select(sub_id, *keys, "title", F.col(sub_text).alias("_selftext"), "score",
                               "created_utc", "permalink", F.col(author).alias("_sub_author"))
-    com = comments.select(seq, key, F.col(com_text).alias("_body"), F.col("score").alias("_c_score"),
+    com = comments.select(seq, *keys, F.col(com_text).alias("_body"), F.col("score").alias("_c_score"),
                           F.col("created_utc").alias("_c_created"), F.col("permalink").alias("_c_permalink"),
                           F.col(author).alias("_c_author"))
-    linked = com.join(subs.select(sub_id, key, "_sub_author"), key)            # D1 (equi)
+    linked = com.join(subs.select(sub_id, *keys, "_sub_author"), keys)            # D1 (equi)
     is_author = F.coalesce(F.col("_c_author") == F.col("_sub_author"), F.lit(False))
     replies = (linked.where(is_author)
                .groupBy(sub_id)
@@ -72,16 +77,19 @@ def stitch(submissions: DataFrame, comments: DataFrame, key: str = "thread_key",
                          .otherwise(F.col("_selftext")))
              .drop("_r"))
     sub_rows = posts.select(sub_id, F.lit(None).cast("bigint").alias(seq), F.lit(False).alias("is_comment"),
-                            "subreddit", "title", F.lit("").alias("initial_post"), "post", "score", "created_utc",
+                            F.col(forum).alias("subreddit"), "title", F.lit("").alias("initial_post"), "post", "score", "created_utc",
                             "permalink", "author_replies")
     others = linked.where(~is_author).drop("_sub_author")                        # D2
-    # join the bulk comment rows back on the thread key they are already partitioned by
-    # (then match the submission): the comments are shuffled once, by the first join only
-    p = posts.select(F.col(sub_id).alias("_p_sub"), key, "subreddit", "title", F.col("post").alias("initial_post"))
-    # (the submission match is written as a difference so Catalyst keeps the thread key
-    # as the only equi-join key and does not re-partition the comments by (key, sub_id))
-    com_rows = (others.join(p, (others[key] == p[key]) & ((others[sub_id] - p["_p_sub"]) == 0)).drop(p[key])
-                .select(sub_id, F.col(seq).cast("bigint").alias(seq), F.lit(True).alias("is_comment"), "subreddit",
+    # join the bulk comment rows back on the thread they are already partitioned by (then
+    # match the submission): the comments are shuffled once, by the first join only
+    p = posts.select(F.col(sub_id).alias("_p_sub"), F.col(key).alias("_p_key"), F.col(forum).alias("_p_forum"),
+                     "title", F.col("post").alias("initial_post"))
+    # (inside coalesce the submission match is no equi-join key, so Catalyst does not
+    # re-partition the comments by (thread, sub_id))
+    same = F.coalesce(F.col(sub_id) == F.col("_p_sub"), F.lit(False))
+    com_rows = (others.join(p, (F.col(key) == F.col("_p_key")) & (F.col(forum) == F.col("_p_forum")) & same)
+                .select(sub_id, F.col(seq).cast("bigint").alias(seq), F.lit(True).alias("is_comment"),
+                        F.col(forum).alias("subreddit"),
                         "title", "initial_post", F.col("_body").alias("post"), F.col("_c_score").alias("score"),
                         F.col("_c_created").alias("created_utc"), F.col("_c_permalink").alias("permalink"),
                         F.array().cast("array<string>").alias("author_replies")))

@@ -235,8 +235,8 @@ FROM documents
 
 @register("lexicon_terms_documents", LEXICON_SQL)
 def lexicon_terms_documents(spark, sf):
-    """B10 + B11 with the published migraine lexicons (130+ treatment terms -> the
-    one-pass automaton matcher) annotating every document."""
+    """B10 + B11 with the published migraine lexicons (130+ treatment terms, each
+    tested on its own) annotating every document."""
     from causeway.functions import text as T
     d = TB.table(spark, sf, "documents").select("doc_id", "source", "text")
     return d.select("doc_id",

@@ -145,7 +145,7 @@ SELECT conv_id AS sub_id, conv_id AS thread_key, 'conversations' AS subreddit,
 FROM conversations WHERE turn = 0
 """
 THREAD_COMMENTS_SQL = """
-SELECT turn AS seq, conv_id AS thread_key, text AS body, CAST(turn AS INT) AS score,
+SELECT turn AS seq, conv_id AS thread_key, 'conversations' AS subreddit, text AS body, CAST(turn AS INT) AS score,
        1700000000 + conv_id * 3600 + turn * 60 AS created_utc,
        CONCAT('/c/', CAST(conv_id AS STRING), '/', CAST(turn AS STRING), '/') AS permalink, role AS author
 FROM conversations WHERE turn > 0

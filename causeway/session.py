@@ -2,12 +2,13 @@
 
 The library never creates a session behind the caller's back except through
 ``get_session`` (tests, bench, CLI).  Lineage cuts go to the shared folder named
-by ``spark.checkpoint.dir``; only when that is unset (local tests) do we pick one.
+by ``spark.checkpoint.dir``; only when that is unset in local mode (tests) do we pick one.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +47,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder, setting a scratch one only if unset."""
+    """The cluster's shared checkpoint folder.  Unset, it is a scratch folder in local mode and
+    an error on a cluster, whose executors do not see the driver's folders."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="causeway-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:

@@ -69,9 +69,10 @@ def convert_archive(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def read_table_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A4: CSV with quoted multi-line fields and an explicit schema (no inference)."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+def read_table_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
+    """A4: CSV with an explicit schema (no inference).  ``multi_line`` lets quoted fields hold
+    line breaks, at the price of one task a file; without it large files are split."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
             .csv(path))
 
 
@@ -83,16 +84,18 @@ def read_array_csv(spark: SparkSession, path: str, schema: StructType, array_col
 
 def read_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
                     partition_by=("split",)) -> DataFrame:
-    """A5: read a cached split table if present, else compute it, commit it, read it back."""
-    if _exists(spark, path):
+    """A5: read a cached split table if it was committed, else compute it, commit it, read it
+    back.  What an interrupted run left in the folder is overwritten."""
+    if committed(spark, path):
         return spark.read.parquet(path)
     compute().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has ended: its commit marker is there."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(p)
 
@@ -123,21 +126,25 @@ def todo(src: DataFrame, done: DataFrame, key: str = "unit_id") -> DataFrame:
 def score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_schema, batch_size: int | None = None
           ) -> DataFrame:
     """Run a user batch scorer over Arrow batches.  ``fn`` maps a pandas
-    frame of input rows to a frame with ``out_schema`` columns (row-aligned)."""
-    if batch_size:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
+    frame of at most ``batch_size`` input rows (None: an Arrow batch) to a frame with
+    ``out_schema`` columns, row-aligned; any other number of rows is an error."""
     ship_package()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield fn(b)
+            for at in range(0, len(b), batch_size or max(len(b), 1)):
+                part = b.iloc[at:at + batch_size] if batch_size else b
+                out = fn(part)
+                if len(out) != len(part):
+                    raise ValueError(f"the scorer returned {len(out)} rows for {len(part)}")
+                yield out
     return df.mapInPandas(run, schema=out_schema)
 
 
 def resume_and_score(src: DataFrame, done_path: str, fn, out_schema, key: str = "unit_id") -> DataFrame:
     """A8 + A9: score only what is missing from the committed output at ``done_path``."""
     spark = src.sparkSession
-    if _exists(spark, done_path):
+    if committed(spark, done_path):
         src = todo(src, spark.read.parquet(done_path), key)
     return score(src, fn, out_schema)
 
@@ -165,19 +172,24 @@ RETAIL_TRAIN_SCHEMA = _schema([("client_id", "string"), ("treatment_flg", "int")
 
 def read_email_trial(spark: SparkSession, path: str) -> DataFrame:
     """The email-marketing trial table (treatment = segment, target = visit).  Rows get a
-    ``unit_id`` at ingestion; commit the result (``read_or_compute``) so later stages align on
-    a stored key rather than on a file position."""
-    df = read_table_csv(spark, path, EMAIL_TRIAL_SCHEMA)
-    return (df.withColumn("unit_id", F.monotonically_increasing_id())
+    ``unit_id`` from what they hold, so it is the same however the file is split: a hash of
+    all columns and of the copy's number among equal rows (64 bits; two of 10^6 rows share
+    one with a probability of about 3e-8).  Copies are counted by a grouped aggregate and
+    expanded again, so no row order is needed."""
+    df = read_table_csv(spark, path, EMAIL_TRIAL_SCHEMA, multi_line=False)
+    copies = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    df = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    return (df.withColumn("unit_id", F.xxhash64(F.to_json(F.struct(*df.columns)))).drop("_copy")
             .withColumn("history", F.col("history").try_cast("double"))
             .withColumnsRenamed({"segment": "treatment", "visit": "target"}))
 
 
 def read_retail_trial(spark: SparkSession, purchases: str, clients: str, train: str):
     """The retail trial's purchases, clients and train tables with typed columns."""
-    p = read_table_csv(spark, purchases, RETAIL_PURCHASES_SCHEMA)
+    p = read_table_csv(spark, purchases, RETAIL_PURCHASES_SCHEMA, multi_line=False)
     num = ("regular_points_received", "express_points_received", "regular_points_spent", "express_points_spent",
            "purchase_sum", "product_quantity", "trn_sum_from_iss", "trn_sum_from_red")
     p = p.withColumns({c: F.col(c).try_cast("double") for c in num})
     p = p.withColumn("transaction_datetime", F.to_timestamp("transaction_datetime"))
-    return p, read_table_csv(spark, clients, RETAIL_CLIENTS_SCHEMA), read_table_csv(spark, train, RETAIL_TRAIN_SCHEMA)
+    return (p, read_table_csv(spark, clients, RETAIL_CLIENTS_SCHEMA, multi_line=False),
+            read_table_csv(spark, train, RETAIL_TRAIN_SCHEMA, multi_line=False))

@@ -27,6 +27,7 @@ class StudySpec:
     options: dict                 # field -> ordered option labels (code = position)
     questions: dict = field(default_factory=dict)
     aliases: dict = field(default_factory=dict)        # field -> {label: code}, extra folds
+    decode_labels: dict = field(default_factory=dict)   # field -> labels by code, where not the options (C7)
     allowed_treatments: tuple = ()                      # B15 allow-list (raw answers)
     treatment_folds: dict = field(default_factory=dict)  # code -> raw answers (C9)
     yes_no_fields: tuple = ()                           # fields coded No=0 / Yes=1 in discretize
@@ -320,10 +321,18 @@ LIRAGLUTIDE = StudySpec(
     questions={
         "age": "Is the user's age greater than 45 years?",
         "sex": "What is the reported sex of the user?",
+        "t2dm": "Does the user have Type 2 Diabetes?",
+        "metformin": "Does the user mention taking Metformin or other background medication?",
         "bmi": "Is the user's Body Mass Index (BMI) greater than 28.5 kg per meter squared?",
         "start_HbA1c": "Is the user's starting HbA1c level before treatment greater than 7.5%?",
         "start_weight": "Is the user's starting weight level before treatment greater than 220 lbs?",
+        "end_HbA1c": "What is the user's final HbA1c level at the end of their treatment regime?",
+        "end_weight": "What is the user's final weight at the end of their treatment regime, in lb?",
+        "weight_unit": "What units was the user's weight originally reported in?",
+        "weight_change": "What is the net change in the user's weight, in lb?",
+        "percentage_weight_change": "What is the percentage change in the user's weight?",
         "duration_days": "For what duration did the user take the treatment, before reporting change in their weight?",
+        "dosage": "What was the dosage of the treatment taken by the user, in mg?",
         "drug_type": "Which treatment did the user take?",
         "target_achieved": "Did the user lose 10 or more percent of their initial weight?",
     },
@@ -363,6 +372,25 @@ TIRZEPATIDE = StudySpec(
         "drug_type": ["Semaglutide like Ozempic or Wegovy or Rybelsus", "Tirzepatide like Mounjaro or Zepbound"],
         "target_achieved": ["No", "Yes"],
     },
+    questions={
+        "age": "Is the user's age greater than 45 years?",
+        "sex": "What is the reported sex of the user?",
+        "country": "Which country does the user reside in?",
+        "t2dm": "Does the user have Type 2 Diabetes?",
+        "metformin": "Does the user mention taking Metformin?",
+        "bmi": "Is the user's Body Mass Index (BMI) greater than 28.5 kg per meter squared?",
+        "start_HbA1c": "Is the user's starting HbA1c level before treatment greater than 7.5%?",
+        "start_weight": "Is the user's starting weight level before treatment greater than 220 lbs?",
+        "end_HbA1c": "What is the user's final HbA1c level at the end of their treatment regime?",
+        "end_weight": "What is the user's final weight at the end of their treatment regime, in lb?",
+        "weight_unit": "What units was the user's weight originally reported in?",
+        "weight_change": "What is the net change in the user's weight, in lb?",
+        "percentage_weight_change": "What is the percentage change in the user's weight?",
+        "duration_days": "For what duration did the user take the treatment, before reporting change in their weight?",
+        "dosage": "What was the dosage of the treatment taken by the user, in mg?",
+        "drug_type": "Which treatment did the user take?",
+        "target_achieved": "Did the user lose 5 or more percent of their initial weight?",
+    },
     aliases={**_SEX, "country": {"United States": 0, "Mexico": 1, "Canada": 2, "Australia": 3, "United Kingdom": 4,
                                  "UK": 4, "Belgium": 5, "Greece": 6, "Germany": 7, "Brazil": 8, "Costa Rica": 9,
                                  "Italy": 10}},
@@ -403,6 +431,17 @@ BOTOX = StudySpec(
         "baseline_MMD": ["No", "Yes"], "duration_days": ["Upto 30 days", "Over 30 days"],
         "drug_type": ["Botox injection", "Topiramate"], "discontinued": ["No", "Yes"],
     },
+    questions={
+        "age": "Is the user's age greater than 25 years?",
+        "sex": "What is the reported sex of the user?",
+        "country": "Which country does the user reside in?",
+        "baseline_MMD": "Did the user experience migraine symptoms for greater than 15 days per month, before starting treatment?",
+        "duration_days": "For what duration did the user take the treatment, before reporting their experience?",
+        "drug_type": "Which treatment did the user take?",
+        "discontinued": "Did the user discontinue the treatment above due to adverse side effects?",
+    },
+    decode_labels={"country": ["United States", "Canada", "Australia", "Europe", "United Kingdom", "Germany",
+                               "Argentina", "Scotland", "Brazil"]},
     aliases={**_SEX, "country": {"United States": 0, "US": 0, "USA": 0, "Ohio": 0, "California": 0, "PNW": 0,
                                  "British Columbia, Canada": 1, "Canada": 1, "Australia": 2, "Europe": 3, "EU": 3,
                                  "UK": 4, "United Kingdom": 4, "Germany": 5, "Argentina": 6, "Scotland": 7,
@@ -436,6 +475,17 @@ ERENUMAB = StudySpec(
         "drug_type": ["Erenumab like Aimovig", "Topiramate like Topiragen or Topamax or Trokendi or Qudexy"],
         "discontinued": ["No", "Yes"],
     },
+    questions={
+        "age": "Is the user's age greater than 32 years?",
+        "sex": "What is the reported sex of the user?",
+        "country": "Which country does the user reside in?",
+        "baseline_MMD": "Did the user experience migraine symptoms for greater than 6 days per month, before starting treatment?",
+        "duration_days": "For what duration did the user take the treatment, before reporting their experience?",
+        "drug_type": "Which treatment did the user take?",
+        "discontinued": "Did the user discontinue treatment due to adverse side effects?",
+    },
+    decode_labels={"country": ["United States", "Canada", "Australia", "Europe", "United Kingdom", "Germany",
+                               "Argentina", "Scotland", "Brazil", "Chile", "Norway", "Denmark"]},
     aliases={**_SEX, "country": {"United States": 0, "US": 0, "USA": 0, "Texas": 0, "PNW": 0, "Canada": 1,
                                  "Australia": 2, "Europe": 3, "EU": 3, "UK": 4, "United Kingdom": 4, "Germany": 5,
                                  "Argentina": 6, "Scotland": 7, "Brazil": 8, "Chile": 9, "Norway": 10,

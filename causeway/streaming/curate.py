@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import text as T
 from causeway.operators import clean
-from causeway.sources.io import CORRUPT
+from causeway.sources.io import CORRUPT, committed
 
 
 def curated_stream(spark: SparkSession, path: str, schema, text: str, is_comment: bool, terms=(),
@@ -34,15 +34,14 @@ def curated_stream(spark: SparkSession, path: str, schema, text: str, is_comment
 
 
 def append_new(out_path: str, key: str):
-    """foreachBatch sink: append rows whose key is not in the committed table yet
-    (idempotent if a micro-batch is replayed after a failure)."""
+    """foreachBatch sink: append one row of each key that is not in the committed table yet
+    (idempotent if a micro-batch is replayed after a failure).  A table that cannot be
+    read is an error, not an empty one."""
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(out_path).select(key)
-            batch = batch.join(done, key, "left_anti")
-        except Exception:  # first batch: nothing committed yet
-            pass
+        batch = batch.dropDuplicates([key])
+        if committed(spark, out_path):
+            batch = batch.join(spark.read.parquet(out_path).select(key), key, "left_anti")
         batch.write.mode("append").parquet(out_path)
     return write
 
