@@ -26,12 +26,14 @@ CAPACITY = 1024
 SEPARATOR = 0
 #: Remainders of one length are numbered in so many buckets of a key hash, each on its own.
 BUCKETS = 256
+#: Chunks whose ids a worker remembers, in each of two generations (about 0.3 KB a chunk).
+MEMO = 300_000
 
 
 class TokenIds:
     """Ids of texts by a ``tokenizers`` file, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, file: bytes, memo: int = 300_000):
+    def __init__(self, file: bytes, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark deals out the cores
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(file.decode())
@@ -131,7 +133,8 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR,
+                 memo: int = MEMO) -> DataFrame:
     """(doc_id, doc_tokens, crcs): ids counted with the separator, a CRC for each piece."""
     file = vocabulary(docs.sparkSession, path)
     end = np.array([separator], dtype="<u4").tobytes()
@@ -139,11 +142,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator
 
     def start():
         store = process_store("tokenizers")
-        if path not in store:
-            store[path] = TokenIds(file.value)
+        if (path, memo) not in store:
+            store[path, memo] = TokenIds(file.value, memo)
 
         def work(cols):
-            ids = [i + end for i in store[path].encode(cols["text"])]
+            ids = [i + end for i in store[path, memo].encode(cols["text"])]
             return {"doc_id": cols["doc_id"], "doc_tokens": [len(i) // 4 for i in ids],
                     "crcs": [[zlib.crc32(i[a:a + width]) for a in range(0, len(i), width)] for i in ids]}
         return work
@@ -153,15 +156,17 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR,
-         buckets: int = BUCKETS) -> DataFrame:
+         buckets: int = BUCKETS, memo: int = MEMO) -> DataFrame:
     """One row per piece: which ids of its document it holds, and where it lies.
 
     A NULL or empty text is the separator alone; a NULL doc_id stays; repeated rows are
     packed each; an empty table gives no piece.  The texts are read and encoded once (into
     the shared checkpoint folder, a few numbers a document); only those numbers are
     shuffled, once: the numbers before each (length, bucket) are joined on the key by which
-    the rows already lie.  The plan, bounded by the capacity, goes out with the tasks."""
-    rows = cut(token_pieces(docs, path, capacity, separator))
+    the rows already lie.  The plan, bounded by the capacity, goes out with the tasks.
+    ``memo`` bounds a worker's cache: fewer chunks take less memory and more time, and give
+    the same rows."""
+    rows = cut(token_pieces(docs, path, capacity, separator, memo))
     rows = rows.select("*", (F.col("doc_tokens") % capacity).alias("rest"),
                        F.floor(F.col("doc_tokens") / capacity).cast("long").alias("whole"),
                        F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(buckets)).cast("int").alias("bucket"))

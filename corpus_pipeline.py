@@ -41,9 +41,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences of at most 1024 ids."""
+    """Pieces of the kept documents in sequences of at most 1024 ids.
+
+    Executors come to this stage with their heaps full, so the chunk cache is kept small."""
     import public_tokenizers
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=50_000)
 
 
 STAGES = [("quality classifier", keep_scored), ("quality rules", keep_ruled), ("n-gram Jaccard join", keep_one_of_each_group),
