@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 
 import numpy as np
@@ -28,15 +29,21 @@ def pattern_of(pattern: str):
                          .replace(r"\S", r"\P{White_Space}"))
 
 
+#: A blank between two characters that are no white space (by Python's ``\\s``, which holds
+#: all of Unicode's White_Space); written so that the search is for the blank itself.
+_CUT = re.compile(r" (?<=\S )(?=\S)")
+
+
 def chunks(text: str) -> list[str]:
     """Pieces of a text that split the same way alone as inside it, mostly words.
 
-    A single blank always begins a new piece of the pattern, so a text is cut before each.
-    Where blanks follow one another, or end the text, the run is one piece: such a text is
-    a single chunk."""
+    A blank between two characters that are no white space always begins a new piece of the
+    pattern, so a text is cut before each.  Beside other white space (a tab, a no-break
+    space) a blank may stand inside a piece, and the run stays whole.  Where blanks follow
+    one another, or end the text, the text is a single chunk."""
     if "  " in text or text.endswith(" "):
         return [text]
-    first, *rest = text.split(" ")
+    first, *rest = _CUT.split(text)
     return ([first] if first else []) + [" " + x for x in rest]
 
 

@@ -53,6 +53,23 @@ def test_random_texts(codec):
         same(codec, "".join(rnd.choice("abcdeinorst") for _ in range(rnd.randint(1, 200))))
 
 
+MIXED = [a + (gap * n) + b for gap in ("\u00a0 ", " \u00a0", "\t ", " \t", "\u3000 ", " \u3000", "\n ", " \x1c", " \u2003\u00a0")
+         for n in (1, 2, 5) for a, b in (("x", "y"), ("", "y"), ("x", ""), ("x ", " y z"), ("w x", "\u00a0y"))]
+
+
+@pytest.mark.parametrize("text", ["x \u00a0 \u00a0 \u00a0y", *MIXED])
+def test_blanks_beside_other_white_space(codec, text):
+    same(codec, text)
+
+
+def test_random_mixed_white_space(codec):
+    rnd = random.Random(12)
+    for _ in range(3000):
+        same(codec, "".join(rnd.choice("ab1.  \u00a0\t\u3000\n\x1c\x85") for _ in range(rnd.randint(0, 40))))
+    for _ in range(1000):      # no two blanks together: always cut into chunks
+        same(codec, "".join(rnd.choice(["a", "b1", ".", " \u00a0", "\u00a0 ", " \t", " x", "\u3000", " y z"]) for _ in range(20)).replace("  ", " "))
+
+
 def test_query_rows(spark):
     texts = [None, *TEXTS, TEXTS[-1]]
     rows = [(i if i != 3 else None, t, "clash", 1) for i, t in enumerate(texts)]

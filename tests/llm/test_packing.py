@@ -53,6 +53,19 @@ def test_ids_equal_the_tokenizer():
         assert [np.frombuffer(i, "<u4").tolist() for i in ids.encode(part)] == [e.ids for e in tk.encode_batch(part, add_special_tokens=False)]
 
 
+def test_blanks_beside_other_white_space_equal_the_tokenizer():
+    tk = Tokenizer.from_file(PATH)
+    tk.encode_special_tokens = True
+    ids = pk.TokenIds(open(PATH, "rb").read(), memo=300)
+    rnd = random.Random(13)
+    texts = ["x \u00a0 \u00a0 \u00a0y", "x \t \ty z", "x\u3000 \u3000 y", " \u00a0 x", "x \u00a0"]
+    texts += ["".join(rnd.choice(["a", "b1", ".", " \u00a0", "\u00a0 ", " \t", " x", "\u3000", " y z", "\x1c"]) for _ in range(rnd.randint(1, 30))).replace("  ", " ")
+              for _ in range(3000)]
+    for at in range(0, len(texts), 100):
+        part = texts[at:at + 100]
+        assert [np.frombuffer(i, "<u4").tolist() for i in ids.encode(part)] == [e.ids for e in tk.encode_batch(part, add_special_tokens=False)]
+
+
 def check_pieces(rows, docs):
     """Every id of every document in one piece, every sequence gapless and within 1024."""
     tk = Tokenizer.from_file(PATH)
