@@ -26,9 +26,14 @@ PATH_BINS, WORD_BINS, HIDDEN = 128, 32, 24
 #: Pages and passes of the training; a bounded set that does not depend on the input.
 TRAIN_PAGES, EPOCHS, SEED = 420, 7, 11
 
+# The rest of a tag: names with or without a value.  A quote opens a value only directly after
+# "=" and only if it is closed; elsewhere it is a character, so the tag ends at its own ">".
+_REST = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
+# Contents of the elements named here are no text; an svg may close itself, as foreign content.
 _TAG = re.compile(r"<!--.*?(?:-->|$)"
-                  r"|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)"
+                  r"|<svg(?=[\s/>])" + _REST + r"(?:(?<=/)>|>.*?(?:</svg\s*>|$))"
+                  r"|<(script|style|noscript|template|textarea|iframe|title)(?=[\s/>])" + _REST + r">.*?(?:</\1\s*>|$)"
+                  r"|<(/?)([a-zA-Z][^\s/>]*+)(" + _REST + r")(?:>|$)"
                   r"|<[!?][^>]*(?:>|$)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W_]+")

@@ -27,6 +27,21 @@ def test_blocks():
     assert len(texts("<p>x</p>" * 5000)) == 5000 and texts("y" * 200_000) == ["y" * 200_000]
 
 
+def test_self_closed_svg_and_stray_quotes():
+    assert texts('<p>a</p><svg class="i"/><p>b</p><p>c</p>') == ["a", "b", "c"]
+    assert texts("<p>a</p><svg/><p>b</p><svg class=i/>c<svg viewBox='0 0 1 1'><path d='M0'/><text>no</text></svg><p>d</p>") == ["a", "b", "c", "d"]
+    assert texts('<svg class="a/"><text>no</text></svg>x<svg\n  role="img"\n/>y') == ["xy"]
+    assert texts("<img alt=it's><p>one don't two</p>") == ["one don't two"]
+    assert texts('<p title=5">a "quoted" line</p><p>b</p>') == ['a "quoted" line', "b"]
+    assert texts('<div class="a"">x</div><p id=\'b\'\' class="c">y</p>') == ["x", "y"]
+    assert [b.path for b in hx.blocks('<div class="a""><p id=\'b\'\' class="c">y</p></div>')] == [["div", ".a", "p", ".b", ".c"]]
+    assert texts("<a href = \"x>y\" title='p>q' data-z>go</a><input value=>z<p \"'>w</p>") == ["go", "z", "w"]
+    assert texts('<p class="open>a</p><p>b</p>') == ["a", "b"] and texts('x<div class="cut off') == ["x"]      # never closed
+    assert texts("<title-bar>a</title-bar><svg-icon name=x></svg-icon><p>b</p>") == ["a", "b"]
+    assert texts("<script src='a'/>no</script><SVG/><p>b</p>") == ["b"]
+    assert len(texts("<p a='1\">x</p>" * 4001)) == 2001 and texts("<p " + "a=' " * 50_000 + ">x") == ["x"]
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     model = hx.Labeller(hidden=3)
