@@ -1,8 +1,8 @@
 """Licence scan: ordered signature rules over the normalised words of a text.
 
 A text is lower-cased (A-Z only) and reduced to its words joined by single blanks.  Each
-rule is a hand-written regular expression on that form, gated by a keyword: the
-expression runs only where the keyword occurs.  Rules stand in order of priority; a
+rule is a hand-written regular expression on that form, gated by a keyword that every
+match contains: the expression runs only where the keyword occurs.  Rules stand in order of priority; a
 detection lying inside the interval of a kept detection of higher priority is
 suppressed.  The three base phrases come first and are never suppressed.
 """
@@ -27,10 +27,10 @@ mit ; 1.0 ; permission is hereby granted ; permission is hereby granted free of
 mit-0 ; 1.0 ; permission is hereby granted ; permission is hereby granted free of charge to any person obtaining a copy of this software .{0,400}without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided
 apache-2 ; 1.0 ; licensed under the apache ; licensed under the apache license version 2(?: 0)? the license you may not use this (?:file|work|document) except in compliance
 apache-2 ; 1.0 ; apache org ; (?:https? )?www apache org licenses license 2 0(?: html| txt)?
-apache-1.1 ; 1.0 ; the apache group ; this product includes software developed by the apache (?:group|software foundation)
+apache-1.1 ; 1.0 ; developed by the apache ; this product includes software developed by the apache (?:group|software foundation)
 bsd-3-clause ; 1.0 ; neither the name ; neither the names? of .{1,120}nor the names of (?:its|the|their) contributors may be used to endorse or promote
 bsd-4-clause ; 1.0 ; all advertising materials ; all advertising materials mentioning features or use of this software must display
-bsd-2-clause ; 1.0 ; redistribution and use ; redistributions? and use in source and binary forms with or without modification are permitted
+bsd-2-clause ; 1.0 ; and use in source ; redistributions? and use in source and binary forms with or without modification are permitted
 bsd-0-clause ; 1.0 ; permission to use ; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software
 isc ; 1.0 ; permission to use ; permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
 gpl-3 ; 1.0 ; general public license ; (?:either )?version 3 of the (?:gnu )?general public license
@@ -58,12 +58,12 @@ boost-1 ; 1.0 ; boost software license ; distributed under the boost software li
 zlib ; 1.0 ; altered source versions ; altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 libpng ; 1.0 ; png reference library ; the png reference library is supplied as is
 openssl ; 1.0 ; openssl toolkit ; this product includes software developed by the openssl project for use in the openssl toolkit
-ssleay ; 1.0 ; ssleay ; this product includes cryptographic software written by eric young
+ssleay ; 1.0 ; eric young ; this product includes cryptographic software written by eric young
 php-3 ; 1.0 ; php license ; this source file is subject to version 3(?: 0\d?)? of the php license
 python-2 ; 1.0 ; python software foundation ; this license agreement is between the python software foundation psf
 unlicense ; 1.0 ; free and unencumbered ; this is free and unencumbered software released into the public domain
 wtfpl ; 1.0 ; do what the fuck ; do what the fuck you want to public license
-cc0-1 ; 1.0 ; cc0 ; to the extent possible under law .{1,120}waived all copyright and related or neighbou?ring rights
+cc0-1 ; 1.0 ; extent possible under law ; to the extent possible under law .{1,120}waived all copyright and related or neighbou?ring rights
 cc0-1 ; 1.0 ; publicdomain ; creativecommons org publicdomain zero 1 0
 public-domain ; 1.0 ; publicdomain ; creativecommons org publicdomain mark 1 0
 cc-by-nc-nd ; 1.0 ; creativecommons ; creativecommons org licenses by nc nd(?: \d 0)?
@@ -86,7 +86,7 @@ x11 ; 1.0 ; x consortium ; except as contained in this notice the name of the x
 ntp ; 1.0 ; permission to use ; permission to use copy modify and distribute this software and its documentation for any purpose
 hpnd ; 1.0 ; permission to use ; permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
 proprietary ; 1.0 ; proprietary ; (?:this (?:file|document|software) is|contains?) (?:the )?(?:confidential and )?proprietary (?:information|material|to)
-proprietary ; 1.0 ; confidential ; unauthori[sz]ed copying of this (?:file|document|software) via any medium is strictly prohibited
+proprietary ; 1.0 ; via any medium ; unauthori[sz]ed copying of this (?:file|document|software) via any medium is strictly prohibited
 no-ai-training ; 1.0 ; train ; may not be used (?:to train|for (?:the )?training(?: of)?) (?:machine learning|artificial intelligence|ai|language)(?: models?| systems?)?
 no-derivatives ; 0.9 ; derivative ; no derivative works (?:are|is) (?:permitted|allowed)
 non-commercial ; 0.9 ; commercial ; for (?:personal and )?non commercial use only
@@ -210,7 +210,8 @@ zlib ; 0.7 ; zlib ; zlib (?:libpng )?licen[sc]ed?
 unlicense ; 0.7 ; unlicense ; (?:the )?unlicense
 wtfpl ; 0.7 ; wtfpl ; wtfpl
 beerware ; 0.7 ; beer ; beer ?ware(?: licen[sc]e)?
-python-2 ; 0.7 ; python ; (?:python software foundation|psf) licen[sc]e
+python-2 ; 0.7 ; python software foundation ; python software foundation licen[sc]e
+python-2 ; 0.7 ; psf ; psf licen[sc]e
 php-3 ; 0.7 ; php ; php licen[sc]e
 ruby ; 0.7 ; ruby ; ruby licen[sc]e
 artistic ; 0.7 ; artistic ; artistic licen[sc]e

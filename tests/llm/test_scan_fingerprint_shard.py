@@ -43,6 +43,51 @@ def test_license_scan_matches_brute_force(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
 
 
+def alternatives(parsed):
+    """Shortest texts of every branch, option and character of a parsed expression."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            part = [chr(arg)]
+        elif op == "ANY":
+            part = ["x"]
+        elif op == "IN":
+            part = [chr(a) if str(k) == "LITERAL" else "7" for k, a in arg]
+            assert all(str(k) == "LITERAL" or str(a) == "CATEGORY_DIGIT" for k, a in arg)
+        elif op == "BRANCH":
+            part = [x for branch in arg[1] for x in alternatives(branch)]
+        elif op == "SUBPATTERN":
+            part = alternatives(arg[3])
+        else:
+            assert op == "MAX_REPEAT"
+            low, high, inner = arg
+            part = [x * n for x in alternatives(inner) for n in ({0, 1} if (low, high) == (0, 1) else {low})]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_every_license_rule_fires_alone():
+    s = lic.Scanner()
+    for k, (label, _, keyword, expression) in enumerate(lic.rules()):
+        for text in alternatives(re._parser.parse(expression)):
+            words = text.split()
+            text = " ".join(words)
+            assert re.fullmatch(expression, text) and keyword in text, (label, keyword, text)
+            assert (k, 0, len(words)) in s.detections(lic.word_list(text.encode())), (label, keyword, text)
+
+
+@pytest.mark.parametrize("text, label", [
+    ("This product includes software developed by the Apache Software Foundation", "apache-1.1"),
+    ("This product includes cryptographic software written by Eric Young", "ssleay"),
+    ("To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights", "cc0-1"),
+    ("Unauthorized copying of this file, via any medium, is strictly prohibited", "proprietary"),
+    ("Redistributions and use in source and binary forms, with or without modification, are permitted", "bsd-2-clause"),
+    ("PSF license", "python-2")])
+def test_license_alternatives_without_the_name(text, label):
+    assert lic.Scanner().scan(text.encode())["labels"] == label
+
+
 def test_license_rules_priority_and_suppression():
     s = lic.Scanner()
     assert len(s.rules) >= 200
