@@ -89,14 +89,16 @@ def difference(s: int, t: int, threshold: int) -> int:
 
 
 class Classes:
-    """Size classes: class c holds sizes from ``bounds[c]`` up to the next bound."""
+    """Size classes: class c holds sizes from ``bounds[c]`` up to the next bound.
+
+    A class is at least 100 / threshold wide, so a set links within its own and the next."""
 
     def __init__(self, threshold: int, ratio: float = 1.5):
         self.threshold, self.ratio, self.bounds = threshold, ratio, [1]
 
     def _upto(self, size: int) -> None:
         while self.bounds[-1] <= size:
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * self.ratio)))
+            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * self.ratio), 100 * self.bounds[-1] // self.threshold))
 
     def of(self, size: int) -> list[tuple[int, int, int]]:
         """(class, D of the class, D of this size) for each class in which the size can link:

@@ -82,6 +82,25 @@ def corpus(seed):
     return docs
 
 
+@pytest.mark.parametrize("threshold", [34, 50, 60, 66, 90])
+def test_a_set_links_within_two_classes(threshold):
+    classes = jj.Classes(threshold)
+    assert all(len(classes.of(n)) <= 2 for n in range(1, 3000))
+
+
+@pytest.mark.parametrize("threshold", [50, 60])
+def test_low_thresholds(spark, threshold):
+    rnd = random.Random(threshold)
+    docs = []
+    for _ in range(40):      # a set and a larger one that holds it, on both sides of the threshold
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(60)]
+        n = rnd.randint(4, 24)
+        docs += [(len(docs), " ".join(words[:n + 2])), (len(docs) + 1, " ".join(words[:100 * n // threshold + 2 + rnd.choice([0, 0, 1])]))]
+    docs += [(900, " ".join("abcdefghij")), (901, " ".join("abcdefghijklmno"))]      # 8 and 13 shingles
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert got(jj.link_components(df, threshold=threshold)) == brute(docs, threshold)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_all_pairs(spark, seed):
     docs = corpus(seed)
