@@ -8,6 +8,7 @@ from causeway.llm.chat import op10_chat_formatting
 from causeway.llm.fingerprints import op2_fingerprints
 from causeway.llm.html_extract import op4_html_extraction
 from causeway.llm.jaccard_join import op8_ngram_jaccard
+from causeway.llm.language_id import op13_language_id
 from causeway.llm.licenses import op1_license_scan
 from causeway.llm.negatives import op11_hard_negatives
 from causeway.llm.packing import op6_packing
@@ -28,6 +29,7 @@ QUERIES = {f.__name__: f for f in (
     op10_chat_formatting,
     op11_hard_negatives,
     op12_token_alignment,
+    op13_language_id,
 )}
 
 ORACLES: dict[str, str] = {}
