@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,36 +98,46 @@ def trials(df: DataFrame, k: int, size: int, seed: int, id_col: str = "unit_id")
 
 # ------------------------------------------------------------------ I2 stratified split
 
-def allocate(counts: DataFrame, strata, total: int, n_col: str = "n", out: str = "k") -> DataFrame:
-    """Largest-remainder allocation of ``total`` over strata proportional to ``n``
-    (ties by stratum key).  ``counts`` has one row per stratum."""
+def allocate(counts: DataFrame, strata, total, n_col: str = "n", out: str = "k") -> DataFrame:
+    """Largest-remainder allocation of ``total`` (a number or a Column over ``counts``) over
+    strata proportional to ``n`` (ties by stratum key).  ``counts`` has one row per stratum."""
     strata = list(strata)
     g = Window.partitionBy()
-    c = counts.withColumn("_N", F.sum(n_col).over(g))
-    c = c.withColumn("_num", F.col(n_col) * F.lit(total))
+    c = counts.withColumn("_N", F.sum(n_col).over(g)).withColumn("_total", F.lit(total) if isinstance(total, int) else total)
+    c = c.withColumn("_num", F.col(n_col) * F.col("_total"))
     c = c.withColumn("_base", F.floor(F.col("_num") / F.col("_N")).cast("bigint"))
     c = c.withColumn("_rem", F.col("_num") - F.col("_base") * F.col("_N"))
-    c = c.withColumn("_deficit", F.lit(total) - F.sum("_base").over(g))
+    c = c.withColumn("_deficit", F.col("_total") - F.sum("_base").over(g))
     r = Window.orderBy(F.col("_rem").desc(), *[F.col(s) for s in strata])
     c = c.withColumn("_rank", F.row_number().over(r))
     return c.withColumn(out, (F.col("_base") + (F.col("_rank") <= F.col("_deficit")).cast("bigint"))) \
-        .drop("_N", "_num", "_base", "_rem", "_deficit", "_rank")
+        .drop("_N", "_total", "_num", "_base", "_rem", "_deficit", "_rank")
 
 
-def stratified_split(df: DataFrame, strata, train_size: int, test_size: int, seed: int,
-                     id_col: str = "unit_id") -> DataFrame:
+def _part(size, rows: Column) -> Column:
+    """A part's rows: a whole number of them, or a share (below 1) of the table's."""
+    return F.floor(rows * F.lit(size)).cast("bigint") if isinstance(size, float) else F.lit(int(size)).cast("bigint")
+
+
+def stratified_split(df: DataFrame, strata, train_size, test_size, seed: int, id_col: str = "unit_id") -> DataFrame:
     """Exact-size train / val split stratified by ``strata`` (e.g. treatment and
-    outcome), without replacement.  Adds ``split`` in {"train", "val"}; rows in
-    neither are dropped.  The allocation runs on the per-stratum count table
-    (one row per stratum)."""
+    outcome), without replacement.  A size is a number of rows or, as a float, a share of the
+    table.  Adds ``split`` in {"train", "val"}; rows in neither are dropped.  A table with
+    fewer rows than both parts need is an error, not a short split.  The allocation runs on
+    the per-stratum count table (one row per stratum)."""
     strata = list(strata)
     counts = df.groupBy(*strata).agg(F.count("*").alias("n"))
-    alloc = allocate(counts, strata, train_size, out="k_train")
-    alloc = allocate(alloc.withColumn("n_rest", F.col("n") - F.col("k_train")), strata, test_size,
-                     n_col="n_rest", out="k_val")
+    rows = F.sum("n").over(Window.partitionBy())
+    need = _part(train_size, rows) + _part(test_size, rows)
+    enough = F.when(need > rows, F.raise_error(F.concat(F.lit("a split of "), need.cast("string"), F.lit(" rows from "), rows.cast("string")))
+                    .cast("bigint")).otherwise(_part(train_size, rows))
+    counts = counts.withColumn("_train", enough).withColumn("_val", _part(test_size, rows))
+    alloc = allocate(counts, strata, F.col("_train"), out="k_train")
+    alloc = allocate(alloc.withColumn("n_rest", F.col("n") - F.col("k_train")), strata, F.col("_val"), n_col="n_rest", out="k_val")
     alloc = alloc.select(*strata, "k_train", (F.col("k_train") + F.col("k_val")).alias("k_all"))
-    alloc = alloc.persist()          # one row per stratum, referenced by every selection pass
-    x = df.join(F.broadcast(alloc), strata).withColumn("_u", uniform(seed, "split", id_col))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in strata])
+    alloc = alloc.withColumnsRenamed({c: f"_s_{c}" for c in strata})
+    x = df.join(F.broadcast(alloc), same).drop(*[f"_s_{c}" for c in strata]).withColumn("_u", uniform(seed, "split", id_col))
     chosen = rank_select(x, strata, {"train": "k_train", "all": "k_all"}, "_u", id_col)
     return chosen.withColumn("split", F.when(F.col("in_train"), "train").otherwise("val")) \
         .drop("in_train", "in_all", "_u", "k_train", "k_all")
@@ -146,11 +155,13 @@ def _h(seed, tag, col) -> Column:
                               1, 8), 16, 10).cast("decimal(38,0)")
 
 
-BUCKET_ROWS = 2_000_000     # target rows per (cell, bucket) window at scale
+#: Keyed buckets in which a cell's units are numbered.  Fixed, so a draw never depends on the
+#: number of rows; a bucket of a table of 10^11 rows numbers about 1.5 million.
+BUCKETS = 1 << 16
 
 
 def confounded_resample(df: DataFrame, x: str, t: str, propensity: float, seed: int, n_draws=None,
-                        id_col: str = "unit_id", scale: int = 10_000, buckets: int | None = None) -> DataFrame:
+                        id_col: str = "unit_id", scale: int = 10_000, buckets: int = BUCKETS) -> DataFrame:
     """Draw n units with replacement, weight ``t ex / n1 + (1 - t)(1 - ex) / n0``,
     ``ex = p (1 - x) + (1 - p) x`` (x, t binary).
 
@@ -161,13 +172,9 @@ def confounded_resample(df: DataFrame, x: str, t: str, propensity: float, seed:
     prefix offsets form a table of at most 4 x buckets rows, and a unit's rank is
     offset + its position inside the bucket -- no window ever spans a whole cell.
     All position arithmetic is exact (DECIMAL(38,0) and integral division), so the
-    draws are reproducible in SQL."""
+    draws are reproducible in SQL.  The offsets join the units on the key by which the
+    numbering has already dealt them; nothing is counted, cached or broadcast but the cells."""
     spark = df.sparkSession
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)   # read by the counts, the ranks and the final join
-    if buckets is None:
-        # at least 1024 keyed buckets, more as the table grows, so the in-bucket
-        # row-number window never holds more than ~BUCKET_ROWS rows
-        buckets = max(1024, -(-df.count() // BUCKET_ROWS))
     p = int(round(propensity * scale))
     u = (df.select(id_col, F.col(t).cast("int").alias("_t"), F.col(x).cast("int").alias("_x"))
          .withColumn("_bucket", F.floor(uniform(seed, "bucket", id_col) * buckets).cast("int")))
@@ -193,7 +200,7 @@ def confounded_resample(df: DataFrame, x: str, t: str, propensity: float, seed:
     # unit rank inside its cell
     bw = Window.partitionBy("_t", "_x", "_bucket").orderBy(id_col)
     ranked = (u.withColumn("_r", F.row_number().over(bw) - 1)
-              .join(F.broadcast(cb.select("_t", "_x", "_bucket", "_off")), ["_t", "_x", "_bucket"])
+              .join(cb.select("_t", "_x", "_bucket", "_off"), ["_t", "_x", "_bucket"])
               .withColumn("_rank", (F.col("_off") + F.col("_r")).cast("bigint"))
               .select(id_col, "_t", "_x", "_rank"))
     # draws: cell by h1, rank by the 64-bit (h2, h3).  With n draws for n units the

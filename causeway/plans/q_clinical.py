@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.operators import clean, discretize, estimators, evaluate, grid, models, sampling, thread
+from causeway.operators import clean, discretize, estimators, evaluate, grid, thread
 from causeway.plans import tables as TB
 from causeway.plans.registry import cte, r6, register
 from causeway.spec import BOTOX
@@ -196,28 +196,6 @@ def propensity_distance_embeddings(spark, sf):
     return r.select(r6("kl").alias("kl"), r6("mse").alias("mse"))
 
 
-# ------------------------------------------------------------------ J18 / J19 benchmarks
-
-BENCH_ESTIMATORS = ("naive", "ipw", "standardization", "strat_std", "dr_vanilla")
-
-
-@register("benchmark_orders")
-def benchmark_orders(spark, sf):
-    """J18 + J19: registry estimators on the trial train / val split (I2) and on the
-    confounded observational resample (I1).  No SQL oracle: penalised logistic fits."""
-    from causeway.plans.queries import units
-    u = units(spark, sf).select("unit_id", "t", "y", (F.col("segment") == "BUILDING").cast("int").alias("x"),
-                                (F.col("region") == 1).cast("int").alias("r1"))
-    split = sampling.stratified_split(u, ["t", "y"], 2000, 2000, 10).persist()
-    obs = sampling.confounded_resample(u, "x", "t", 0.3, 10).persist()
-    xs = ["x", "r1"]
-    parts = [models.compare(split.where(F.col("split") == s), xs, "t", "y", BENCH_ESTIMATORS).withColumn("table", F.lit(s))
-             for s in ("train", "val")]
-    parts.append(models.compare(obs, xs, "t", "y", BENCH_ESTIMATORS).withColumn("table", F.lit("observational")))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("table", "estimator", F.round("ate", 4).alias("ate"))
-
-
 # ------------------------------------------------------------------ B10 / B11 with the study lexicons
 
 def _lexicon_sql(terms, hay):
@@ -302,22 +280,6 @@ def discretize_retail_customers(spark, sf):
     return d.select("unit_id", r6(F.col("age")).alias("age"), *[F.col(c).cast("int").alias(c) for c in RETAIL_OUT[2:]])
 
 
-# ------------------------------------------------------------------ J20: estimators on coded samples
-
-@register("sample_estimators_orders")
-def sample_estimators_orders(spark, sf):
-    """J20 + J21: registry estimators on the coded email-marketing samples (strata codes
-    as covariates, email_type -> visit).  No SQL oracle: multi-covariate model fits."""
-    from causeway.plans.q_misc import _email_codes
-    s = _email_codes(spark, sf).withColumns({c: F.col(c).cast("int") for c in
-                                             ("recency", "history", "mens", "womens", "zip_code", "newbie",
-                                              "channel", "email_type", "visit")})
-    xs = ["recency", "history", "mens", "womens", "zip_code", "newbie", "channel"]
-    r = models.compare(s, xs, "email_type", "visit", ("naive", "standardization", "strat_std"))
-    return r.select("estimator", F.round("ate", 6).alias("ate"))
-
-
-
 # ------------------------------------------------------------------ 3.2: extraction, composed
 
 DRUGS = ("Botox", "Topamax", "Topiramate", "Unknown", "Qudexy", "Trokendi")

@@ -350,18 +350,20 @@ def evaluate_orders(spark, sf):
     return out.select(F.lit("ipw").alias("estimator"), "metric", r6("value").alias("value"))
 
 
-SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED = 2000, 2000, 10
+#: Shares of the table.
+SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED = 0.4, 0.4, 10
 
 SPLIT_SQL = f"""
 WITH {cte('u', TB.UNITS_SQL)},
-c AS (SELECT t, y, count(*) AS n FROM u GROUP BY t, y),
-a1 AS (SELECT *, floor(n * {SPLIT_TRAIN} / sum(n) OVER ()) AS base, (n * {SPLIT_TRAIN}) % sum(n) OVER () AS rem FROM c),
-a2 AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, t, y) <= {SPLIT_TRAIN} - sum(base) OVER ()
+c AS (SELECT t, y, count(*) AS n, CAST(floor(sum(count(*)) OVER () * CAST({SPLIT_TRAIN} AS DOUBLE)) AS BIGINT) AS nt,
+             CAST(floor(sum(count(*)) OVER () * CAST({SPLIT_VAL} AS DOUBLE)) AS BIGINT) AS nv FROM u GROUP BY t, y),
+a1 AS (SELECT *, (n * nt) // sum(n) OVER () AS base, (n * nt) % sum(n) OVER () AS rem FROM c),
+a2 AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, t, y) <= nt - sum(base) OVER ()
                         THEN 1 ELSE 0 END AS k_train FROM a1),
-b1 AS (SELECT t, y, k_train, n - k_train AS nr, floor((n - k_train) * {SPLIT_VAL} / sum(n - k_train) OVER ()) AS base,
-              ((n - k_train) * {SPLIT_VAL}) % sum(n - k_train) OVER () AS rem FROM a2),
+b1 AS (SELECT t, y, nv, k_train, n - k_train AS nr, ((n - k_train) * nv) // sum(n - k_train) OVER () AS base,
+              ((n - k_train) * nv) % sum(n - k_train) OVER () AS rem FROM a2),
 b2 AS (SELECT t, y, k_train, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, t, y)
-                                      <= {SPLIT_VAL} - sum(base) OVER () THEN 1 ELSE 0 END AS k_val FROM b1),
+                                      <= nv - sum(base) OVER () THEN 1 ELSE 0 END AS k_val FROM b1),
 r AS (SELECT u.unit_id, u.t, u.y, row_number() OVER (PARTITION BY u.t, u.y ORDER BY {sql_uniform(SPLIT_SEED, 'split', 'u.unit_id')}, u.unit_id) AS rn
       FROM u)
 SELECT r.unit_id, CASE WHEN rn <= k_train THEN 'train' ELSE 'val' END AS split
@@ -371,7 +373,7 @@ FROM r JOIN b2 USING (t, y) WHERE rn <= k_train + k_val
 
 @register("stratified_split_orders", SPLIT_SQL)
 def stratified_split_orders(spark, sf):
-    """Exact-size train/val split (2000 / 2000) stratified by treatment and outcome."""
+    """Exact-size train/val split (two fifths each) stratified by treatment and outcome."""
     from causeway.plans.queries import units
     s = sampling.stratified_split(units(spark, sf), ["t", "y"], SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED)
     return s.select("unit_id", "split")
@@ -388,7 +390,7 @@ RESAMPLE_SQL = f"""
 WITH {cte('u0', TB.UNITS_SQL)},
 u AS (SELECT unit_id, t, CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END AS x,
              CAST(floor({sql_uniform(RESAMPLE_SEED, 'bucket', 'unit_id')}
-                        * (SELECT greatest(1024, CAST(ceil(count(*) / 2000000.0) AS BIGINT)) FROM u0)) AS INTEGER) AS bucket
+                        * {sampling.BUCKETS}) AS INTEGER) AS bucket
       FROM u0),
 cb AS (SELECT t, x, bucket, count(*) AS cnt FROM u GROUP BY t, x, bucket),
 cbo AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY t, x ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -419,5 +421,5 @@ def resample_orders(spark, sf):
     """Confounded resample with replacement (confounder: building segment, p = 0.3)."""
     from causeway.plans.queries import units
     u = units(spark, sf).withColumn("x", (F.col("segment") == "BUILDING").cast("int"))
-    r = sampling.confounded_resample(u, "x", "t", RESAMPLE_P, RESAMPLE_SEED)   # buckets grow with the table
+    r = sampling.confounded_resample(u, "x", "t", RESAMPLE_P, RESAMPLE_SEED)
     return r.select("draw_id", "unit_id")

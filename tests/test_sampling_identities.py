@@ -109,3 +109,26 @@ def test_columnwise_and_exploded_array_totals_agree(spark):
     x = estimators.ipw_full(df, "p", 2, 2).collect()[0]
     y = estimators.ipw_full(df, "p", 2, 2, size=8).collect()[0]
     assert x.ate == pytest.approx(y.ate) and x.n == y.n
+
+
+def test_split_needs_enough_rows(spark):
+    """A table too small for both parts is an error; shares always fit; NULL strata are strata."""
+    import pytest
+    from causeway.operators import sampling
+    df = spark.range(100).selectExpr("id AS unit_id", "CASE WHEN id % 4 < 3 THEN id % 4 END AS t")
+    with pytest.raises(Exception, match="split of 120 rows from 100"):
+        sampling.stratified_split(df, ["t"], 60, 60, 1).collect()
+    for train, val, want in ((60, 40, (60, 40)), (0.5, 0.25, (50, 25)), (1, 1, (1, 1))):
+        got = sampling.stratified_split(df, ["t"], train, val, 1).groupBy("split").count().collect()
+        assert {r["split"]: r["count"] for r in got} == dict(zip(("train", "val"), want))
+    assert sampling.stratified_split(df, ["t"], 0.5, 0.5, 1).where("t is null").count() == 25
+
+
+def test_resample_is_one_plan(spark):
+    """No count, no cache; every drawn unit exists; the draws do not change with the row order."""
+    from causeway.operators import sampling
+    df = spark.range(2000).selectExpr("id AS unit_id", "CAST(id % 2 AS INT) AS t", "CAST(id % 3 = 0 AS INT) AS x")
+    a = sampling.confounded_resample(df, "x", "t", 0.3, 5)
+    assert "InMemory" not in a._jdf.queryExecution().executedPlan().toString()
+    pick = lambda q: sorted((r.draw_id, r.unit_id) for r in q.select("draw_id", "unit_id").collect())
+    assert len(pick(a)) == 2000 and pick(a) == pick(sampling.confounded_resample(df.repartition(7), "x", "t", 0.3, 5))
