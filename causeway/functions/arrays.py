@@ -15,6 +15,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row.  An expression that a lambda takes
+    from outside is computed anew for every element; a lambda's own variable is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_array_text(c) -> Column:
     """A10: printed NumPy array text "[0.1 0.2\\n 0.7]" -> ARRAY<DOUBLE>."""
     body = F.regexp_replace(_col(c), "^[\\[\\s]+|[\\]\\s]+$", "")
@@ -23,12 +29,14 @@ def parse_array_text(c) -> Column:
 
 
 def softmax(c) -> Column:
-    """Numerically stable softmax of a log-likelihood array."""
-    x = _col(c).cast("array<double>")
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+    """Numerically stable softmax of a log-likelihood array, linear in its length."""
+    def scaled(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda s: F.transform(e, lambda v: v / s))
+
+    def shifted(x):
+        return let(F.array_max(x), lambda m: let(F.transform(x, lambda v: F.exp(v - m)), scaled))
+
+    return let(_col(c).cast("array<double>"), shifted)
 
 
 def argmax(c) -> Column:
@@ -38,11 +46,44 @@ def argmax(c) -> Column:
 
 
 def draw_index(c, u: Column) -> Column:
-    """I4: categorical draw -- first index whose cumulative probability exceeds u."""
-    x = _col(c)
-    cum = F.transform(x, lambda v, i: F.aggregate(F.slice(x, 1, i + 1), F.lit(0.0), lambda a, b: a + b))
-    hit = F.filter(F.transform(cum, lambda v, i: F.when(v > u, i)), lambda v: v.isNotNull())
-    return F.coalesce(F.element_at(hit, 1), F.size(x) - 1).cast("int")
+    """I4: categorical draw -- first index whose cumulative probability exceeds u (the last
+    one if rounding leaves none).  One running-sum fold: linear in the array."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("hit"))
+
+    def fold(b):
+        found = F.aggregate(b["x"], start, lambda acc, v: F.struct(
+            (acc["sum"] + v).alias("sum"), (acc["at"] + 1).alias("at"),
+            F.coalesce(acc["hit"], F.when(acc["sum"] + v > b["u"], acc["at"])).alias("hit")))["hit"]
+        return F.coalesce(found, F.size(b["x"]) - 1).cast("int")
+    return let(F.struct(_col(c).alias("x"), u.alias("u")), fold)
+
+
+def by_falling(c) -> Column:
+    """The array's values with their 0-based index, descending, ties by index."""
+    tagged = F.transform(_col(c).cast("array<double>"), lambda v, i: F.struct((-v).alias("key"), i.alias("idx"), v.alias("p")))
+    return F.array_sort(tagged)
+
+
+def nucleus(c, top_p: float) -> Column:
+    """the most likely entries (idx, p) in falling order, p renormalised; an entry is
+    dropped once the entries before it hold more than ``top_p``.
+
+    Those sums only grow, so the kept entries are a prefix: one fold gives its length and
+    mass.  Row-local: no rows are made and nothing is shuffled."""
+    def cut(order):
+        start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n"), F.lit(0.0).alias("mass"))
+        kept = F.aggregate(order, start, lambda acc, e: F.struct(
+            (acc["before"] + e["p"]).alias("before"), (acc["n"] + (acc["before"] <= top_p).cast("int")).alias("n"),
+            (acc["mass"] + F.when(acc["before"] <= top_p, e["p"]).otherwise(0.0)).alias("mass")))
+        return let(kept, lambda k: F.transform(F.slice(order, 1, k["n"]), lambda e: F.struct(
+            e["idx"].alias("idx"), (e["p"] / k["mass"]).alias("p"))))
+
+    return let(by_falling(c), cut)
+
+
+def nucleus_draw(kept, u: Column) -> Column:
+    """The index of the first nucleus entry whose cumulative mass exceeds u."""
+    return let(_col(kept), lambda k: F.element_at(k, draw_index(F.transform(k, lambda e: e["p"]), u) + 1)["idx"])
 
 
 def array_sum(c) -> Column:
@@ -58,31 +99,25 @@ def slice_sum(c, start0: Column | int, length: Column | int) -> Column:
 
 def marginal(c, shape, keep_axes) -> Column:
     """Sum a flattened row-major array over every axis not in ``keep_axes``.
-    Result is flattened row-major over the kept axes."""
+    Result is flattened row-major over the kept axes.
+
+    The places that add to an output cell are its own start plus offsets that are the same
+    for all cells, so every input value is read once."""
     shape = list(shape)
     strides = [1] * len(shape)
     for i in range(len(shape) - 2, -1, -1):
         strides[i] = strides[i + 1] * shape[i + 1]
-    kept = [a for a in range(len(shape)) if a in keep_axes]
-    out_shape = [shape[a] for a in kept]
-    out_strides = [1] * len(kept)
-    for i in range(len(kept) - 2, -1, -1):
-        out_strides[i] = out_strides[i + 1] * out_shape[i + 1]
-    n_out = 1
-    for s in out_shape:
-        n_out *= s
-    x = _col(c)
-
-    def out_index(i):  # i: 0-based flat input index Column -> flat output index Column
-        idx = F.lit(0)
-        for k, a in enumerate(kept):
-            idx = idx + F.pmod(F.floor(i / strides[a]).cast("int"), F.lit(shape[a])) * out_strides[k]
-        return idx
-
-    tagged = F.transform(x, lambda v, i: F.struct(out_index(i).alias("o"), v.alias("v")))
-    return F.transform(F.sequence(F.lit(0), F.lit(n_out - 1)),
-                       lambda o: F.aggregate(F.filter(tagged, lambda t: t["o"] == o), F.lit(0.0),
-                                             lambda a, t: a + t["v"]))
+    offsets, starts = [0], [0]
+    for a, (n, step) in enumerate(zip(shape, strides)):
+        if a in keep_axes:
+            starts = [s + k * step for s in starts for k in range(n)]
+        else:
+            offsets = [o + k * step for o in offsets for k in range(n)]
+
+    def add(x):
+        return F.transform(F.array(*[F.lit(s + 1) for s in starts]), lambda s: F.aggregate(
+            F.array(*[F.lit(o) for o in offsets]), F.lit(0.0), lambda total, o: total + F.element_at(x, s + o)))
+    return let(_col(c), add)
 
 
 def kl(a, b, eps: float = 1e-6) -> Column:

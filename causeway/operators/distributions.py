@@ -1,35 +1,21 @@
-"""Per-unit distribution operators that need an ordering: nucleus cut (F4, G2) and
-the draw after it (I5).  Arrays are exploded to (unit, index, p) rows and ordered
-inside each unit by a window partitioned by unit: one unit's options are one
-bounded group (the option grid), never the whole table."""
+"""Per-unit distribution operators that need an ordering: nucleus cut (F4, G2) and the draw
+after it (I5).  Both are folds over a unit's sorted array (``functions.arrays``): one scan,
+no rows for the options and no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions import arrays as A
 from causeway.functions.draws import uniform
 
 
-def nucleus(df: DataFrame, unit: str, probs: str, top_p: float) -> DataFrame:
-    """sort probabilities descending (ties by index), cumulative sum, drop entries
-    with ``cum - p > top_p``, renormalise.  Returns (unit, idx, p, rank, p_nucleus)."""
-    ex = df.select(unit, F.posexplode(probs).alias("idx", "p"))
-    w = Window.partitionBy(unit).orderBy(F.col("p").desc(), F.col("idx"))
-    ex = ex.withColumn("rank", F.row_number().over(w))
-    ex = ex.withColumn("cum", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    kept = ex.where(~(F.col("cum") - F.col("p") > F.lit(top_p)))
-    tot = Window.partitionBy(unit)
-    return kept.withColumn("p_nucleus", F.col("p") / F.sum("p").over(tot)).drop("cum")
+def nucleus(df: DataFrame, probs: str, top_p: float, out: str = "nucleus") -> DataFrame:
+    """``df`` with an array column of the kept (idx, p), most likely first, renormalised."""
+    return df.withColumn(out, A.nucleus(probs, top_p))
 
 
-def nucleus_draw(kept: DataFrame, unit: str, seed: int, tag: str = "nucleus") -> DataFrame:
-    """Multinomial draw from the renormalised nucleus, in rank order:
-    the first entry whose cumulative renormalised mass exceeds u(seed, tag, unit)."""
-    w = Window.partitionBy(unit).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = kept.withColumn("_cum", F.sum("p_nucleus").over(w)).withColumn("_u", uniform(seed, tag, unit))
-    hit = c.where(F.col("_cum") > F.col("_u"))
-    last = c.groupBy(unit).agg(F.max_by("idx", "rank").alias("_last"), F.count("*").alias("n_kept"))
-    first = hit.groupBy(unit).agg(F.min_by("idx", "rank").alias("_first"))
-    return last.join(first, unit, "left").select(unit, "n_kept",
-                                                 F.coalesce("_first", "_last").cast("int").alias("drawn"))
+def nucleus_draw(df: DataFrame, unit: str, seed: int, tag: str = "nucleus", kept: str = "nucleus") -> DataFrame:
+    """(unit, n_kept, drawn): a draw from the renormalised nucleus in its order."""
+    return df.select(unit, F.size(kept).alias("n_kept"), A.nucleus_draw(kept, uniform(seed, tag, unit)).cast("int").alias("drawn"))

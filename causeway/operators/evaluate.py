@@ -12,33 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def trial_summary(ates: DataFrame, estimator_cols) -> DataFrame:
-    """Per estimator the mean over trials and the population std of the trials
-    (the reference's ddof=1 std taken after appending the mean row equals it)."""
-    rows = []
-    for c in estimator_cols:
-        rows.append(ates.agg(F.avg(c).alias("ATE_mean"), F.stddev_pop(c).alias("ATE_std_dev"))
-                    .select(F.lit(c).alias("estimator"), F.stack(F.lit(2), F.lit("ATE_mean"), "ATE_mean",
-                                                                   F.lit("ATE_std_dev"), "ATE_std_dev")
-                            .alias("metric", "value")))
-    return reduce(DataFrame.unionByName, rows)
-
-
-def error_decomposition(ates: DataFrame, truth, obs_col: str, pred_col: str, estimator: str) -> DataFrame:
-    """K3: trial-vs-obs MSE, obs-vs-pred MSE, cross term 2 mean((g-o)(o-p)) and
-    trial-vs-pred MSE (the first three sum to the last).  ``truth`` is a number
-    or a Column (e.g. a scalar subquery)."""
-    g = truth if not isinstance(truth, (int, float)) else F.lit(float(truth))
-    ates = ates.withColumn("_g", g)          # a projected column, so the aggregate sees a plain input
-    g, o, p = F.col("_g"), F.col(obs_col), F.col(pred_col)
-    r = ates.agg(F.avg((g - o) * (g - o)).alias("CRE-Obs MSE"), F.avg((o - p) * (o - p)).alias("Obs-Pred MSE"),
-                 (2 * F.avg((g - o) * (o - p))).alias("Error Corr"), F.avg((g - p) * (g - p)).alias("CRE-Pred MSE"))
-    return r.select(F.lit(estimator).alias("estimator"),
-                    F.stack(F.lit(4), F.lit("CRE-Obs MSE"), F.col("`CRE-Obs MSE`"), F.lit("Obs-Pred MSE"),
-                            F.col("`Obs-Pred MSE`"), F.lit("Error Corr"), F.col("`Error Corr`"),
-                            F.lit("CRE-Pred MSE"), F.col("`CRE-Pred MSE`")).alias("metric", "value"))
-
-
 def trial_metrics(ates: DataFrame, truth, obs_col: str, pred_col: str, estimator: str) -> DataFrame:
     """E8 + K3 in one aggregate over the trial table: mean and population std of the
     predictions, and the error decomposition against ``truth``."""
@@ -82,10 +55,68 @@ def accuracy(truth: DataFrame, pred: DataFrame, key: str, fields, prefixes=("sam
     return per.groupBy("metric").agg(F.avg("acc").alias("mean"), F.stddev_pop("acc").alias("std"))
 
 
-def results_wide(long: DataFrame, column_cols=("estimator", "eval_size")) -> DataFrame:
-    """K8: metric rows x ``<estimator>_eval<size>`` columns."""
+def trial_table(trials: DataFrame, probs: str, cell: str, cells: int, fields, prefixes=("sample_", "max_sample_"),
+                by: str = "trial") -> DataFrame:
+    """K7: everything the metrics need of a table of (trial, unit) rows, in one grouped pass.
+
+    ``probs`` is a unit's predicted joint (``cells`` values), ``cell`` its true cell.  One row
+    a trial: n, the mean predicted and the observed joint as arrays, and per field the share
+    of drawn and of arg-max labels that equal the true one (``hit_sample_f``, ``hit_max_f``)."""
+    hits = [F.avg((F.col(f) == F.col(p + f)).cast("double")).alias(f"hit_{'max' if p.startswith('max') else 'sample'}_{f}")
+            for f in fields for p in prefixes]
+    row = trials.groupBy(by).agg(
+        F.count("*").alias("n"), *[F.avg(F.element_at(probs, i + 1)).alias(f"_p{i}") for i in range(cells)],
+        *[(F.count_if(F.col(cell) == i) / F.count("*")).alias(f"_o{i}") for i in range(cells)], *hits)
+    return row.select(by, "n", F.array(*[f"_p{i}" for i in range(cells)]).alias("predicted"),
+                      F.array(*[f"_o{i}" for i in range(cells)]).alias("observed"), *[c for c in row.columns if c.startswith("hit_")])
+
+
+def trial_report(table: DataFrame, shape, truth, by: str = "trial") -> DataFrame:
+    """K3-K7: (metric, value) over the rows of ``trial_table`` (a handful, one a trial).
+
+    ``shape`` is (X cells, treatments, outcomes), ``truth`` the effect that errors refer to (a
+    number or a scalar column).  A trial's effect is the full-joint IPW of its mean predicted
+    joint, the observed one that of its observed joint; both joints and both propensities are
+    compared by KL and MSE in each trial, and averaged.  An empty stratum has propensity 0."""
+    from causeway.functions import arrays as A
+    from causeway.operators.estimators import ipw_full
+    from causeway.session import cut_lineage
+    nx, nz, ny = shape
+    table = cut_lineage(table)          # a row a trial, read by every metric
+
+    def propensity(joint):
+        def share(x):
+            return F.transform(A.marginal(joint, shape, (0, 1)), lambda v, i: F.coalesce(
+                F.try_divide(v, F.element_at(x, F.floor(i / nz).cast("int") + 1)), F.lit(0.0)))
+        return A.let(A.marginal(joint, shape, (0,)), share)
+
+    t = table.withColumns({"e_pred": propensity("predicted"), "e_obs": propensity("observed")})
+    pred = ipw_full(t, "predicted", nz, ny, [by], nx * nz * ny).select(by, F.col("ate").alias("p"), F.col("uncorrected").alias("u"))
+    obs = ipw_full(t, "observed", nz, ny, [by], nx * nz * ny).select(by, F.col("ate").alias("o"))
+    hits = [c for c in table.columns if c.startswith("hit_")]
+    each = t.join(pred, by).join(obs, by).withColumn("g", F.lit(float(truth)) if isinstance(truth, (int, float)) else truth).select(
+        "p", "u", "o", "g", A.kl("observed", "predicted").alias("klj"), A.mse("observed", "predicted").alias("msej"),
+        A.kl("e_obs", "e_pred").alias("klp"), A.mse("e_obs", "e_pred").alias("msep"), *hits)
+    p, o, g = F.col("p"), F.col("o"), F.col("g")
+    metrics = {"ATE_mean": F.avg(p), "ATE_std_dev": F.stddev_pop(p), "Uncorrected_mean": F.avg("u"),
+               "CRE-Obs MSE": F.avg((g - o) * (g - o)), "Obs-Pred MSE": F.avg((o - p) * (o - p)),
+               "Error Corr": 2 * F.avg((g - o) * (o - p)), "CRE-Pred MSE": F.avg((g - p) * (g - p)),
+               "KL to Obs Joint": F.avg("klj"), "MSE to Obs Joint": F.avg("msej"),
+               "KL to Obs Propensity": F.avg("klp"), "MSE to Obs Propensity": F.avg("msep")}
+    for h in hits:
+        kind, field = h[4:].split("_", 1)
+        metrics |= {f"{field}_acc_{kind}_mean": F.avg(h), f"{field}_acc_{kind}_std": F.stddev_pop(h)}
+    names = list(metrics)
+    row = each.agg(*[m.alias(f"_m{i}") for i, m in enumerate(metrics.values())])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"_m{i}").alias("value")) for i, n in enumerate(names)])))
+
+
+def results_wide(long: DataFrame, column_cols=("estimator", "eval_size"), columns=None) -> DataFrame:
+    """K8: metric rows x ``<estimator>_eval<size>`` columns.  With ``columns`` (pairs of
+    estimator and size) given, the plan runs once; without, once more to find them."""
     name = F.concat(F.col(column_cols[0]), F.lit("_eval"), F.col(column_cols[1]).cast("string"))
-    return long.withColumn("_col", name).groupBy("metric").pivot("_col").agg(F.first("value"))
+    values = None if columns is None else [f"{e}_eval{n}" for e, n in columns]
+    return long.withColumn("_col", name).groupBy("metric").pivot("_col", values).agg(F.first("value"))
 
 
 def merge_sizes(tables) -> DataFrame:

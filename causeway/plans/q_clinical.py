@@ -160,11 +160,11 @@ def curate_documents(spark, sf):
 
 PROP_DIST_SQL = """
 WITH ex AS (SELECT vec_id AS unit_id, r.pos - 1 AS pos, CAST(embedding[r.pos] AS DOUBLE) AS l
-            FROM embeddings CROSS JOIN range(1, 5) AS r(pos)),
+            FROM embeddings CROSS JOIN range(1, 65) AS r(pos)),
 mx AS (SELECT unit_id, max(l) AS m FROM ex GROUP BY unit_id),
 ee AS (SELECT ex.unit_id, pos, exp(l - m) AS e FROM ex JOIN mx USING (unit_id)),
 pz AS (SELECT unit_id, pos, e / sum(e) OVER (PARTITION BY unit_id) AS p FROM ee),
-pw AS (SELECT unit_id, sum(p) FILTER (WHERE pos < 2) AS p0, sum(p) FILTER (WHERE pos >= 2) AS p1 FROM pz GROUP BY unit_id),
+pw AS (SELECT unit_id, sum(p) FILTER (WHERE (pos // 2) % 2 = 0) AS p0, sum(p) FILTER (WHERE (pos // 2) % 2 = 1) AS p1 FROM pz GROUP BY unit_id),
 s AS (SELECT vec_id AS unit_id, CAST(embedding[9] > 0 AS INTEGER) AS z, CAST(embedding[10] > 0 AS INTEGER) AS a,
              CAST(embedding[11] > 0 AS INTEGER) AS b FROM embeddings),
 j AS (SELECT * FROM pw JOIN s USING (unit_id)),

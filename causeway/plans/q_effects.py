@@ -1,8 +1,8 @@
 """Queries for probability arrays, estimators, sampling and evaluation.
 
-Bindings (SURVEY 7.3): the first 8 / 4 / 2 embedding values are option
-log-likelihoods of shape (2,2,2) / (2,2) / (2); sampled covariates are signs of
-later embedding values; ``documents x labels`` gives (lang, quality, toxic);
+Bindings (SURVEY 7.3): the 64 embedding values are option log-likelihoods of shape
+(16, 2, 2); the (2, 2) and (2) arrays are marginals of that joint (C26); sampled
+covariates are signs of embedding values; ``documents x labels`` gives (lang, quality, toxic);
 the 7.1 unit table (orders x customer x nation) feeds the sampling operators.
 """
 
@@ -20,14 +20,19 @@ from causeway.spec import StudySpec
 # ------------------------------------------------------------------ embedding unit table
 
 
+#: Shape of the joint (X, treatment, outcome) that an embedding's values spell.
+SHAPE = (16, 2, 2)
+CELLS = 64
+
+
 def emb_units(spark, sf):
     e = TB.table(spark, sf, "embeddings")
     v = F.col("embedding").cast("array<double>")
+    e = e.select("*", A.softmax(v).alias("p_full"))
     return e.select(
-        F.col("vec_id").alias("unit_id"),
-        A.softmax(F.slice(v, 1, 8)).alias("p_full"),
-        A.softmax(F.slice(v, 1, 4)).alias("p_zy"),
-        A.softmax(F.slice(v, 1, 2)).alias("p_y"),
+        F.col("vec_id").alias("unit_id"), "p_full",
+        A.marginal("p_full", SHAPE, (1, 2)).alias("p_zy"),
+        A.marginal("p_full", SHAPE, (2,)).alias("p_y"),
         (F.element_at(v, 9) > 0).cast("int").alias("sample_z"),
         (F.element_at(v, 10) > 0).cast("int").alias("sample_a"),
         (F.element_at(v, 11) > 0).cast("int").alias("sample_b"))
@@ -48,7 +53,7 @@ smp AS (SELECT vec_id AS unit_id, CAST(embedding[9] > 0 AS INTEGER) AS sample_z,
         FROM embeddings)"""
 
 IPW_FULL_SQL = f"""
-WITH {_softmax_sql(8, 'pf')},
+WITH {_softmax_sql(CELLS, 'pf')},
 cells AS (SELECT pos, sum(p) AS s, pos // 4 AS x, (pos // 2) % 2 AS z, pos % 2 AS y FROM pf GROUP BY pos),
 sxz AS (SELECT x, z, sum(s) AS s_xz FROM cells GROUP BY x, z),
 sx AS (SELECT x, sum(s) AS s_x FROM cells GROUP BY x),
@@ -66,13 +71,13 @@ FROM cells JOIN e USING (x) CROSS JOIN n GROUP BY n.n
 
 @register("ipw_full_embeddings", IPW_FULL_SQL)
 def ipw_full_embeddings(spark, sf):
-    """C23 + E7 + J1 + J2 + J3: full-joint IPW ATE over softmaxed (2,2,2) arrays."""
-    r = estimators.ipw_full(emb_units(spark, sf), "p_full", 2, 2, size=8)
+    """C23 + E7 + J1 + J2 + J3: full-joint IPW ATE over softmaxed (16,2,2) arrays."""
+    r = estimators.ipw_full(emb_units(spark, sf), "p_full", 2, 2, size=CELLS)
     return r.select(F.col("n").cast("bigint").alias("n"), r6("ate").alias("ate"), r6("uncorrected").alias("uncorrected"))
 
 
 JOINT_SQL = f"""
-WITH {_softmax_sql(8, 'pf')},
+WITH {_softmax_sql(CELLS, 'pf')},
 cells AS (SELECT pos, sum(p) AS s, count(*) AS cnt, pos // 4 AS x, (pos // 2) % 2 AS z FROM pf GROUP BY pos),
 sxz AS (SELECT x, z, sum(s) AS s_xz FROM cells GROUP BY x, z),
 sx AS (SELECT x, sum(s) AS s_x FROM cells GROUP BY x),
@@ -89,19 +94,19 @@ FROM cells JOIN e USING (x)
 def joint_embeddings(spark, sf):
     """J22 + J23: predicted joint, plain mean and propensity-reweighted view."""
     u = emb_units(spark, sf)
-    o = estimators.joint_observed(u, "p_full", size=8).withColumnRenamed("joint", "joint_obs")
-    c = estimators.joint_reweighted(u, "p_full", 2, 2, size=8).withColumnRenamed("joint", "joint_cre")
+    o = estimators.joint_observed(u, "p_full", size=CELLS).withColumnRenamed("joint", "joint_obs")
+    c = estimators.joint_reweighted(u, "p_full", 2, 2, size=CELLS).withColumnRenamed("joint", "joint_cre")
     return o.join(c, "pos").select(F.col("pos").cast("int").alias("pos"), r6("joint_obs").alias("joint_obs"),
                                    r6("joint_cre").alias("joint_cre"))
 
 
 SOFTMAX_SQL = f"""
-WITH {_softmax_sql(8, 'pf')},
+WITH {_softmax_sql(CELLS, 'pf')},
 mx AS (SELECT unit_id, max(p) AS mp FROM pf GROUP BY unit_id),
 am AS (SELECT pf.unit_id, min(pos) AS argmax, max(mx.mp) AS posterior FROM pf JOIN mx USING (unit_id)
        WHERE pf.p = mx.mp GROUP BY pf.unit_id),
 cum AS (SELECT unit_id, pos, sum(p) OVER (PARTITION BY unit_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM pf),
-dr AS (SELECT c.unit_id, coalesce(min(pos) FILTER (WHERE c > {sql_uniform(7, 'draw', 'c.unit_id')}), 7) AS drawn
+dr AS (SELECT c.unit_id, coalesce(min(pos) FILTER (WHERE c > {sql_uniform(7, 'draw', 'c.unit_id')}), {CELLS - 1}) AS drawn
        FROM cum c GROUP BY c.unit_id)
 SELECT am.unit_id, CAST(argmax AS INTEGER) AS argmax, round(posterior, 6) AS posterior, CAST(drawn AS INTEGER) AS drawn
 FROM am JOIN dr USING (unit_id)
@@ -119,7 +124,7 @@ def softmax_draw_embeddings(spark, sf):
 
 TOP_P = 0.8
 NUCLEUS_SQL = f"""
-WITH {_softmax_sql(8, 'pf')},
+WITH {_softmax_sql(CELLS, 'pf')},
 o AS (SELECT unit_id, pos, p, row_number() OVER (PARTITION BY unit_id ORDER BY p DESC, pos) AS rnk,
              sum(p) OVER (PARTITION BY unit_id ORDER BY p DESC, pos ROWS UNBOUNDED PRECEDING) AS cum FROM pf),
 k AS (SELECT unit_id, pos, rnk, p / sum(p) OVER (PARTITION BY unit_id) AS pn FROM o WHERE NOT (cum - p > {TOP_P})),
@@ -135,13 +140,14 @@ FROM c GROUP BY unit_id
 def nucleus_embeddings(spark, sf):
     """F4 + G2 + I5: nucleus cut (top_p 0.8) of softmaxed options, then a keyed draw."""
     u = emb_units(spark, sf)
-    kept = distributions.nucleus(u, "unit_id", "p_full", TOP_P)
+    kept = distributions.nucleus(u, "p_full", TOP_P)
     return distributions.nucleus_draw(kept, "unit_id", seed=5).select(
         "unit_id", F.col("n_kept").cast("bigint").alias("n_kept"), "drawn")
 
 
 _ZY_SQL = f"""
-{_softmax_sql(4, 'pz')},
+{_softmax_sql(CELLS, 'pf')},
+pz AS (SELECT unit_id, pos % 4 AS pos, sum(p) AS p FROM pf GROUP BY unit_id, pos % 4),
 pw AS (SELECT unit_id, max(CASE WHEN pos = 0 THEN p END) AS p00, max(CASE WHEN pos = 1 THEN p END) AS p01,
               max(CASE WHEN pos = 2 THEN p END) AS p10, max(CASE WHEN pos = 3 THEN p END) AS p11
        FROM pz GROUP BY unit_id),
@@ -187,7 +193,8 @@ def balance_embeddings(spark, sf):
 
 
 OI_SQL = f"""
-WITH {_softmax_sql(2, 'py')},
+WITH {_softmax_sql(CELLS, 'pf')},
+py AS (SELECT unit_id, pos % 2 AS pos, sum(p) AS p FROM pf GROUP BY unit_id, pos % 2),
 p1 AS (SELECT unit_id, p AS y1 FROM py WHERE pos = 1),
 {_SAMPLES_SQL.strip()},
 t AS (SELECT sample_a, sample_b, count(*) FILTER (WHERE sample_z = 0) AS n0, count(*) FILTER (WHERE sample_z = 1) AS n1,
@@ -202,10 +209,26 @@ FROM t
 @register("outcome_imputation_embeddings", OI_SQL)
 def outcome_imputation_embeddings(spark, sf):
     """J8 + J9 + B20: outcome imputation over overlap strata, arm and marginal weights."""
-    t = estimators.outcome_table(emb_units(spark, sf), "p_y", ["sample_a", "sample_b"], "sample_z")
-    n0, n1, m0, m1 = F.col("n0"), F.col("n1"), F.col("m0"), F.col("m1")
-    return t.agg(r6(F.sum(n1 * m1) / F.sum(n1) - F.sum(n0 * m0) / F.sum(n0)).alias("ate_arm"),
-                 r6(F.sum((n0 + n1) * (m1 - m0)) / F.sum(n0 + n1)).alias("ate_marginal"))
+    u = emb_units(spark, sf)
+    arm, marginal = (estimators.outcome_imputation(u, "p_y", ["sample_a", "sample_b"], "sample_z", weights=w) for w in ("arm", "marginal"))
+    # one row each
+    return arm.select(r6("ate").alias("ate_arm"), F.lit(1).alias("one")).join(
+        marginal.select(r6("ate").alias("ate_marginal"), F.lit(1).alias("one")), "one").drop("one")
+
+
+MARGINAL_SQL = f"""
+WITH {_softmax_sql(CELLS, 'pf')}
+SELECT unit_id, CAST(pos // 4 AS INTEGER) AS x, round(sum(p), 6) AS p_x,
+       round(sum(p) FILTER (WHERE pos % 2 = 1), 6) AS p_xy1 FROM pf GROUP BY unit_id, pos // 4
+"""
+
+
+@register("marginal_embeddings", MARGINAL_SQL)
+def marginal_embeddings(spark, sf):
+    """The joint's marginals over X and over (X, outcome = 1), a row per covariate cell."""
+    u = emb_units(spark, sf).select("unit_id", A.marginal("p_full", SHAPE, (0,)).alias("px"), A.marginal("p_full", SHAPE, (0, 2)).alias("pxy"))
+    return u.select("unit_id", F.posexplode("px").alias("x", "p_x"), "pxy").select(
+        "unit_id", F.col("x").cast("int").alias("x"), r6("p_x").alias("p_x"), r6(F.element_at("pxy", 2 * F.col("x") + 2)).alias("p_xy1"))
 
 
 # ------------------------------------------------------------------ documents x labels
@@ -350,6 +373,79 @@ def evaluate_orders(spark, sf):
     return out.select(F.lit("ipw").alias("estimator"), "metric", r6("value").alias("value"))
 
 
+# ------------------------------------------------------------------ K3-K7: all metrics of a trial
+
+DRIVER_TRIALS, DRIVER_SIZE, DRIVER_SEED = 3, 300, 77
+DRIVER_SHAPE = (4, 2, 2)
+
+
+def _driver_sql():
+    u = sql_uniform_seed(f"{DRIVER_SEED} + tr.trial", "trial", "e.unit_id")
+    acc = " ".join(f"UNION ALL SELECT '{f}_acc_{k}_' || s, CASE s WHEN 'mean' THEN avg(h) ELSE stddev_pop(h) END FROM (SELECT trial, avg(CAST({f} = {c}_{f} AS DOUBLE)) AS h "
+                   f"FROM j GROUP BY trial) CROSS JOIN (VALUES ('mean'), ('std')) v(s) GROUP BY s"
+                   for f in ("x", "z", "y") for k, c in (("sample", "d"), ("max", "m")))
+    return f"""
+WITH {_softmax_sql(CELLS, 'pf')},
+q AS (SELECT unit_id, (pos // 16) * 4 + pos % 4 AS pos, sum(p) AS p FROM pf GROUP BY ALL),
+am AS (SELECT unit_id, min(pos) AS m FROM (SELECT *, max(p) OVER (PARTITION BY unit_id) AS mp FROM q) WHERE p = mp GROUP BY unit_id),
+cum AS (SELECT unit_id, pos, sum(p) OVER (PARTITION BY unit_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM q),
+dr AS (SELECT unit_id, coalesce(min(pos) FILTER (WHERE c > {sql_uniform(DRIVER_SEED, 'label', 'unit_id')}), 15) AS d FROM cum GROUP BY unit_id),
+{_SAMPLES_SQL.strip()},
+e AS (SELECT smp.unit_id, sample_a * 2 + sample_b AS x, sample_z AS z, CAST(label % 2 AS INTEGER) AS y, m, d
+      FROM smp JOIN embeddings ON vec_id = smp.unit_id JOIN am USING (unit_id) JOIN dr USING (unit_id)),
+j AS (SELECT trial, unit_id, x, z, y, m // 4 AS m_x, (m // 2) % 2 AS m_z, m % 2 AS m_y, d // 4 AS d_x, (d // 2) % 2 AS d_z, d % 2 AS d_y
+      FROM (SELECT e.*, CAST(tr.trial AS INTEGER) AS trial, row_number() OVER (PARTITION BY tr.trial ORDER BY {u}, e.unit_id) AS rn
+            FROM e CROSS JOIN range({DRIVER_TRIALS}) AS tr(trial)) WHERE rn <= {DRIVER_SIZE}),
+n AS (SELECT trial, count(*) AS n FROM j GROUP BY trial),
+g AS (SELECT trial, CAST(c.range AS INTEGER) AS pos FROM n CROSS JOIN range(16) c),
+jp AS (SELECT trial, q.pos, avg(p) AS p FROM j JOIN q USING (unit_id) GROUP BY ALL),
+jo AS (SELECT trial, x * 4 + z * 2 + y AS pos, count(*) AS c FROM j GROUP BY ALL),
+cells AS (SELECT g.trial, g.pos, g.pos // 4 AS x, (g.pos // 2) % 2 AS z, g.pos % 2 AS y, jp.p, coalesce(jo.c, 0) / n.n AS o
+          FROM g JOIN n USING (trial) JOIN jp USING (trial, pos) LEFT JOIN jo USING (trial, pos)),
+xz AS (SELECT trial, x, z, sum(p) AS p, sum(o) AS o FROM cells GROUP BY ALL),
+ez AS (SELECT trial, x, z, p / sum(p) OVER w AS ep, CASE WHEN sum(o) OVER w <> 0 THEN o / sum(o) OVER w ELSE 0 END AS eo
+       FROM xz WINDOW w AS (PARTITION BY trial, x)),
+ok AS (SELECT trial, x, min(eo) <> 0 AS fits FROM ez GROUP BY ALL),
+ate AS (SELECT trial, sum((2 * z - 1) * y * p / ep) AS p, sum((2 * z - 1) * y * p) AS u,
+               sum(CASE WHEN fits THEN (2 * z - 1) * y * o / eo ELSE 0 END) AS o
+        FROM cells JOIN ez USING (trial, x, z) JOIN ok USING (trial, x) GROUP BY trial),
+t0 AS (SELECT x, count(*) FILTER (WHERE z = 1) AS n1, count(*) FILTER (WHERE z = 0) AS n0, sum(y) FILTER (WHERE z = 1) AS s1,
+              sum(y) FILTER (WHERE z = 0) AS s0 FROM e GROUP BY x),
+tr AS (SELECT sum(CASE WHEN n1 > 0 AND n0 > 0 THEN (n1 + n0) * (s1 / n1 - s0 / n0) ELSE 0 END) / sum(n1 + n0) AS g FROM t0),
+dj AS (SELECT trial, sum(CASE WHEN o <> 0 THEN o * ln(o / (p + 1e-6)) ELSE 0 END) AS kl, avg((o - p) * (o - p)) AS mse FROM cells GROUP BY trial),
+dp AS (SELECT trial, sum(CASE WHEN eo <> 0 THEN eo * ln(eo / (ep + 1e-6)) ELSE 0 END) AS kl, avg((eo - ep) * (eo - ep)) AS mse FROM ez GROUP BY trial),
+r AS (SELECT 'ATE_mean' AS metric, avg(p) AS value FROM ate UNION ALL SELECT 'ATE_std_dev', stddev_pop(p) FROM ate
+      UNION ALL SELECT 'Uncorrected_mean', avg(u) FROM ate
+      UNION ALL SELECT 'CRE-Obs MSE', avg((g - o) * (g - o)) FROM ate, tr UNION ALL SELECT 'Obs-Pred MSE', avg((o - p) * (o - p)) FROM ate
+      UNION ALL SELECT 'Error Corr', 2 * avg((g - o) * (o - p)) FROM ate, tr UNION ALL SELECT 'CRE-Pred MSE', avg((g - p) * (g - p)) FROM ate, tr
+      UNION ALL SELECT 'KL to Obs Joint', avg(kl) FROM dj UNION ALL SELECT 'MSE to Obs Joint', avg(mse) FROM dj
+      UNION ALL SELECT 'KL to Obs Propensity', avg(kl) FROM dp UNION ALL SELECT 'MSE to Obs Propensity', avg(mse) FROM dp
+      {acc})
+SELECT metric, round(value, 6) AS value FROM r
+"""
+
+
+def _labels(prefix, cell):
+    return {prefix + "x": F.floor(cell / 4).cast("int"), prefix + "z": (F.floor(cell / 2) % 2).cast("int"), prefix + "y": (cell % 2).cast("int")}
+
+
+@register("evaluate_trials_embeddings", _driver_sql())
+def evaluate_trials_embeddings(spark, sf):
+    """K3-K7: effects, error decomposition, joint and propensity distances and the accuracy of
+    drawn and arg-max labels over three trials, from one grouped pass over (trial, unit)."""
+    from causeway.functions.draws import uniform
+    e = emb_units(spark, sf).join(TB.table(spark, sf, "embeddings").select(F.col("vec_id").alias("unit_id"), "label"), "unit_id")
+    e = e.withColumn("p16", A.marginal("p_full", (4, 4, 2, 2), (0, 2, 3)))
+    e = e.select("unit_id", "p16", (F.col("sample_a") * 2 + F.col("sample_b")).alias("x"), F.col("sample_z").alias("z"),
+                 (F.col("label") % 2).cast("int").alias("y"), A.argmax("p16").alias("top"),
+                 A.draw_index("p16", uniform(DRIVER_SEED, "label", "unit_id")).alias("drawn"))
+    e = e.withColumns(_labels("max_sample_", F.col("top")) | _labels("sample_", F.col("drawn")))
+    e = e.withColumn("cell", F.col("x") * 4 + F.col("z") * 2 + F.col("y"))
+    table = evaluate.trial_table(sampling.trials(e, DRIVER_TRIALS, DRIVER_SIZE, DRIVER_SEED), "p16", "cell", 16, ["x", "z", "y"])
+    truth = estimators.ipw_strata(e, ["x"], "z", "y").select("ate_ipw").scalar()
+    return evaluate.trial_report(table, DRIVER_SHAPE, truth).select("metric", r6("value").alias("value"))
+
+
 #: Shares of the table.
 SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED = 0.4, 0.4, 10
 

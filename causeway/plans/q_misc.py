@@ -13,7 +13,7 @@ from causeway.operators import clean, discretize, estimators, evaluate, grid, sa
 from causeway.plans import tables as TB
 from causeway.plans.registry import cte, r6, register
 from causeway.sources import io
-from causeway.spec import EMAIL
+from causeway.spec import EMAIL, StudySpec
 
 # ------------------------------------------------------------------ C2 thread keys
 
@@ -47,9 +47,9 @@ def todo_documents(spark, sf):
 
 ARRAY_TEXT_SQL = """
 WITH t AS (SELECT vec_id,
-                  '[' || array_to_string(list_transform(embedding[1:4], lambda x: printf('%.6f', CAST(x AS DOUBLE))), ' ')
+                  '[' || array_to_string(list_transform(embedding[1:32], lambda x: printf('%.6f', CAST(x AS DOUBLE))), ' ')
                   || chr(10) || ' ' ||
-                  array_to_string(list_transform(embedding[5:8], lambda x: printf('%.6f', CAST(x AS DOUBLE))), ' ')
+                  array_to_string(list_transform(embedding[33:64], lambda x: printf('%.6f', CAST(x AS DOUBLE))), ' ')
                   || ']' AS txt FROM embeddings),
 p AS (SELECT vec_id, list_transform(list_filter(string_split_regex(regexp_replace(txt, '^[\\[\\s]+|[\\]\\s]+$', '', 'g'),
                                                                   '\\s+'), lambda s: s <> ''),
@@ -64,7 +64,7 @@ def array_text_embeddings(spark, sf):
     e = TB.table(spark, sf, "embeddings")
     v = F.col("embedding").cast("array<double>")
     fmt = lambda a: F.array_join(F.transform(a, lambda x: F.format_string("%.6f", x)), " ")
-    txt = F.concat(F.lit("["), fmt(F.slice(v, 1, 4)), F.lit("\n "), fmt(F.slice(v, 5, 4)), F.lit("]"))
+    txt = F.concat(F.lit("["), fmt(F.slice(v, 1, 32)), F.lit("\n "), fmt(F.slice(v, 33, 32)), F.lit("]"))
     arr = A.parse_array_text(txt)
     return e.select("vec_id", F.size(arr).cast("int").alias("n"), r6(A.array_sum(arr)).alias("total"))
 
@@ -83,14 +83,12 @@ FROM documents
 @register("classes_documents", CLASSES_SQL)
 def classes_documents(spark, sf):
     """E9 + E10: distinct values and their count per field."""
-    d = TB.table(spark, sf, "documents")
-    out = None
-    for f in ("lang", "source"):
-        r = d.agg(F.count_distinct(f).cast("bigint").alias("n_classes"),
-                  F.array_join(F.array_sort(F.collect_set(f)), ",").alias("classes")) \
-            .select(F.lit(f).alias("field"), "n_classes", "classes")
-        out = r if out is None else out.unionByName(r)
-    return out
+    fields = ("lang", "source")
+    d = TB.table(spark, sf, "documents").select(F.stack(F.lit(len(fields)), *[x for f in fields for x in (F.lit(f), F.col(f))]).alias("field", "value"))
+    # one scan; distinct (field, value) rows first, so only those meet
+    distinct = d.groupBy("field", "value").count().where("value is not null")
+    return distinct.groupBy("field").agg(F.count("*").cast("bigint").alias("n_classes"),
+                                         F.array_join(F.array_sort(F.collect_list("value")), ",").alias("classes"))
 
 
 # ------------------------------------------------------------------ C27 known-value coalesce
@@ -336,7 +334,7 @@ def option_scoring_documents(spark, sf):
 
 DIST_SQL = """
 WITH ex AS (SELECT vec_id AS unit_id, r.pos - 1 AS pos, CAST(embedding[r.pos] AS DOUBLE) AS l
-            FROM embeddings CROSS JOIN range(1, 9) AS r(pos)),
+            FROM embeddings CROSS JOIN range(1, 65) AS r(pos)),
 mx AS (SELECT unit_id, max(l) AS m FROM ex GROUP BY unit_id),
 ee AS (SELECT ex.unit_id, pos, exp(l - m) AS e FROM ex JOIN mx USING (unit_id)),
 pf AS (SELECT unit_id, pos, e / sum(e) OVER (PARTITION BY unit_id) AS p FROM ee),
@@ -344,27 +342,30 @@ pred AS (SELECT pos, avg(p) AS b FROM pf GROUP BY pos),
 am AS (SELECT unit_id, min(pos) AS cell FROM (SELECT unit_id, pos, p, max(p) OVER (PARTITION BY unit_id) AS mp FROM pf)
        WHERE p = mp GROUP BY unit_id),
 obs AS (SELECT CAST(r.range AS BIGINT) AS pos, coalesce(count(am.cell), 0) / (SELECT count(*) FROM am) AS a
-        FROM range(8) r LEFT JOIN am ON am.cell = r.range GROUP BY r.range),
+        FROM range(64) r LEFT JOIN am ON am.cell = r.range GROUP BY r.range),
 j AS (SELECT obs.pos, obs.a, coalesce(pred.b, 0) AS b FROM obs LEFT JOIN pred USING (pos))
 SELECT round(sum(CASE WHEN a <> 0 THEN a * ln(a / (b + 1e-6)) ELSE 0 END), 6) AS kl,
        round(avg((a - b) * (a - b)), 6) AS mse FROM j
 """
 
 
+EMB_STUDY = StudySpec(
+    name="embeddings", x=("x",), y="y", z="z", strata=("x",), enum=("x",),
+    options={"x": [str(i) for i in range(16)], "z": ["0", "1"], "y": ["0", "1"]})
+
+
 @register("joint_distance_embeddings", DIST_SQL)
 def joint_distance_embeddings(spark, sf):
     """K1 + K2 + K4: distance between the empirical joint of arg-max options
     (observed) and the mean predicted joint."""
     from causeway.plans.q_effects import emb_units
     u = emb_units(spark, sf)
-    obs_cells = u.select(A.argmax("p_full").alias("cell"))
-    spec_cells = grid.option_grid(spark, EMAIL, ["womens", "email_type", "visit"])   # 2x2x2 cell domain
-    obs_cells = obs_cells.withColumns({"womens": F.floor(F.col("cell") / 4) % 2, "email_type": F.floor(F.col("cell") / 2) % 2,
-                                       "visit": F.col("cell") % 2})
-    obs = grid.empirical_joint(obs_cells, EMAIL, ["womens", "email_type", "visit"]) \
+    fields = ["x", "z", "y"]
+    cells = u.select(A.argmax("p_full").alias("cell"))
+    cells = cells.withColumns({"x": F.floor(F.col("cell") / 4), "z": F.floor(F.col("cell") / 2) % 2, "y": F.col("cell") % 2})
+    obs = grid.empirical_joint(cells, EMB_STUDY, fields) \
         .select(F.lit(0).alias("trial"), F.col("cell").alias("pos"), F.col("freq").alias("a"))
     pred = estimators.joint_observed(u, "p_full").select(F.lit(0).alias("trial"), "pos", F.col("joint").alias("b"))
-    del spec_cells
     r = evaluate.distribution_distance(obs, pred, "pos", "a", "b")
     return r.select(r6("kl").alias("kl"), r6("mse").alias("mse"))
 
@@ -377,10 +378,10 @@ def _acc_sql():
     u = sql_uniform_seed(f"{ACC_SEED} + tr.trial", "trial", "e.vec_id")
     return f"""
 WITH ex AS (SELECT vec_id AS unit_id, r.pos - 1 AS pos, CAST(embedding[r.pos] AS DOUBLE) AS l
-            FROM embeddings CROSS JOIN range(1, 9) AS r(pos)),
+            FROM embeddings CROSS JOIN range(1, 65) AS r(pos)),
 am AS (SELECT unit_id, min(pos) AS cell FROM (SELECT unit_id, pos, l, max(l) OVER (PARTITION BY unit_id) AS ml FROM ex)
        WHERE l = ml GROUP BY unit_id),
-t AS (SELECT vec_id AS unit_id, CAST(embedding[9] > 0 AS INTEGER) AS z, CAST(embedding[10] > 0 AS INTEGER) AS x,
+t AS (SELECT vec_id AS unit_id, CAST(embedding[9] > 0 AS INTEGER) AS z, label AS x,
              CAST(embedding[11] > 0 AS INTEGER) AS y FROM embeddings),
 tr AS (SELECT unit_id, trial FROM (
          SELECT e.vec_id AS unit_id, CAST(tr.trial AS INTEGER) AS trial,
@@ -397,15 +398,15 @@ SELECT metric, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS std FROM
 
 @register("accuracy_embeddings", _acc_sql())
 def accuracy_embeddings(spark, sf):
-    """K6 (+ I3): per-field agreement between 'true' codes (signs of later embedding values)
+    """K6 (+ I3): per-field agreement between 'true' codes (the label and signs of embedding values)
     and the arg-max decoded option, per keyed trial subsample, then mean and population std
     over the trials."""
     e = TB.table(spark, sf, "embeddings")
     v = F.col("embedding").cast("array<double>")
-    truth = e.select(F.col("vec_id").alias("unit_id"), (F.element_at(v, 10) > 0).cast("int").alias("x"),
+    truth = e.select(F.col("vec_id").alias("unit_id"), F.col("label").alias("x"),
                      (F.element_at(v, 9) > 0).cast("int").alias("z"), (F.element_at(v, 11) > 0).cast("int").alias("y"))
     truth = sampling.trials(truth, ACC_TRIALS, ACC_SIZE, ACC_SEED)
-    cell = A.argmax(F.slice(v, 1, 8))
+    cell = A.argmax(v)
     pred = e.select(F.col("vec_id").alias("unit_id"), (F.floor(cell / 4)).cast("int").alias("max_sample_x"),
                     (F.floor(cell / 2) % 2).cast("int").alias("max_sample_z"), (cell % 2).cast("int").alias("max_sample_y"))
     r = evaluate.accuracy(truth, pred, "unit_id", ["x", "z", "y"], prefixes=("max_sample_",), by=["trial"])
@@ -436,7 +437,7 @@ FROM a FULL OUTER JOIN b ON a.metric = b.metric
 @register("results_wide_orders", _wide_sql())
 def results_wide_orders(spark, sf):
     """K8 + D11: metric rows x <estimator>_eval<size> columns, two sizes merged on metric."""
-    tables = [evaluate.results_wide(_eval_long(spark, sf, s)) for s in (500, 1000)]
+    tables = [evaluate.results_wide(_eval_long(spark, sf, s), columns=[("ate_ipw", s)]) for s in (500, 1000)]
     return evaluate.merge_sizes(tables).select("metric", "ate_ipw_eval500", "ate_ipw_eval1000")
 
 

@@ -190,6 +190,31 @@ def benchmark_orders(spark, sf):
     return r.select("table", "estimator", F.round("ate", 6).alias("ate"))
 
 
+def _trial_benchmark_sql():
+    from causeway.functions.draws import sql_uniform_seed
+    from causeway.plans.q_effects import N_TRIALS, TRIAL_SEED, TRIAL_SIZE
+    u = sql_uniform_seed(f"{TRIAL_SEED} + tr.trial", "trial", "u.unit_id")
+    return saturated_sql(f"""
+SELECT 'trial ' || trial AS tbl, CASE WHEN segment = 'BUILDING' THEN 2 ELSE 0 END + CASE WHEN region = 1 THEN 1 ELSE 0 END AS cell, t, y
+FROM (SELECT u.*, tr.trial, row_number() OVER (PARTITION BY tr.trial ORDER BY {u}, u.unit_id) AS rn
+      FROM ({TB.UNITS_SQL}) u CROSS JOIN range({N_TRIALS}) AS tr(trial)) WHERE rn <= {TRIAL_SIZE}
+""", {f"trial {k}": f"trial {k}" for k in range(N_TRIALS)})
+
+
+@register("trial_benchmark_orders", _trial_benchmark_sql())
+def trial_benchmark_orders(spark, sf):
+    """K7 + J18: all seven estimators on each of three trials, from one scan."""
+    from causeway.operators import sampling
+    from causeway.plans.q_effects import N_TRIALS, TRIAL_SEED, TRIAL_SIZE
+    from causeway.plans.queries import units
+    tr = sampling.trials(units(spark, sf), N_TRIALS, TRIAL_SIZE, TRIAL_SEED)
+    tr = tr.select("t", "y", (F.col("segment") == "BUILDING").cast("int").alias("x"), (F.col("region") == 1).cast("int").alias("r1"),
+                   F.concat(F.lit("trial "), F.col("trial").cast("string")).alias("table")).withColumn("xr", F.col("x") * F.col("r1"))
+    names = [f"trial {k}" for k in range(N_TRIALS)]
+    r = models.benchmark(tr, "table", dict(zip(names, names)), ["x", "r1", "xr"], "t", "y", penalty=0.0)
+    return r.select("table", "estimator", F.round("ate", 6).alias("ate"))
+
+
 # ------------------------------------------------------------------ J20 / J21 on the coded samples
 
 SUBSET_SEED = 17

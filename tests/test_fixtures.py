@@ -127,17 +127,29 @@ def test_softmax_argmax_draw(spark):
 
 
 def test_nucleus(spark):
-    df = spark.createDataFrame([(1, [0.5, 0.3, 0.2])], "u bigint, p array<double>")
-    k = distributions.nucleus(df, "u", "p", 0.5).orderBy("idx").collect()
-    assert [r.idx for r in k] == [0, 1]
-    assert [r.p_nucleus for r in k] == pytest.approx([0.625, 0.375])
-    k = distributions.nucleus(df, "u", "p", 0.4).collect()
-    assert [r.idx for r in k] == [0]
+    df = spark.createDataFrame([(1, [0.5, 0.3, 0.2]), (2, [0.2, 0.5, 0.3]), (3, [0.4, 0.2, 0.4]), (4, [1.0])], "u bigint, p array<double>")
+    k = {r.u: r.nucleus for r in distributions.nucleus(df, "p", 0.5).collect()}
+    assert [e.idx for e in k[1]] == [0, 1] and [e.p for e in k[1]] == pytest.approx([0.625, 0.375])
+    assert [e.idx for e in k[2]] == [1, 2] and [e.idx for e in k[3]] == [0, 2] and [e.p for e in k[4]] == [1.0]     # ties by index
+    cut = distributions.nucleus(df, "p", 0.4)
+    assert {r.u: [e.idx for e in r.nucleus] for r in cut.collect()}[1] == [0]
+    drawn = distributions.nucleus_draw(cut, "u", 3)
+    assert "Exchange" not in drawn._jdf.queryExecution().executedPlan().toString()
+    assert {r.u: (r.n_kept, r.drawn) for r in drawn.collect()}[1] == (1, 0)
+
+
+def test_marginal_by_axes(spark):
+    import numpy as np
+    x = np.arange(1.0, 49.0).reshape(2, 3, 4, 2)
+    col = F.array(*[F.lit(float(v)) for v in x.ravel()])
+    for keep in ((0,), (1, 3), (0, 2), (2,), (0, 1, 2, 3), ()):
+        drop = tuple(a for a in range(4) if a not in keep)
+        assert one(spark, A.marginal(col, x.shape, keep).alias("m")).m == pytest.approx(x.sum(axis=drop).ravel().tolist())
 
 
 def test_trial_std_and_kl(spark):
     ates = spark.createDataFrame([(1.0, 1.0), (3.0, 3.0)], "p double, o double")
-    s = {r.metric: r.value for r in evaluate.trial_summary(ates, ["p"]).collect()}
+    s = {r.metric: r.value for r in evaluate.trial_metrics(ates, 0.0, "o", "p", "x").collect()}
     assert s["ATE_mean"] == 2.0 and s["ATE_std_dev"] == 1.0
     r = one(spark, A.kl(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("k"))
     assert r.k == pytest.approx(-2e-6, rel=1e-3)
