@@ -1,17 +1,19 @@
 """Dialog and generated-sequence tables (M1-M8).
 
 A dialog is a table of turns ``(conv_id, turn, role, text)``; turn numbers are the
-message positions (0-based, consecutive).  Checks are per-row predicates folded
-by ``bool_and`` / ``bool_or`` aggregates (combined map-side, so a very long
-conversation is never gathered for validation).  Rendering concatenates per-turn
-pieces in turn order; the rendered prompt of a conversation is its output value.
+message positions (0-based, consecutive).  A dialog is gathered once, in turn order, and
+screened, checked, folded and rendered as expressions over its array of messages; the
+rendered prompt, which holds all of them, is its output value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.arrays import let
 from causeway.functions.text import strip as text_strip
 
 # Instruction-format tags, the system wrapper, the control tags that
@@ -23,7 +25,7 @@ SPECIAL_TAGS = (B_INST, E_INST, "<<SYS>>", "<</SYS>>")
 UNSAFE_ERROR = "Error: special tags are not allowed as part of the prompt."
 BEGIN_OF_TEXT = "<|begin_of_text|>"
 START_HEADER, END_HEADER, END_OF_TURN = "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"
-# Published pre-token split pattern of the header-format tokenizer (Java regex accepts it).
+# Fixed value: published pre-token split pattern of the header-format tokenizer (Java regex accepts it).
 PIECE_PATTERN = (r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*"
                  r"|\s*[\r\n]+|\s+(?!\S)|\s+")
 
@@ -32,69 +34,79 @@ def strip(c):
     return text_strip(c)
 
 
-def screen_tags(turns: DataFrame, conv: str = "conv_id", text: str = "text") -> DataFrame:
-    """M1: a conversation is unsafe if any message contains a control tag."""
-    hit = None
-    for t in SPECIAL_TAGS:
-        c = F.col(text).contains(t)
-        hit = c if hit is None else hit | c
-    return turns.groupBy(conv).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("unsafe"))
+# ------------------------------------------------------------------ one dialog as an array of its turns
+
+def gather(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, messages): a dialog's messages (turn, role, text) in turn order.  One shuffle;
+    everything about a dialog is then an expression over this array."""
+    message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    return turns.groupBy(conv).agg(F.sort_array(F.collect_list(message)).alias("messages"))
+
+
+def unsafe_messages(m: Column) -> Column:
+    """M1: a message contains a control tag."""
+    return F.exists(m, lambda x: F.coalesce(reduce(lambda a, b: a | b, [x["text"].contains(t) for t in SPECIAL_TAGS]), F.lit(False)))
+
+
+def led_by_system(m: Column) -> Column:
+    return F.coalesce(F.element_at(m, 1)["role"] == "system", F.lit(False))
 
 
-ROLE_CODES = {"system": 0, "user": 1, "assistant": 2}
-_ROLE_NAMES = {v: k for k, v in ROLE_CODES.items()}
+def folded_messages(m: Column) -> Column:
+    """M3: a leading system message is folded into the next one's text with the system wrapper."""
+    system = F.concat(F.lit(B_SYS), F.element_at(m, 1)["text"], F.lit(E_SYS))
+    rest = F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0)))
+    fold = let(system, lambda s: F.transform(rest, lambda x, i: F.struct(
+        x["turn"].alias("turn"), x["role"].alias("role"), F.when(i == 0, F.concat(s, x["text"])).otherwise(x["text"]).alias("text"))))
+    return F.when(led_by_system(m), fold).otherwise(m)
 
 
-def _role_code(role):
-    return F.coalesce(F.try_element_at(F.create_map(*[x for k, v in ROLE_CODES.items() for x in (F.lit(k), F.lit(v))]),
-                                       F.col(role)), F.lit(9))
+def valid_messages(m: Column, folded: Column) -> Column:
+    """M2: after an optional leading system message user and assistant alternate, user first
+    and last, and turn numbers are consecutive."""
+    roles = F.transform(folded, lambda x, i: F.coalesce(x["role"] == F.when(i % 2 == 0, "user").otherwise("assistant"), F.lit(False)))
+    whole = F.element_at(m, -1)["turn"] - F.element_at(m, 1)["turn"] + 1 == F.size(m)
+    return F.coalesce(F.forall(roles, lambda ok: ok) & (F.size(folded) % 2 == 1) & whole, F.lit(False))
 
 
-def _with_flags(turns: DataFrame, conv, turn, role):
-    # roles as small integer codes: every aggregate here has a primitive buffer, so the
-    # per-conversation flags are a (partial) hash aggregate, never a sort
-    flags = turns.groupBy(conv).agg(
-        F.min(turn).alias("_t0"), F.max(turn).alias("_t1"), F.count("*").alias("_n"),
-        F.max_by(_role_code(role), F.col(turn)).alias("_last_code"),
-        F.min_by(_role_code(role), F.col(turn)).alias("_first_code"))
-    names = F.create_map(*[x for k, v in _ROLE_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    flags = flags.withColumns({"_last_role": F.try_element_at(names, F.col("_last_code")),
-                               "_first_role": F.try_element_at(names, F.col("_first_code"))})
-    return turns.join(flags.drop("_last_code", "_first_code"), conv)
+def inst_text(folded: Column) -> Column:
+    """M4: ``[INST] u [/INST] a `` per pair, then the open last user turn; contents stripped."""
+    def piece(x):
+        c = strip(x["text"])
+        return F.when(x["role"] == "user", F.concat(F.lit(B_INST + " "), c, F.lit(" " + E_INST))).otherwise(F.concat(F.lit(" "), c, F.lit(" ")))
+    return F.array_join(F.transform(folded, piece), "")
+
+
+def dialog_state(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """M1-M4 in one grouped pass: (conv, valid, unsafe, prompt), the prompt of valid dialogs."""
+    g = gather(turns, conv, turn, role, text)
+
+    def judge(b):
+        valid = valid_messages(b["m"], b["f"])
+        return F.struct(valid.alias("valid"), unsafe_messages(b["m"]).alias("unsafe"), F.when(valid, inst_text(b["f"])).alias("prompt"))
+    state = let(F.struct(F.col("messages").alias("m"), folded_messages(F.col("messages")).alias("f")), judge)
+    return g.select(conv, F.inline(F.array(state)))
+
+
+def screen_tags(turns: DataFrame, conv: str = "conv_id", text: str = "text") -> DataFrame:
+    """M1: a conversation is unsafe if any message contains a control tag (a map-side
+    combined flag; no dialog is gathered)."""
+    hit = reduce(lambda a, b: a | b, [F.col(text).contains(t) for t in SPECIAL_TAGS])
+    return turns.groupBy(conv).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("unsafe"))
 
 
 def validate_roles(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
-    """M2: optional leading system turn, then user/assistant alternation starting with
-    user, last turn user; turn numbers must be consecutive."""
-    j = _with_flags(turns, conv, turn, role)
-    has_sys = F.col("_first_role") == "system"
-    pos = F.col(turn) - F.col("_t0") - F.when(has_sys, 1).otherwise(0)       # position after the fold
-    expected = F.when(pos % 2 == 0, "user").otherwise("assistant")
-    ok_row = F.when(has_sys & (F.col(turn) == F.col("_t0")), F.lit(True)).otherwise(F.col(role) == expected)
-    g = j.groupBy(conv).agg(F.bool_and(F.coalesce(ok_row, F.lit(False))).alias("_rows_ok"),
-                            F.first("_last_role").alias("_last_role"), F.first("_n").alias("_n"),
-                            F.first("_t0").alias("_t0"), F.first("_t1").alias("_t1"),
-                            F.first(has_sys).alias("_sys"))
-    valid = (F.col("_rows_ok") & (F.col("_last_role") == "user") & (F.col("_t1") - F.col("_t0") + 1 == F.col("_n"))
-             & ((F.col("_n") - F.col("_sys").cast("int")) >= 1))
-    return g.select(conv, F.coalesce(valid, F.lit(False)).alias("valid"))
+    """M2: (conv, valid)."""
+    g = gather(turns.withColumn("_none", F.lit("")), conv, turn, role, "_none")
+    return g.select(conv, valid_messages(F.col("messages"), folded_messages(F.col("messages"))).alias("valid"))
 
 
 def fold_system(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                 text: str = "text") -> DataFrame:
-    """M3: a leading system turn is folded into the next turn's content with the system
-    wrapper; the system row disappears and the remaining turns are renumbered from 0."""
-    j = _with_flags(turns, conv, turn, role)
-    has_sys = F.col("_first_role") == "system"
-    sys_text = (turns.where(F.col(role) == "system")
-                .groupBy(conv).agg(F.min_by(F.col(text), F.col(turn)).alias("_sys_text"), F.min(turn).alias("_st")))
-    j = j.join(sys_text, conv, "left")
-    first_after = has_sys & (F.col(turn) == F.col("_t0") + 1)
-    content = F.when(first_after, F.concat(F.lit(B_SYS), F.col("_sys_text"), F.lit(E_SYS), F.col(text))) \
-        .otherwise(F.col(text))
-    out = j.where(~(has_sys & (F.col(turn) == F.col("_t0"))))
-    return out.select(conv, (F.col(turn) - F.col("_t0") - F.when(has_sys, 1).otherwise(0)).alias(turn),
-                      role, content.alias(text))
+    """M3: the messages after the fold, renumbered from 0."""
+    g = gather(turns, conv, turn, role, text)
+    m = g.select(conv, F.posexplode(folded_messages(F.col("messages"))).alias("_at", "_m"))
+    return m.select(conv, F.col("_at").alias(turn), F.col("_m.role").alias(role), F.col("_m.text").alias(text))
 
 
 def _ordered_concat(df: DataFrame, conv: str, turn: str, piece: str, out: str) -> DataFrame:
@@ -105,15 +117,9 @@ def _ordered_concat(df: DataFrame, conv: str, turn: str, piece: str, out: str) -
 
 def render_inst(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                 text: str = "text") -> DataFrame:
-    """M4 (on valid dialogs, after M3): ``[INST] u [/INST] a `` per pair, then the open
-    last user turn ``[INST] u [/INST]``; contents stripped."""
-    f = fold_system(turns, conv, turn, role, text)
-    last = f.groupBy(conv).agg(F.max(turn).alias("_last"))
-    f = f.join(last, conv)
-    c = strip(F.col(text))
-    piece = F.when(F.col(role) == "user", F.concat(F.lit(B_INST + " "), c, F.lit(" " + E_INST))) \
-        .otherwise(F.concat(F.lit(" "), c, F.lit(" ")))
-    return _ordered_concat(f.withColumn("_piece", piece), conv, turn, "_piece", "prompt")
+    """M4 (on valid dialogs, after M3): (conv, prompt)."""
+    g = gather(turns, conv, turn, role, text)
+    return g.select(conv, inst_text(folded_messages(F.col("messages"))).alias("prompt"))
 
 
 def render_header(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",

@@ -120,12 +120,6 @@ def discretize_clinical(df: DataFrame, spec: StudySpec, mode: str = "hard") -> D
 
 # ----------------------------------------------------------------------------- marketing
 
-def impute(col: str, n_options: int, seed: int, id_col: str):
-    """NULL -> uniform draw from codes 0..n-1, keyed by (seed, field, id)."""
-    draw = F.floor(uniform(seed, col, id_col) * n_options).cast("int")
-    return F.coalesce(F.col(col).cast("int"), draw)
-
-
 def discretize_email(df: DataFrame, seed: int = 10, id_col: str = "unit_id") -> DataFrame:
     """C17 for the email-marketing study.  Only a NULL or Unknown answer is imputed; a
     label outside the study's stays without a code (NULL)."""
@@ -160,24 +154,15 @@ def impute_answer(code, answer: str, n_options: int, seed: int, id_col: str):
 
 def discretize_retail(df: DataFrame, seed: int = 10, id_col: str = "unit_id") -> DataFrame:
     """C17 for the retail-SMS study.  Missing ages are drawn uniformly from the
-    observed distinct ages (a distinct-value table indexed by rank)."""
+    observed distinct ages (a numbered domain table that only they are joined with)."""
+    from causeway.operators.sampling import domain, draw_from_domain
     out = unknown_to_null(df)
     cols = set(out.columns)
     if "age" in cols:
         out = out.withColumn("age", C.to_number("age"))
         out = out.withColumn("age_binary", impute_expr(C.binarise("age", RETAIL_AGE_THRESHOLD), 2, seed,
                                                        "age_binary", id_col))
-        ages = out.select("age").where(F.col("age").isNotNull()).distinct()
-        from pyspark.sql import Window
-        # rank the distinct ages (a table of distinct values, not of rows); its size
-        # is left to AQE's runtime broadcast check instead of a forced hint
-        ranked = ages.withColumn("_k", F.row_number().over(Window.orderBy("age")) - 1)
-        n_ages = ages.select(F.count("*")).scalar()
-        out = (out.withColumn("_k", F.when(F.col("age").isNull(),
-                                           F.floor(uniform(seed, "age", id_col) * n_ages).cast("int")))
-               .join(ranked.withColumnRenamed("age", "_age_draw"), "_k", "left")
-               .withColumn("age", F.coalesce(F.col("age"), F.col("_age_draw")))
-               .drop("_k", "_age_draw"))
+        out = draw_from_domain(out, "age", domain(out, "age", seed), uniform(seed, "age", id_col), F.col("age").isNull(), id_col)
     upd = {}
     for f, edges in RETAIL_BINS.items():
         if f in cols:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.draws import uniform, uniform_seed_col
+from causeway.session import cut_lineage
 
 BINS = 1 << 14
 
@@ -229,13 +230,45 @@ def impute_uniform(col: str, options: Column, seed: int, id_col: str) -> Column:
     return F.coalesce(F.col(col), F.element_at(options, idx))
 
 
-def uniform_baseline(df: DataFrame, cols, domains: dict, seed: int, id_col: str) -> DataFrame:
-    """Replace every column by a uniform draw from its domain (array literal)."""
-    upd = {}
+DOMAIN_BUCKETS = 256
+
+
+def domain(df: DataFrame, col: str, seed: int = 0) -> DataFrame:
+    """E10 as a table: (value, k, size) -- the distinct non-NULL values of a column, numbered
+    from 0 by (keyed bucket, value).  Buckets are numbered on their own and shifted by a prefix
+    sum over the (at most ``DOMAIN_BUCKETS``) bucket counts, so no window spans the values."""
+    values = df.select(F.col(col).alias("value")).where(F.col(col).isNotNull()).distinct()
+    values = values.withColumn("_bucket", F.floor(uniform(seed, "domain", "value") * DOMAIN_BUCKETS).cast("int"))
+    counts = values.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_off": F.coalesce(F.sum("_n").over(before), F.lit(0)), "size": F.sum("_n").over(Window.partitionBy())}).drop("_n")
+    at = F.row_number().over(Window.partitionBy("_bucket").orderBy("value")) - 1
+    return values.withColumn("_r", at).join(F.broadcast(counts), "_bucket").select("value", (F.col("_r") + F.col("_off")).cast("bigint").alias("k"), "size")
+
+
+def draw_from_domain(df: DataFrame, col: str, values: DataFrame, draw: Column, where: Column, id_col: str) -> DataFrame:
+    """``col`` replaced, where ``where`` holds, by the value of a ``domain`` that the uniform
+    ``draw`` picks (each equally likely; an empty domain leaves it as it is).
+
+    Only those rows take part in the join: the others get keys of their own below zero, which
+    match nothing and spread over the partitions."""
+    size = values.agg(F.max("size")).scalar()
+    pick = F.coalesce(F.floor(draw * size).cast("bigint"), F.lit(-1))
+    spread = -1 - F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
+    j = df.withColumn("_k", F.when(where, pick).otherwise(spread)).withColumn("_where", where)
+    j = j.join(values.select(F.col("k").alias("_vk"), F.col("value").alias("_drawn")), F.col("_k") == F.col("_vk"), "left")
+    return j.withColumn(col, F.when(F.col("_where"), F.coalesce("_drawn", col)).otherwise(F.col(col))).drop("_k", "_vk", "_drawn", "_where")
+
+
+def uniform_baseline(df: DataFrame, cols, seed: int, id_col: str, observed: DataFrame | None = None) -> DataFrame:
+    """Replace every column by a uniform draw from the values observed in it (in
+    ``observed``, the table itself by default)."""
+    out = df
     for c in cols:
-        opts = F.array(*[F.lit(v) for v in domains[c]])
-        upd[c] = F.element_at(opts, (F.floor(uniform(seed, "baseline:" + c, id_col) * len(domains[c])) + 1).cast("int"))
-    return df.withColumns(upd)
+        # checkpointed: its size and its values are read apart
+        values = cut_lineage(domain(df if observed is None else observed, c, seed))
+        out = draw_from_domain(out, c, values, uniform(seed, "baseline:" + c, id_col), F.lit(True), id_col)
+    return out
 
 
 def drop_attributes(m: Column, q: float, keep_keys, seed: int, id_col: str) -> Column:

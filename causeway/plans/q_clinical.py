@@ -218,7 +218,7 @@ def lexicon_terms_documents(spark, sf):
     from causeway.functions import text as T
     d = TB.table(spark, sf, "documents").select("doc_id", "source", "text")
     return d.select("doc_id",
-                    F.array_join(T.mention_terms(["source", "text"], BOTOX.lexicon), ",").alias("treatments"),
+                    F.array_join(T.mention_terms(["source", "text"], BOTOX.lexicon, "one_pass"), ",").alias("treatments"),
                     F.array_join(T.mention_terms(["source", "text"], BOTOX.outcome_words), ",").alias("outcome_words"))
 
 
@@ -260,7 +260,7 @@ WITH {cte('raw', RETAIL_ANSWERS_SQL)},
 a AS (SELECT unit_id, {', '.join(f"{_unk(c)} AS {c}" for c in cols)} FROM raw),
 a1 AS (SELECT * REPLACE (TRY_CAST(trim(age) AS DOUBLE) AS age) FROM a),
 d AS (SELECT DISTINCT age FROM a1 WHERE age IS NOT NULL),
-r AS (SELECT age AS age_draw, row_number() OVER (ORDER BY age) - 1 AS k FROM d),
+r AS (SELECT age AS age_draw, row_number() OVER (ORDER BY CAST(floor({sql_uniform(RETAIL_SEED, 'domain', 'age')} * 256) AS INTEGER), age) - 1 AS k FROM d),
 a2 AS (SELECT a1.*, CAST(coalesce(CASE WHEN age <= 45 THEN 0 WHEN age > 45 THEN 1 END,
                                   CAST(floor({u('age_binary')} * 2) AS INTEGER)) AS INTEGER) AS age_binary,
               CASE WHEN age IS NULL THEN CAST(floor({u('age')} * (SELECT count(*) FROM d)) AS INTEGER) END AS k FROM a1),

@@ -53,12 +53,7 @@ FROM vv JOIN u USING (conv_id) LEFT JOIN pr USING (conv_id)
 def dialog_render_conversations(spark, sf):
     """M1 + M2 + M3 + M4: tag screen, role validation, system fold, instruction format."""
     c = TB.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    v = D.validate_roles(c)
-    u = D.screen_tags(c)
-    p = D.render_inst(c)
-    j = v.join(u, "conv_id").join(p, "conv_id", "left")
-    return j.select("conv_id", "valid", "unsafe", F.when(F.col("valid"), F.col("prompt")).alias("prompt"),
-                    F.when(F.col("unsafe"), F.lit(D.UNSAFE_ERROR)).alias("output_text"))
+    return D.dialog_state(c).withColumn("output_text", F.when(F.col("unsafe"), F.lit(D.UNSAFE_ERROR)))
 
 
 HEADER_SQL = f"""

@@ -188,21 +188,56 @@ def decode_encode_email_orders(spark, sf):
                       for f in _CODE_FIELDS])
 
 
-UNIFORM_SQL = f"""
-SELECT o_orderkey AS unit_id,
-       {', '.join(f"CAST(floor({sql_uniform(3, 'baseline:' + f, 'o_orderkey')} * {len(EMAIL.options[f])}) AS INTEGER) AS {f}" for f in _CODE_FIELDS)}
-FROM orders
+def _uniform_sql():
+    def one(f):
+        return (f"{f}_d AS (SELECT {f} AS v, row_number() OVER (ORDER BY CAST(floor({sql_uniform(3, 'domain', 'v')} * 256) AS INTEGER), v) - 1 AS k, "
+                f"count(*) OVER () AS n FROM (SELECT DISTINCT {f}, {f} AS v FROM c WHERE {f} IS NOT NULL))")
+    joins = " ".join(f"JOIN {f}_d ON {f}_d.k = CAST(floor({sql_uniform(3, 'baseline:' + f, 'c.unit_id')} * {f}_d.n) AS BIGINT)" for f in _CODE_FIELDS)
+    return f"""
+WITH {cte('c', _codes_sql())}, {', '.join(one(f) for f in _CODE_FIELDS)}
+SELECT c.unit_id, {', '.join(f'CAST({f}_d.v AS INTEGER) AS {f}' for f in _CODE_FIELDS)} FROM c {joins}
 """
 
 
-@register("uniform_baseline_orders", UNIFORM_SQL)
+@register("uniform_baseline_orders", _uniform_sql())
 def uniform_baseline_orders(spark, sf):
-    """Every field replaced by a keyed uniform draw from its code domain."""
-    o = TB.table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"))
-    o = o.withColumns({f: F.lit(None).cast("int") for f in _CODE_FIELDS})
-    domains = {f: list(range(len(EMAIL.options[f]))) for f in _CODE_FIELDS}
-    return sampling.uniform_baseline(o, _CODE_FIELDS, domains, 3, "unit_id").select(
-        "unit_id", *[F.col(f).cast("int").alias(f) for f in _CODE_FIELDS])
+    """Every field replaced by a keyed uniform draw from the codes observed in it."""
+    c = _email_codes(spark, sf).select("unit_id", *[F.col(f).cast("int").alias(f) for f in _CODE_FIELDS])
+    return sampling.uniform_baseline(c, _CODE_FIELDS, 3, "unit_id")
+
+
+# ------------------------------------------------------------------ D3 / F2 / D4 lookups by digest and key
+
+POST_SAMPLE_SQL = """
+WITH s AS (SELECT d.text, l.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL),
+f AS (SELECT text, arg_min(doc_id, doc_id) AS doc_id, arg_min(quality, doc_id) AS quality FROM s GROUP BY text)
+SELECT d.doc_id, f.doc_id AS first_sample_id, CAST(f.quality AS INTEGER) AS first_quality FROM documents d LEFT JOIN f USING (text)
+"""
+
+
+@register("post_sample_documents", POST_SAMPLE_SQL)
+def post_sample_documents(spark, sf):
+    """D3 + F2: each post with the first labelled sample of the same text, met by digest."""
+    d = TB.table(spark, sf, "documents").select("doc_id", "text")
+    lab = TB.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").cast("int").alias("quality"))
+    samples = d.withColumnRenamed("doc_id", "sample_id").join(lab, "sample_id")
+    r = clean.lookup_first(d, samples, "text", "sample_id", ["sample_id", "quality"])
+    return r.select("doc_id", "first_sample_id", "first_quality")
+
+
+ALIGN_SQL = """
+SELECT coalesce(vec_id, doc_id) AS unit_id, CASE WHEN doc_id IS NULL THEN 'left' WHEN vec_id IS NULL THEN 'right' ELSE 'both' END AS side,
+       round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(quality AS INTEGER) AS quality
+FROM embeddings FULL OUTER JOIN labels ON vec_id = doc_id
+"""
+
+
+@register("align_embeddings", ALIGN_SQL)
+def align_embeddings(spark, sf):
+    """Probability arrays and covariates aligned by unit_id, units of one side audited."""
+    e = TB.table(spark, sf, "embeddings").select(F.col("vec_id").alias("unit_id"), r6(F.element_at("embedding", 1).cast("double")).alias("first"))
+    lab = TB.table(spark, sf, "labels").select(F.col("doc_id").alias("unit_id"), F.col("quality").cast("int").alias("quality"))
+    return clean.align(e, lab).select("unit_id", "side", "first", "quality")
 
 
 # ------------------------------------------------------------------ C5 / I7 / I8 / I9 / I11 / B22

@@ -139,8 +139,7 @@ KEEP_FIRST_SQL = "SELECT min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copi
 def keep_first_documents(spark, sf):
     """keep-first de-duplication by text (source order = doc_id)."""
     d = TB.table(spark, sf, "documents").select("doc_id", "text")
-    firsts = clean.keep_first(d, "text", "doc_id", extra={"copies": F.count("*").cast("bigint")})
-    return firsts.select("doc_id", "copies")
+    return clean.keep_first_text(d, "text", "doc_id", extra={"copies": F.count("*").cast("bigint")})
 
 
 VERDICT_SQL = """

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.functions import text as T
 from causeway.operators import clean
 from causeway.sources.io import CORRUPT, committed
 
@@ -29,7 +28,8 @@ def curated_stream(spark: SparkSession, path: str, schema, text: str, is_comment
         s = clean.date_cutoff(s, "created_utc", cutoff)
     s = clean.rule_filter(s, text, is_comment)
     if terms:
-        s = s.withColumn("treatments", T.matched_terms(["subreddit", text], terms)).where(F.size("treatments") > 0)
+        fields = [c for c in ("subreddit", "title", text, "initial_post") if c in s.columns]
+        s = clean.mention_filter(s, fields, terms, "treatments")
     return s
 
 

@@ -186,14 +186,15 @@ def test_completion_trim(spark):
     assert r.k == [5, 6]
 
 
-def test_automaton_matches_per_term_scan(spark, sf_dir):
-    from causeway.plans.tables import table
-    from causeway.spec import BOTOX
-    terms = list(BOTOX.lexicon) + ["th", "the", "ein", "tion", "ation", "que"]
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    a = d.select("doc_id", T.matched_terms(["text"], terms).alias("m")).collect()
-    b = d.select("doc_id", T.matched_terms_automaton(["text"], terms).alias("m")).collect()
-    assert sorted(a) == sorted(b)
-    assert sum(1 for r in a if r.m) > 0
-    r = one(spark, T.matched_terms_automaton([F.lit("Topamax")], ["topama", "topamax", "botox"]).alias("m"))
-    assert r.m == ["topama", "topamax"]
+def test_one_pass_equals_per_term_scan(spark, sf_dir):
+    import random
+    rnd = random.Random(3)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    lexicons = [["th", "the", "then", "ation", "tion", "on", "eau", "q", ".", "(", "[a]", "\\d", "é", " a "], ["topama", "topamax", "botox", ""], ["x"], []]
+    lexicons += [["".join(rnd.choice("thean o") for _ in range(rnd.randint(1, 5))) for _ in range(40)] for _ in range(3)]
+    for terms in lexicons:
+        both = d.select(T.matched_terms(["text"], terms).alias("a") if terms else F.array().cast("array<string>").alias("a"),
+                        T.matched_terms_one_pass(["text"], terms).alias("b"))
+        assert both.where("a <> b OR b IS NULL").count() == 0, terms
+    r = one(spark, T.matched_terms_one_pass([F.lit("Topamax"), F.lit(None)], ["topama", "TOPAMAX", "botox", "max"]).alias("m"))
+    assert r.m == ["max", "topama", "topamax"]

@@ -32,11 +32,23 @@ def test_line_items_aggregated_before_their_join(spark, sf_dir):
 
 
 def test_text_filters_run_after_the_spread(spark, sf_dir):
-    df = QUERIES["rule_filter_documents"](spark, sf_dir)
-    p = plan(df)
-    if "RoundRobinPartitioning" in p:
-        # the expensive predicate sits above the exchange, not inside the single scan task
-        assert p.find("regexp_replace") < p.find("RoundRobinPartitioning")
+    """The one file of the small table is dealt out first; the expensive rules run behind that."""
+    p = plan(QUERIES["rule_filter_documents"](spark, sf_dir))
+    deal = p.find("Exchange hashpartitioning(doc_id")
+    assert deal > 0 and 0 <= p.find("regexp_replace") < deal and "regexp_replace" not in p[deal:]
+
+
+def test_no_text_in_a_shuffle_key(spark, sf_dir):
+    import re
+    for name in ("keep_first_documents", "post_sample_documents"):
+        p = plan(QUERIES[name](spark, sf_dir))
+        keys = re.findall(r"hashpartitioning\(([^)]*)\)", p)
+        assert keys and not any("text" in k for k in keys), keys
+
+
+def test_one_shuffle_for_a_dialog(spark, sf_dir):
+    p = plan(QUERIES["dialog_render_conversations"](spark, sf_dir))
+    assert p.count("Scan parquet") == 1 and "Join" not in p
 
 
 def test_stitch_shuffles_comments_once_when_tables_are_large(spark, sf_dir):
