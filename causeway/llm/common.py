@@ -20,9 +20,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: later passes read it, executors may go."""
+    """Materialise in the shared checkpoint folder: later passes read it, executors may go.
+
+    What led to it is garbage then, but Spark drops shuffle files only when the driver
+    collects its garbage, which a driver with little to do puts off: so it is asked to."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    df.sparkSession._jvm.System.gc()
+    return done
 
 
 def text_of(column: str = "text"):

@@ -17,12 +17,19 @@ a class has one bound D on that difference and one number of fragments.
    prefix, and show which pairs differ in too many places without looking at either set.
 3. In each prefix group the node with the fewest fragments of its own is the pivot; pairs
    with the pivot are counted.  What that leaves in different components is paired
-   besides, so no link is lost while a group of copies never becomes all its pairs.
+   besides, so no link is lost while a group of copies never becomes all its pairs.  Those
+   pairs are looked for block by block of a group, whatever its size, and only those that
+   the planes do not rule out leave the join.
+
+What travels is kept narrow: keys of one node alone are held back by a bit filter before
+they are shuffled a second time, prefix rows carry no planes, and members are shipped for
+nodes that are in a pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +45,12 @@ THRESHOLD = 90
 PARTS = 8
 #: Bits kept of each fine key in a node's planes, by which two nodes' fragments are compared.
 PLANES = 6
-#: Bits of the filter that keeps most other texts out of the second shuffle (a fixed 1 MB).
-FILTER_BITS = 1 << 23
+#: Bits of the filters that keep most rows without a partner out of a second shuffle: 16 for
+#: each key, within these bounds (128 KB to 16 MB).  Beyond 8 million keys a filter lets more
+#: rows through, which the exact join behind it drops.
+FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 27
+#: Members of a prefix group that are compared in one block.
+BLOCK = 512
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -184,59 +195,85 @@ def fine_sets(docs: DataFrame, threshold: int, width: int) -> DataFrame:
                                  "c1 int, d1 int, k1 array<long>, p1 array<long>", caches="word hashes")
 
 
-def _keep_maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (doc_id), and a few others.
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit table over the low bits of ``keys`` (key, uniform longs), as bytes.
+
+    Only the words with a bit set come to the driver, at most FILTER_MOST / 64."""
+    keys = cut(keys)
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (16 * keys.count()).bit_length()))
+    at = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(np.uint8)
 
-    A filter of fixed size (FILTER_BITS), of which only the words with a bit set come to
-    the driver, at most FILTER_BITS / 64.  It saves shuffling most texts; what it lets
-    through is joined exactly afterwards."""
-    def bit(c):
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
-    words = (ids.select(bit(F.col("doc_id")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits")).collect())
-    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words:
-        table[r["word"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (8 * len(table) - 1)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _keep_maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (doc_id), and a few others
+    that the join behind drops.  It saves shuffling most texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(ids.select(F.xxhash64("doc_id").alias("key"))))
 
     def run(batches):
         for b in batches:
-            at = b.column("bit").to_numpy(zero_copy_only=False)
-            hit = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
-            yield b.filter(pa.array(hit == 1)).select(["doc_id", "text"])
+            hit = _held(shared.value, b.column("hash").to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(hit)).select(["doc_id", "text"])
 
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
-    return map_arrow(slim.withColumn("bit", bit(F.col("doc_id"))), run, "doc_id long, text string")
+    return map_arrow(slim.withColumn("hash", F.xxhash64("doc_id")), run, "doc_id long, text string")
+
+
+def _exploded_maybe(rows: DataFrame, names: str, keys: str, table: np.ndarray) -> DataFrame:
+    """``names`` (longs) of ``rows`` with each element of the array ``keys`` that the filter holds."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    columns = names.split()
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(len(columns))
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(_held(shared.value, flat)) if len(flat) else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[hit]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(of)) for i in range(len(columns))), pa.array(flat[hit])],
+                                             names=[*columns, "key"])
+
+    return map_arrow(rows.select(*[F.col(c).cast("long").alias(c) for c in columns], keys), run,
+                     ", ".join(f"{c} long" for c in columns) + ", key long")
 
 
 def count_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of nodes that link: partial overlaps by fragment, summed per pair."""
-    parts = sets.select("sig", "n", "members", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    shift = 64 - PARTS.bit_length() + 1
-    parts = parts.select("sig", "n", "part", F.filter("members", lambda x: F.shiftrightunsigned(x, shift) == F.col("part")).alias("members"))
-    left = pairs.join(parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "part", F.col("members").alias("mb")), "b")
-    both = left.join(parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "part", F.col("members").alias("ma")), ["a", "part"])
+    def parts(side):
+        needed = sets.join(pairs.select(F.col(side).alias("sig")).distinct(), "sig", "left_semi")
+        part = needed.select("sig", "n", "members", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        shift = 64 - PARTS.bit_length() + 1
+        return part.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}"), "part",
+                           F.filter("members", lambda x: F.shiftrightunsigned(x, shift) == F.col("part")).alias(f"m{side}"))
+
+    both = pairs.join(parts("b"), "b").join(parts("a"), ["a", "part"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).cast("long").alias("overlap"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return total.where(100 * F.col("overlap") >= threshold * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(node, n, own, planes, prefix): the rarest D + 1 fine keys of each node that others share.
+    """(node, class, n, own, planes, prefix): the rarest D + 1 fine keys that others share.
 
     ``own`` counts the fragments that no other node has; they are rarer than any other."""
     sides = [sets.select("sig", "n", F.col(f"c{k}").alias("class"), F.col(f"d{k}").alias("d"), F.col(f"k{k}").alias("keys"),
                          F.col(f"p{k}").alias("planes")) for k in (0, 1)]
     sides = sides[0].unionByName(sides[1]).where("class >= 0")
-    keys = sides.select("sig", "class", F.explode("keys").alias("key"))
-    df = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    df = cut(sides.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    held = _exploded_maybe(sides, "sig class", "keys", _filter(df.select("key"))).join(df, "key")
     # the list holds one node's fragments: their number follows its own size
-    held = keys.join(df, "key").groupBy("sig", "class").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
-    sides = sides.withColumn("size", F.size("keys")).drop("keys")
-    node = held.join(sides, ["sig", "class"]).withColumn("own", F.col("size") - F.size("held"))
+    held = held.groupBy("sig", "class").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
+    node = held.join(sides.withColumn("size", F.size("keys")).drop("keys"), ["sig", "class"]).withColumn("own", F.col("size") - F.size("held"))
     room = F.greatest(F.col("d") + 1 - F.col("own"), F.lit(0))
-    return node.select(F.col("sig").alias("node"), "n", "own", "planes",
+    return node.select(F.col("sig").alias("node"), "class", "n", "own", "planes",
                        F.transform(F.slice("held", F.lit(1), room), lambda x: x["key"]).alias("prefix"))
 
 
@@ -268,18 +305,22 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
 
     The texts are read twice: once for the coarse keys, once for the sets of suspects."""
     rows = cut(coarse_keys(docs, threshold, width))
-    keyed = rows.select("sig", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("key")
-    suspects = cut(keyed.join(shared, "key").select("sig").distinct())
+    spread = rows.select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
+    shared = cut(spread.where("lo < hi").select("key"))
+    suspects = cut(_exploded_maybe(rows, "sig", "keys", _filter(shared)).distinct().join(shared, "key", "left_semi").select("sig").distinct())
     # one document of each suspect node stands for it
-    speakers = rows.join(suspects, "sig").groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"))
+    speakers = rows.groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id")).join(suspects, "sig", "left_semi")
     sets = cut(fine_sets(_keep_maybe(docs, speakers), threshold, width).join(suspects, "sig", "left_semi").dropDuplicates(["sig"]))
-    prefixes = cut(_prefixes(sets)).select(F.explode("prefix").alias("key"), "node", "n", "own", "planes")
-    many = prefixes.groupBy("key").agg(F.min(F.struct("own", "node")).alias("p"), F.count("*").alias("many")).where("many > 1")
+    prefixes = cut(_prefixes(sets))
+    facts = prefixes.select("node", "class", "n", "planes")
+    narrow = prefixes.select(F.explode("prefix").alias("key"), "node", "class", "own")
+    many = narrow.groupBy("key").agg(F.min(F.struct("own", "node")).alias("p"), F.count("*").alias("many")).where("many > 1")
     many = cut(many.select("key", F.col("p.node").alias("pivot"), "many"))
-    grouped = prefixes.join(many, "key")
-    star = (grouped.where("node = pivot").alias("x").join(grouped.where("node <> pivot").alias("y"), F.col("x.key") == F.col("y.key"))
-            .where(_possible(threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    star = cut(narrow.join(many, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "class").distinct())
+    star = star.join(facts.withColumnsRenamed({"node": "a", "n": "na", "planes": "pa"}), ["a", "class"])
+    star = star.join(facts.withColumnsRenamed({"node": "b", "n": "nb", "planes": "pb"}), ["b", "class"])
+    x, y = F.struct(F.col("na").alias("n"), F.col("pa").alias("planes")), F.struct(F.col("nb").alias("n"), F.col("pb").alias("planes"))
+    star = cut(star.select("a", "b", x.alias("x"), y.alias("y")).where(_possible(threshold)).select("a", "b").distinct())
     links = cut(count_links(star, sets, threshold))
     found = cut(connected_components(links))
 
@@ -288,15 +329,21 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     def placed(frame, name, to):
         named = found.select(F.col("node").alias(name), F.col("component").alias(to))
         return frame.join(named, name, "left").withColumn(to, F.coalesce(to, name))
-    larger = placed(many.where("many > 2").drop("many"), "pivot", "centre")
-    members = placed(prefixes.select("key", "node").join(larger, "key"), "node", "component").where("node <> pivot")
-    mixed = members.where("component <> centre").select("key").distinct()
-    members = cut(members.join(mixed, "key").select("key", "node", "component", (F.col("component") != F.col("centre")).alias("out")))
-    wide = members.join(prefixes, ["key", "node"])
-    rest = (wide.where("out").alias("x").join(wide.alias("y"), F.col("x.key") == F.col("y.key"))
-            .where((F.col("x.component") != F.col("y.component")) & _possible(threshold))
+    larger = placed(many.where("many > 2"), "pivot", "centre")
+    members = placed(narrow.drop("own").join(larger, "key"), "node", "component").where("node <> pivot")
+    members = cut(members.select("key", "many", "node", "class", "component", (F.col("component") != F.col("centre")).alias("out")))
+    mixed = members.where("out").select("key").distinct()
+    wide = members.join(mixed, "key", "left_semi").join(facts, ["node", "class"])
+    # a group is cut into blocks, and every block of outsiders meets every block of the group
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    wide = wide.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = ("key", "block", "other", "node", "component", "n", "planes")
+    outsiders = wide.where("out").select(*side).alias("x")
+    everyone = wide.select("key", F.col("block").alias("other"), F.col("other").alias("block"), *side[3:]).alias("y")
+    same = reduce(lambda p, q: p & q, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "block", "other")])
+    rest = (outsiders.join(everyone, same).where((F.col("x.component") != F.col("y.component")) & _possible(threshold))
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    more = cut(count_links(rest, sets, threshold))
+    more = cut(count_links(cut(rest), sets, threshold))
     nodes = connected_components(links.unionByName(more)).select(F.col("node").alias("sig"), F.col("component"))
 
     least = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
