@@ -36,6 +36,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)"
                   r"|<(/?)([a-zA-Z][^\s/>]*+)(" + _REST + r")(?:>|$)"
                   r"|<[!?][^>]*(?:>|$)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W_]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub "
                    "sup time tt u var wbr".split())
@@ -133,7 +134,7 @@ def vectors(page: list[Block]) -> np.ndarray:
             x[k] += np.bincount([word_bin[w] for w in words], minlength=x.shape[1]).astype(np.float32) / len(words)
         n = len(b.text)
         x[k, -10:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1, b.linked / n), b.text[-1] in ".!?", b.text.count(",") / max(1, len(words)),
-                      "©" in b.text, sum(map(str.isdigit, b.text)) / n if n < 400 else 0, k / len(page), 1 / (1 + k), 1 / (len(page) - k))
+                      "©" in b.text, len(_DIGIT.findall(b.text)) / n, k / len(page), 1 / (1 + k), 1 / (len(page) - k))
     return x
 
 

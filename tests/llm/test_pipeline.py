@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as cp
 from test_jaccard_join import brute as brute_components
 from test_packing import check_pieces
+from test_quality_rules import OTHER
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,8 +23,15 @@ def test_one_of_each_group(spark):
     got = cp.keep_one_of_each_group(spark, df, None)
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r["text"]) for r in got.collect() if r.doc_id is not None) == \
-        sorted((str(i), t) for i, t in {(0, docs[0][1]), (50, "a b c d"), (60, ""), (61, None), (70, "p q r")})
-    assert sorted(r["text"] for r in got.collect() if r.doc_id is None) == ["a b c d", "x y z"]
+        sorted((str(i), t) for i, t in {(0, docs[0][1]), (50, "a b c d"), (60, ""), (61, None), (70, "p q r"), (70, "s t u")})
+    assert sorted(r["text"] for r in got.collect() if r.doc_id is None) == ["x y z"]
+
+
+def test_clashing_columns_stay(spark):
+    text = OTHER["it"]
+    df = spark.createDataFrame([(1, text, "r", "v", "k", 5)], "doc_id long, text string, rules string, _verdict string, _key string, _row int")
+    for stage in (cp.keep_ruled, cp.keep_one_of_each_group):
+        assert [tuple(r) for r in stage(spark, df, None).collect()] == [(1, text, "r", "v", "k", 5)]
 
 
 def test_run(spark, sf_dir):
