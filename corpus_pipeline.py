@@ -1,8 +1,8 @@
 """The corpus pipeline: four stages over ``documents``, each written as Parquet and read again.
 
 The quality classifier and the quality rules drop the documents they reject, the Jaccard
-join keeps one document of each group of linked ones (that of the least doc_id), and what
-is left is packed into sequences.  Every stage but the last returns the columns it got.
+join keeps one document of each group of linked ones, and what is left is packed into
+sequences.  Every stage but the last returns the columns it got.
 """
 
 from __future__ import annotations
@@ -18,26 +18,42 @@ from causeway.llm.quality_rules import score_rules
 from causeway.session import checkpoint_dir
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; a NULL text is scored as an empty one."""
     return keep_accepted(docs, read(spark, sf_dir, "labels"))
 
 
 def keep_ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return score_rules(docs).where("rules.kept").select(*docs.columns)
+    """Documents that the quality rules keep.  A NULL or empty text has no words: it goes."""
+    verdict = _free("_verdict", docs)
+    return score_rules(docs, out=verdict).where(f"`{verdict}`.kept").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked documents.
-
-    Of rows that repeat that doc_id, the one with the first text stays.  Rows without a
-    doc_id cannot stand for a group: they take no part, and one of each text stays."""
-    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    least = link_components(named).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    kept = named.join(least, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return kept.select(*docs.columns).unionByName(unnamed.dropDuplicates(["text"]).select(*docs.columns))
+    """One document of each group of linked ones: that of the least doc_id (a row without one
+    comes last), of several with that doc_id the one of the least key.
+
+    Rows are told apart by a key, a hash of doc_id and text, so rows that share a doc_id but
+    not a text are documents of their own, and rows without a doc_id take part.  Rows that
+    repeat another in both are one document, of which one row stays; a NULL, empty or wordless
+    text links with nothing and stays."""
+    key, row = _free("_key", docs), _free("_row", docs)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull()))
+    linked = link_components(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("k"), F.col("component_id").alias("c"))
+    named = keyed.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("d")).groupBy("k").agg(F.min("d").alias("d"))
+    order = F.struct(F.col("d").isNull(), "d", "k")
+    first = linked.distinct().join(named, "k").groupBy("c").agg(F.min(order).alias("first")).select(F.col("first.k").alias(key))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    one = Window.partitionBy(key).orderBy(*others, F.col(key))
+    kept = keyed.join(first, key, "left_semi").withColumn(row, F.row_number().over(one)).where(F.col(row) == 1)
+    return kept.select(*docs.columns)
 
 
 def pack_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
