@@ -78,11 +78,12 @@ def known_answers_text(df: DataFrame, spec: StudySpec, fields, prefix: str = "sa
     return df.withColumn("known_answers", F.concat(*parts))
 
 
-def expand_options(units: DataFrame, options: DataFrame, n_options: int) -> DataFrame:
-    """One scoring input per (unit, grid option).  Each unit explodes the fixed
-    option indices 0..n-1 and picks the option attributes by an equi-join on the
-    cell index (the grid is the spec's fixed, small table)."""
-    ex = units.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_options - 1))))
+def expand_options(units: DataFrame, options: DataFrame) -> DataFrame:
+    """One scoring input per (unit, grid option), for every option of ``options`` (whose
+    ``cell`` numbers them from 0).  Each unit explodes the option indices and picks the
+    attributes by an equi-join on the cell index (the grid is the spec's fixed, small table)."""
+    last = options.agg(F.max("cell")).scalar()
+    ex = units.withColumn("cell", F.explode(F.sequence(F.lit(0), last)))
     return ex.join(F.broadcast(options), "cell")
 
 

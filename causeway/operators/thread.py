@@ -60,13 +60,19 @@ def stitch(submissions: DataFrame, comments: DataFrame, key: str = "thread_key",
     com = comments.select(seq, *keys, F.col(com_text).alias("_body"), F.col("score").alias("_c_score"),
                           F.col("created_utc").alias("_c_created"), F.col("permalink").alias("_c_permalink"),
                           F.col(author).alias("_c_author"))
-    linked = com.join(subs.select(sub_id, *keys, "_sub_author"), keys)            # D1 (equi)
-    is_author = F.coalesce(F.col("_c_author") == F.col("_sub_author"), F.lit(False))
-    replies = (linked.where(is_author)
-               .groupBy(sub_id)
+    # The author's own replies first, once a (thread, author) whatever the number of
+    # submissions on the slug; inside coalesce the author is no join key, so the comments
+    # stay partitioned by thread
+    authors = subs.select(*keys, F.col("_sub_author").alias("_r_author")).distinct()
+    own = F.coalesce(F.col("_c_author") == F.col("_r_author"), F.lit(False))
+    replies = (com.join(authors.withColumnsRenamed({key: "_r_key", forum: "_r_forum"}),
+                        (F.col(key) == F.col("_r_key")) & (F.col(forum) == F.col("_r_forum")) & own)
+               .groupBy("_r_key", "_r_forum", "_r_author")
                .agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("_body").alias("b"))))
                     .alias("_r")))                                               # E2
-    posts = (subs.join(replies, sub_id, "left")
+    mine = ((F.col(key) == F.col("_r_key")) & (F.col(forum) == F.col("_r_forum"))
+            & F.coalesce(F.col("_sub_author") == F.col("_r_author"), F.lit(False)))
+    posts = (subs.join(replies, mine, "left")
              .withColumn("author_replies", F.coalesce(F.transform("_r", lambda r: r["b"]),
                                                       F.array().cast("array<string>")))
              .withColumn("post", F.when(F.size("author_replies") > 0,
@@ -75,19 +81,15 @@ def stitch(submissions: DataFrame, comments: DataFrame, key: str = "thread_key",
                                                                           lambda b: F.concat(F.lit(REPLY_PREFIX), b)),
                                                               "")))
                          .otherwise(F.col("_selftext")))
-             .drop("_r"))
+             .drop("_r", "_r_key", "_r_forum", "_r_author"))
     sub_rows = posts.select(sub_id, F.lit(None).cast("bigint").alias(seq), F.lit(False).alias("is_comment"),
                             F.col(forum).alias("subreddit"), "title", F.lit("").alias("initial_post"), "post", "score", "created_utc",
                             "permalink", "author_replies")
-    others = linked.where(~is_author).drop("_sub_author")                        # D2
-    # join the bulk comment rows back on the thread they are already partitioned by (then
-    # match the submission): the comments are shuffled once, by the first join only
-    p = posts.select(F.col(sub_id).alias("_p_sub"), F.col(key).alias("_p_key"), F.col(forum).alias("_p_forum"),
+    # Every other comment meets the stitched submissions of its thread, once
+    p = posts.select(sub_id, F.col(key).alias("_p_key"), F.col(forum).alias("_p_forum"), F.col("_sub_author").alias("_p_author"),
                      "title", F.col("post").alias("initial_post"))
-    # (inside coalesce the submission match is no equi-join key, so Catalyst does not
-    # re-partition the comments by (thread, sub_id))
-    same = F.coalesce(F.col(sub_id) == F.col("_p_sub"), F.lit(False))
-    com_rows = (others.join(p, (F.col(key) == F.col("_p_key")) & (F.col(forum) == F.col("_p_forum")) & same)
+    by_author = F.coalesce(F.col("_c_author") == F.col("_p_author"), F.lit(False))
+    com_rows = (com.join(p, (F.col(key) == F.col("_p_key")) & (F.col(forum) == F.col("_p_forum"))).where(~by_author)
                 .select(sub_id, F.col(seq).cast("bigint").alias(seq), F.lit(True).alias("is_comment"),
                         F.col(forum).alias("subreddit"),
                         "title", "initial_post", F.col("_body").alias("post"), F.col("_c_score").alias("score"),

@@ -349,7 +349,7 @@ def option_scoring_documents(spark, sf):
     s = d.join(lab, "doc_id").select("doc_id", "text", (F.col("quality") == 1).cast("int").alias("sample_mens"))
     s = grid.known_answers_text(s, EMAIL, ["mens"])                                                 # C21
     opts = grid.option_prompts(spark, EMAIL, list(OPT_FIELDS)).select("cell", *OPT_FIELDS, "option_text")  # C19/C20
-    x = grid.expand_options(s, opts, 4)                                                              # C22
+    x = grid.expand_options(s, opts)                                                              # C22
     x = x.withColumn("prompt", F.concat("text", "known_answers", "option_text"))
     scored = x.select("doc_id", "cell", (-(F.length("prompt") % 7)).cast("double").alias("loglik"))
     arr = grid.collect_scores(scored, "doc_id", "cell", "loglik")

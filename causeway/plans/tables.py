@@ -31,7 +31,7 @@ def spread(df: DataFrame, barrier: bool = True) -> DataFrame:
     """Parallelism floor for scans: a file with a single row group is read by one
     task, which would run every per-row text operator on one core.  Only when a
     scan yields fewer partitions than the cluster's default parallelism is it
-    redistributed (round-robin); a large input (many files / row groups) is left
+    redistributed (by the id's hash); a large input (many files / row groups) is left
     untouched, so at scale this adds no shuffle and every filter still reaches the
     scan.  On the redistributed path, an always-true nondeterministic predicate
     keeps Catalyst from pushing the (expensive, per-row) filters back below the
@@ -39,11 +39,8 @@ def spread(df: DataFrame, barrier: bool = True) -> DataFrame:
     barrier is used for text tables only (their filters are the expensive part); on
     the others computed columns already run after the exchange and plans stay
     deterministic, so Spark can reuse their exchanges."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:   # e.g. a Spark Connect session: no RDD view, leave the scan alone
-        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
     if par > 1 and parts < par:
         # hash on the leading id column: unlike round-robin, no per-partition sort is
         # needed to make the exchange deterministic on task retry

@@ -25,12 +25,14 @@ def test_split_cache_computes_once(spark, tmp_path):
     assert {r.split for r in b.select("split").distinct().collect()} == {"train", "val"}
 
 
-def test_model_roundtrip(spark, tmp_path):
+def test_vocabulary_roundtrip(spark, tmp_path):
+    """A fitted vocabulary is a table; read back it encodes alike."""
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma")], "doc_id long, text string")
-    m = baseline.bow_pipeline().fit(docs)
-    baseline.save_model(m, str(tmp_path / "bow"))
-    back = baseline.load_model(str(tmp_path / "bow"))
-    assert back.transform(docs).select("features").collect() == m.transform(docs).select("features").collect()
+    vocab = baseline.vocabulary(docs, "text")
+    baseline.save_models(vocab, str(tmp_path / "vocab"))
+    back = baseline.load_models(spark, str(tmp_path / "vocab"))
+    rows = lambda v: sorted(map(tuple, baseline.bag_of_words(docs, v, "doc_id", "text").collect()))
+    assert rows(back) == rows(vocab) and sum(r[2] for r in rows(back)) == 5
 
 
 def test_subset_first_n_roles(spark):
