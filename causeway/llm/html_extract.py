@@ -13,6 +13,7 @@ import html
 import random
 import re
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,8 @@ from causeway.llm.common import map_arrow, process_store, read, text_of
 PATH_BINS, WORD_BINS, HIDDEN = 128, 32, 24
 #: Pages and passes of the training; a bounded set that does not depend on the input.
 TRAIN_PAGES, EPOCHS, SEED = 420, 7, 11
+#: Pages without names of any kind, on which a labeller of its own is trained.
+PLAIN_PAGES = 160
 
 # The rest of a tag: names with or without a value.  A quote opens a value only directly after
 # "=" and only if it is closed; elsewhere it is a character, so the tag ends at its own ">".
@@ -388,11 +391,32 @@ def training_page(rnd: random.Random) -> tuple[str, list[str]]:
     return page, main
 
 
-def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[list[Block], np.ndarray]]:
+def plain_page(rnd: random.Random) -> tuple[str, list[str]]:
+    """A page without classes, ids or sectioning tags, as (html, main blocks): a heading and
+    blocks of prose in bare ``div`` or ``p``, between a list of links and a line of copyright."""
+    _, prose = training_page(rnd)
+    menu = STOCK["menu"].split()
+    main, tag = [], rnd.choice(["div", "div", "p"])
+    if rnd.random() < 0.8:
+        main.append(prose[0])
+    body = [f"<h1>{html.escape(prose[0])}</h1>"] if main else []
+    for _ in range(rnd.choice([1, 1, 2, 3, 5, 8])):
+        words = " ".join(" ".join(rnd.choice(prose).split()) for _ in range(rnd.choice([1, 2, 4]))).rstrip(",;") + "."
+        main.append(words)
+        body.append(f"<{tag}>{html.escape(words)}</{tag}>")
+    inner = rnd.choice(["{}", "{}", "<div>{}</div>", "<div><div>{}</div></div>"]).format("".join(body))
+    links = [f'<a href="/{w}">{w}</a>' for w in rnd.sample(menu, min(len(menu), rnd.randint(2, 6)))]
+    head = rnd.choice(["", "<div>{}</div>", "<ul><li>{}</li></ul>"]).format(rnd.choice([" ", " | "]).join(links))
+    foot = rnd.choice(["", "<div>&copy; 2024 {}</div>", "<p>&copy; {}</p>"]).format(" ".join(STOCK["footer"].split()[:rnd.randint(1, 4)]))
+    whole = head + inner + foot
+    return rnd.choice(["<html><body>{}</body></html>", "{}", "<!DOCTYPE html><html><head><title>x</title></head><body>{}</body></html>"]).format(whole), main
+
+
+def training_pages(n: int = TRAIN_PAGES, seed: int = SEED, write=training_page) -> list[tuple[list[Block], np.ndarray]]:
     """Blocks and labels of invented pages; a block is main where the page's writer kept it."""
     rnd, out = random.Random(seed), []
     for _ in range(n):
-        page, main = training_page(rnd)
+        page, main = write(rnd)
         found, at, y = blocks(page), 0, []
         for b in found:
             hit = at < len(main) and (b.text == main[at] or main[at].startswith(b.text) and b is found[-1])
@@ -402,19 +426,48 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[list[Bl
     return out
 
 
-@lru_cache(maxsize=1)
-def trained() -> Labeller:
-    """The labeller, trained once in a process; the same weights every time."""
-    pages = training_pages()
+#: Tags that tell the parts of a page apart.
+SECTIONS = {"article", "main", "nav", "header", "footer", "aside", "section", "form"}
+
+
+def nameless(page: list[Block]) -> bool:
+    """Whether nothing but the words and plain tags can tell a page's parts apart: no block
+    lies under a class, an id or a sectioning tag."""
+    return not any(token[0] == "." or token in SECTIONS for b in page for token in b.path)
+
+
+@dataclass
+class Labellers:
+    """A labeller for pages whose parts are named in some way, and one for nameless pages."""
+
+    named: Labeller
+    plain: Labeller
+
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        out: list = [None] * len(pages)
+        for model, plain in ((self.named, False), (self.plain, True)):
+            at = [k for k, p in enumerate(pages) if nameless(p) == plain]
+            for k, labels in zip(at, model.label([pages[k] for k in at]) if at else []):
+                out[k] = labels
+        return out
+
+
+def _fitted(pages: list[tuple[list[Block], np.ndarray]]) -> Labeller:
     return Labeller().fit([vectors(b) for b, _ in pages], [y for _, y in pages])
 
 
-def extract(pages: list[str], model: Labeller) -> list[str]:
+@lru_cache(maxsize=1)
+def trained() -> Labellers:
+    """The labellers, trained once in a process; the same weights every time."""
+    return Labellers(_fitted(training_pages()), _fitted(training_pages(PLAIN_PAGES, SEED + 1, plain_page)))
+
+
+def extract(pages: list[str], model: Labellers) -> list[str]:
     found = [blocks(p) for p in pages]
     return ["\n".join(b.text for b, keep in zip(bs, label) if keep) for bs, label in zip(found, model.label(found))]
 
 
-def extract_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
+def extract_text(pages: DataFrame, model: Labellers | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
     A NULL or empty html has the empty text; NULL keys stay; repeated rows give repeated

@@ -117,3 +117,16 @@ def test_edges(spark):
     rows = hx.extract_text(df).collect()
     assert len(rows) == 6 and sum(r.text == "" and r.n_chars == 0 for r in rows) == 4
     assert hx.extract_text(df.limit(0)).count() == 0
+
+
+def test_plain_layouts_keep_their_text():
+    """No classes, ids or sectioning tags: bare blocks of prose stay, links and copyright go."""
+    prose = ["The river runs down from the hills and passes the old mill, where the road turns to the village.", "In the spring the fields are green, and people walk along the water until late in the evening.",
+             "Nobody knows who built the bridge, but it has stood there for as long as anyone can remember."]
+    rnd = random.Random(1)
+    longer = [" ".join(rnd.choice(prose) for _ in range(3)) for _ in range(3)]
+    pages = [f"<html><body><h1>The river</h1><div>{longer[0]}</div><div>{longer[1]}</div></body></html>",
+             f"<html><body><div><a href=/a>Home</a> <a href=/b>About</a> <a href=/c>Contact</a></div><h1>The river</h1><div>{longer[0]}</div><div>{longer[1]}</div></body></html>",
+             f"<p>{longer[0]}</p>", f"<div>{longer[2]}</div>", f"<html><body><p>{longer[0]}</p><p>{longer[1]}</p></body></html>"]
+    want = ["\n".join(["The river", longer[0], longer[1]])] * 2 + [longer[0], longer[2], "\n".join(longer[:2])]
+    assert hx.extract(pages, hx.trained()) == want
