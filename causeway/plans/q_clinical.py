@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from causeway.operators import clean, discretize, estimators, evaluate, grid, thread
 from causeway.plans import tables as TB
 from causeway.plans.registry import cte, r6, register
-from causeway.spec import BOTOX
+from causeway.spec import BOTOX, ERENUMAB
 
 MIGRAINE_ANSWERS_SQL = """
 SELECT o.o_orderkey AS unit_id,
@@ -87,6 +87,63 @@ def discretize_botox_hard(spark, sf):
     return _out(discretize.discretize_clinical(_answers(spark, sf), BOTOX, mode="hard"))
 
 
+# ------------------------------------------------------------------ C16 with the second migraine study
+
+ERENUMAB_ANSWERS_SQL = f"""
+SELECT * REPLACE (CASE unit_id % 7 WHEN 0 THEN 'Erenumab' WHEN 1 THEN 'Aimovig' WHEN 2 THEN 'CGRP (Erenumab)' WHEN 3 THEN 'Topamax'
+                       WHEN 4 THEN 'Trokenidi' WHEN 5 THEN 'Unknown' ELSE 'Topiramat' END AS drug_type,
+                  CASE unit_id % 5 WHEN 0 THEN '70' WHEN 1 THEN '140' WHEN 2 THEN 'Unknown' WHEN 3 THEN '100' ELSE '200' END AS dosage),
+       CASE unit_id % 9 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Unknown' ELSE 'No' END AS pregnant
+FROM ({MIGRAINE_ANSWERS_SQL})
+"""
+
+
+def _erenumab_answers(spark, sf):
+    m = _answers(spark, sf)
+    k, u = F.col("unit_id"), F.lit("Unknown")
+    pick = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
+    return m.withColumns({
+        "drug_type": pick(7, "Erenumab", "Aimovig", "CGRP (Erenumab)", "Topamax", "Trokenidi", "Unknown", "Topiramat"),
+        "dosage": pick(5, "70", "140", "Unknown", "100", "200"),
+        "pregnant": F.when(k % 9 == 0, "Yes").when(k % 9 == 1, u).otherwise("No")})
+
+
+def _erenumab_sql(mode):
+    folds = " ".join(f"WHEN drug_type = '{n}' THEN {code}" for code, names in ERENUMAB.treatment_folds.items() for n in sorted(set(names)))
+    allowed = ", ".join(f"'{x}'" for x in sorted(set(ERENUMAB.allowed_treatments)))
+    countries = " ".join(f"WHEN '{k}' THEN {v}" for k, v in ERENUMAB.aliases["country"].items())
+
+    def number(c, labels=""):
+        coded = f"CAST(CASE {c} {labels} END AS DOUBLE)" if labels else "NULL"
+        return f"coalesce({coded}, TRY_CAST(trim({c}) AS DOUBLE)) AS {c}"
+    yes_no = "WHEN 'No' THEN 0 WHEN 'Yes' THEN 1"
+    keep = f"WHERE drug_type IN ({allowed}) AND discontinued IS NOT NULL" if mode == "hard" else ""
+    criteria = """WHERE coalesce(age >= 18 OR age <= 65 OR age IS NULL, false) AND coalesce(pregnant = 0 OR pregnant IS NULL, false)
+  AND coalesce((baseline_MMD >= 4 AND baseline_MMD <= 30) OR baseline_MMD IS NULL, false)
+  AND coalesce((drug_type = 0 AND (dosage = 70 OR dosage = 140)) OR (drug_type = 1 AND dosage <= 100) OR dosage IS NULL, false)""" if mode == "hard" else ""
+    return f"""
+WITH {cte('raw', ERENUMAB_ANSWERS_SQL)},
+a AS (SELECT unit_id, {', '.join(f'{_unk(c)} AS {c}' for c in (*_RAW, 'pregnant'))} FROM raw),
+h AS (SELECT * FROM a {keep}),
+n AS (SELECT unit_id, CAST(CASE {folds} END AS INTEGER) AS drug_type, {number('sex', "WHEN 'Male' THEN 0 WHEN 'Female' THEN 1")}, {number('country', countries)},
+             {', '.join(number(c) for c in _NUM)}, {number('pregnant', yes_no)}, {number('discontinued', yes_no)} FROM h),
+out AS (SELECT * FROM n WHERE drug_type IS NOT NULL)
+SELECT {_out_sql()} FROM out {criteria}
+"""
+
+
+@register("discretize_erenumab_hard", _erenumab_sql("hard"))
+def discretize_erenumab_hard(spark, sf):
+    """C16 + B15 + B16 hard mode with the second migraine study (pregnancy, MMD and dose rules)."""
+    return _out(discretize.discretize_clinical(_erenumab_answers(spark, sf), ERENUMAB, mode="hard"))
+
+
+@register("discretize_erenumab_soft", _erenumab_sql("soft"))
+def discretize_erenumab_soft(spark, sf):
+    """C16 plain soft mode: codes and numbers, no filter but unrecognised treatments."""
+    return _out(discretize.discretize_clinical(_erenumab_answers(spark, sf), ERENUMAB, mode="soft"))
+
+
 _STRATA = list(BOTOX.strata)
 STRATA_SQL = _botox_sql("soft_inf") + f""",
 cc AS (SELECT * FROM out WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _STRATA)}),
