@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import text as T
+from causeway.functions.arrays import let
 from causeway.functions.draws import sql_uniform
 from causeway.operators import clean, discretize, estimators, thread
 from causeway.plans import tables as TB
@@ -78,10 +79,9 @@ def rule_filter_documents(spark, sf):
     """B1-B8 + C1 on documents read as comments."""
     d = derived(spark, sf, TB.DOC_POSTS_SQL, TB.DOC_NEEDS)
     kept = clean.rule_filter(d, "text", is_comment=True)
-    norm = T.normalise("text")
-    return kept.select("doc_id", T.word_count("text").cast("bigint").alias("n_words"),
-                       T.letter_count(norm).cast("bigint").alias("n_letters"),
-                       F.length(norm).cast("bigint").alias("n_norm"))
+    counts = let(T.normalise("text"), lambda norm: F.struct(T.letter_count(norm).cast("bigint").alias("n_letters"),
+                                                            F.length(norm).cast("bigint").alias("n_norm")))
+    return kept.select("doc_id", T.word_count("text").cast("bigint").alias("n_words"), F.inline(F.array(counts)))
 
 
 DATE_CUTOFF = 1705276800  # 2024-01-15 00:00:00 UTC
